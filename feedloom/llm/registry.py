@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe_codec, token_counts
+from feedloom.llm import bpe_codec, quality_rules, token_counts
 
 QUERIES = {
     "op7_token_counts": token_counts.query,
+    "op8_quality_rules": quality_rules.query,
     "op9_bpe_codec": bpe_codec.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_quality_rules": quality_rules.oracle(),
+}
