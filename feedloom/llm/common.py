@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +57,7 @@ def label_sample(labels: DataFrame, column: str, bound: int = LABEL_BOUND) -> Da
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, each of about `limit` bytes of text at most (or of one row)."""
     size = batch.column(batch.schema.get_field_index(text))
-    size = pa.compute.fill_null(pa.compute.binary_length(size), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(size), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(size.tolist()):
         if total and total + n > limit:
@@ -70,7 +71,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
 def map_texts(df: DataFrame, f: Callable[[list[str]], dict[str, pa.Array | list]], made: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep` columns of df, and those that f makes of each list of texts (null: empty); made: their (name, type)."""
     chosen = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*[chosen.schema[c] for c in keep], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in made]])
+    schema = T.StructType([*[chosen.schema[c] for c in keep], *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,4 +84,9 @@ def map_texts(df: DataFrame, f: Callable[[list[str]], dict[str, pa.Array | list]
 
 
 #: Arrow types of the columns that map_texts makes.
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64())}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<struct<first:int,last:int,score:double>>": pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))}
+
+#: DuckDB: a common table expression fold(doc_id, held_out) over the labelled ids, as held_out() has it; crc32 spelt out bit by bit.
+FOLD_SQL = """fold AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 = 2 AS held_out
+  FROM (SELECT DISTINCT doc_id FROM labels))"""

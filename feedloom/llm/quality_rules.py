@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import held_out, table, written
+from feedloom.llm.common import FOLD_SQL, held_out, table, written
 
 #: Share of good documents that a rule may reject in a stratum, and the probability that any cutoff breaks that.
 ALPHA, DELTA = 0.01, 0.05
@@ -127,7 +127,8 @@ def oracle() -> str:
     tests = [(r, f, c) for r, (f, cs) in RULES.items() for c in cs]
     rule_case = " || ".join(f"CASE WHEN {f} > (SELECT min(cutoff) FROM proven p WHERE p.stratum = s.stratum AND p.rule = '{r}') THEN '{r},' ELSE '' END" for r, (f, _) in RULES.items())
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+WITH {FOLD_SQL},
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 g AS (SELECT row, i, words[i] || ' ' || words[i+1] || ' ' || words[i+2] AS gram

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe_codec, quality_rules, token_counts
+from feedloom.llm import bpe_codec, license_scan, quality_rules, token_counts
 
 QUERIES = {
+    "op5_license_scan": license_scan.query,
     "op7_token_counts": token_counts.query,
     "op8_quality_rules": quality_rules.query,
     "op9_bpe_codec": bpe_codec.query,
 }
 ORACLE: dict[str, str] = {
+    "op5_license_scan": license_scan.oracle(),
     "op8_quality_rules": quality_rules.oracle(),
 }
