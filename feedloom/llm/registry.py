@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe_codec, license_scan, quality_rules, token_counts, toxicity
+from feedloom.llm import bpe_codec, license_scan, quality_model, quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "op1_quality_model": quality_model.query,
     "op4_toxicity": toxicity.query,
     "op5_license_scan": license_scan.query,
     "op7_token_counts": token_counts.query,
