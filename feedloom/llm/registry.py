@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe_codec, license_scan, quality_model, quality_rules, token_counts, toxicity
+from feedloom.llm import bpe_codec, license_scan, quality_model, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_quality_model": quality_model.query,
     "op4_toxicity": toxicity.query,
     "op5_license_scan": license_scan.query,
+    "op6_warc": warc.query,
     "op7_token_counts": token_counts.query,
     "op8_quality_rules": quality_rules.query,
     "op9_bpe_codec": bpe_codec.query,
 }
 ORACLE: dict[str, str] = {
     "op5_license_scan": license_scan.oracle(),
+    "op6_warc": warc.ORACLE,
     "op8_quality_rules": quality_rules.oracle(),
 }
