@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe_codec, license_scan, quality_model, quality_rules, token_counts, toxicity, warc
+from feedloom.llm import bpe_codec, jaccard_join, license_scan, quality_model, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_quality_model": quality_model.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_counts": token_counts.query,
     "op8_quality_rules": quality_rules.query,
     "op9_bpe_codec": bpe_codec.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 ORACLE: dict[str, str] = {
     "op5_license_scan": license_scan.oracle(),
