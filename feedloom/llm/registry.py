@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe_codec, decontaminate, jaccard_join, license_scan, quality_model, quality_rules, token_counts, toxicity, warc
+from feedloom.llm import bpe_codec, decontaminate, html_text, jaccard_join, license_scan, quality_model, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_quality_model": quality_model.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_html_text": html_text.query,
     "op4_toxicity": toxicity.query,
     "op5_license_scan": license_scan.query,
     "op6_warc": warc.query,
