@@ -83,6 +83,13 @@ def map_texts(df: DataFrame, f: Callable[[list[str]], dict[str, pa.Array | list]
     return chosen.mapInArrow(run, schema)
 
 
+def rows_where(docs: DataFrame, score: Callable[[DataFrame, tuple[str, ...]], DataFrame], condition: Column) -> DataFrame:
+    """All columns of the rows of docs whose score meets the condition; columns may have any names, also the score's own."""
+    own = [f"__c{i}" for i in range(len(docs.columns))]
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], F.col("text"))
+    return score(wide, tuple(own)).where(condition).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own)])
+
+
 #: Arrow types of the columns that map_texts makes.
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<struct<first:int,last:int,score:double>>": pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))}
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import LABEL_BOUND, held_out, label_sample, map_texts, slices, table
+from feedloom.llm.common import LABEL_BOUND, held_out, label_sample, map_texts, rows_where, slices, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
 BUCKETS, DIM, ONES, REACH = 1 << 14, 32, 2, 2
@@ -196,10 +196,8 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (all columns) that score THRESHOLD or more."""
-    others = [c for c in docs.columns if c not in ("text", "score")]
-    wide = docs.withColumn("__whole", F.col("text"))
-    scored = score(wide, fit(docs, labels), (*others, "__whole")).where(F.col("score") >= THRESHOLD)
-    return scored.withColumnRenamed("__whole", "text").select(*docs.columns)
+    model = fit(docs, labels)
+    return rows_where(docs, lambda d, keep: score(d, model, keep), F.col("score") >= THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

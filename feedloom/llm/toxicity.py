@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import LABEL_BOUND, held_out, label_sample, map_texts, slices, table
+from feedloom.llm.common import LABEL_BOUND, held_out, label_sample, map_texts, rows_where, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -197,9 +197,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (all columns) whose toxicity score stays below THRESHOLD."""
     model = fit(docs, labels)
-    others = [c for c in docs.columns if c not in ("text", "score", "passages")]
-    wide = docs.withColumn("__whole", F.col("text"))
-    return score(wide, model, (*others, "__whole")).where(F.col("score") < THRESHOLD).withColumnRenamed("__whole", "text").select(*docs.columns)
+    return rows_where(docs, lambda d, keep: score(d, model, keep), F.col("score") < THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
