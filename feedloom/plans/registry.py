@@ -1,18 +1,8 @@
-"""The queries of the library, and SQL twins for DuckDB."""
+"""All queries of the library, and SQL twins for DuckDB."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from feedloom.plans import rules  # noqa: F401
+from feedloom.plans.base import ORACLE, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FLAGSHIP = "source_totals"
-
-
-def _source_totals(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.count("*").alias("n_records"), F.countDistinct("lang").alias("n_langs"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"source_totals": _source_totals}
-ORACLE: dict[str, str] = {"source_totals": "SELECT source, count(*) AS n_records, count(DISTINCT lang) AS n_langs FROM documents GROUP BY source"}
+FLAGSHIP = "rul1_opportunity"
