@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.storage import written
 
@@ -91,5 +92,4 @@ def packed(df: DataFrame, by: str, order: str, size: str, limit: int) -> DataFra
         return rows.assign(chunk=out)
 
     narrow = df.select(by, order, size)
-    schema = narrow.schema.add("chunk", "long")
-    return narrow.groupBy(by).applyInPandas(fold, schema)
+    return narrow.groupBy(by).applyInPandas(fold, T.StructType([*narrow.schema.fields, T.StructField("chunk", T.LongType())]))

@@ -1,0 +1,80 @@
+"""Operators on small frames: default rule packs, order-dependent choices against plain loops, edge rows."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from feedloom.operators import identity, merges, rule_packs, scoring, selection
+
+RECORD = "title string, description string, category string, source string"
+
+
+def test_default_packs(spark):
+    rows = [
+        ("Key organizer clip", "small, compact and lightweight holder for travel", "EDC", "shop"), ("Browser extension", "an AI agent dashboard", "software", "launches"), ("Bluetooth speaker", "wireless", "audio", "shop"),
+        ("Industrial design", "concept design of a chair", "x", "yanko_design"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, RECORD)
+    kinds = [(r["opportunity_type"], r["filter_status"]) for r in rule_packs.opportunity(df).collect()]
+    assert kinds == [("physical", "candidate"), ("software", "candidate"), ("physical", "rejected"), ("inspiration", "candidate"), ("uncertain", "uncertain")]
+    feas = rule_packs.feasibility(df).collect()
+    assert feas[0]["feasibility_status"] == "REVIEW" and feas[2]["risk_flags"] == ["wireless", "high_certification_risk"] and feas[2]["feasibility_score"] == 16
+    demand = rule_packs.demand_signal(spark.createDataFrame([("Looking for a bag", "too expensive, I can't find one cheaper", "", "")], RECORD)).first()
+    assert (demand["signal_status"], demand["signal_type"]) == ("HIGH", "price_pain")
+    spec = rule_packs.specificity(spark.createDataFrame([("Wallet", "problem: too bulky, need storage", "", "", "demand_opportunity", ["clear_feature_gap"])], RECORD + ", candidate_type string, signals array<string>")).first()
+    assert spec["specificity_status"] == "SPECIFIC"
+
+
+def test_families(spark):
+    names = ["Travel backpack 20-30L", "Camera backpack", "Fanny pack", "Camping pillow", "Insulated bottles", "Leather wallets", "Gizmo thing", "the best", None]
+    got = [r["family_key"] for r in identity.family(spark.createDataFrame([(n, "PHYSICAL") for n in names], "name string, kind string"), "name", "kind").collect()]
+    assert got == ["physical:travel-backpack-20-30l", "physical:backpack-camera", "physical:fanny-waist-pack", "physical:travel-backpacking-pillow", "physical:insulated-water-bottle", "physical:wallet", "physical:gizmo-thing", None, None]
+
+
+def test_quota_choice_is_the_loop(spark):
+    random.seed(4)
+    rows = [(run, i, random.choice("abc"), random.randrange(50, 70), random.random() < 0.4) for run in range(4) for i in range(40)]
+    got = {(r["run"], r["id"]): (r["chosen_rank"], r["exclusion"]) for r in selection.quota_choice(
+        spark.createDataFrame(rows, "run long, id long, theme string, score long, software boolean"), "run", [F.desc("score"), F.col("id")], F.col("software"), F.col("score")).collect()}
+    for run in range(4):
+        chosen, themes, soft = 0, {}, 0
+        for _, i, theme, score, software in sorted((r for r in rows if r[0] == run), key=lambda r: (r[4], -r[3], r[1])):
+            if score < 55:
+                want = (None, "quality_score")
+            elif chosen >= 10:
+                want = (None, "software_quota" if software else "lower_final_score")
+            elif themes.get(theme, 0) >= 3:
+                want = (None, "theme_quota")
+            elif software and soft >= 2:
+                want = (None, "software_quota")
+            else:
+                chosen, soft = chosen + 1, soft + software
+                themes[theme] = themes.get(theme, 0) + 1
+                want = (chosen, None)
+            assert got[run, i] == want
+
+
+def test_greedy_distinct_is_the_loop(spark):
+    random.seed(5)
+    n = 60
+    edges = {(random.randrange(n), random.randrange(n)) for _ in range(90)}
+    edges = [(a, b) for a, b in edges if a != b]
+    nodes = spark.createDataFrame([(i, (i * 37) % n) for i in range(n)], "id long, rank long")
+    got = {r["id"]: r["kept"] for r in selection.greedy_distinct(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    kept = set()
+    for i in sorted(range(n), key=lambda i: (i * 37) % n):
+        if not any((i, k) in edges or (k, i) in edges for k in kept):
+            kept.add(i)
+    assert got == {i: i in kept for i in range(n)}
+
+
+def test_market_curve_and_gate(spark):
+    df = spark.createDataFrame([(None, None), (50.0, None), (None, 150.0), (600.0, 2500.0)], "b double, f double")
+    assert [r[0] for r in df.select(scoring.market_validation(F.col("b"), F.col("f"))).collect()] == [0, 30, 49, 75]
+
+
+def test_upsert_policies(spark):
+    old = spark.createDataFrame([(1, "a", 5, True), (2, "b", 7, False)], "k long, x string, n long, f boolean")
+    batch = spark.createDataFrame([(2, None, 3, True), (3, "c", 1, False), (3, "d", 2, False)], "k long, x string, n long, f boolean")
+    got = sorted(map(tuple, merges.upsert(old, batch, ["k"], [F.desc("n")], {"x": "fill", "n": "max", "f": "or"}).collect()))
+    assert got == [(1, "a", 5, True), (2, "b", 7, True), (3, "d", 2, False)]
+    assert tuple(merges.upsert_counts(old, batch, ["k"]).first()) == (1, 2)
