@@ -11,6 +11,7 @@ from feedloom.operators import merges as M
 from feedloom.operators import picks as P
 from feedloom.operators import rule_packs as R
 from feedloom.operators import scoring as S
+from feedloom.operators import titles as TT
 from feedloom.operators import verdicts as V
 from feedloom.plans.base import DOC_SQL, PART_SQL, doc_records, joined, part_records, query, sql_any, sql_flags
 
@@ -229,3 +230,31 @@ def job2(t, spark):
     best = M.best_per_key(pool, ["source_url"], [F.desc("candidate_score"), F.col("candidate_type")])
     counts = ready.groupBy("feasibility_status", "content_type", "demand_status").agg(F.count(F.lit(1)).alias("records"))
     return counts.join(F.broadcast(best.agg(F.count(F.lit(1)).alias("candidates"))))
+
+
+_low = "lower(concat_ws(' ', title, category))"
+_first = lambda table, other: "CASE " + " ".join(f"WHEN {sql_any('x', p, 'part')} THEN '{n}'" for n, p in table.items()) + f" ELSE {other} END"
+
+
+@query("rul10_trend_items", f"""WITH {DOC_SQL}, a AS (SELECT doc_id, {_low} AS x FROM rec), b AS (SELECT *, {_first(TT.TREND_RISKS, 'NULL')} AS risk, {sql_any('x', TT.SIMPLE, 'part')} AS easy, {_first(TT.THEMES, "'other'")} AS theme FROM a)
+SELECT doc_id, coalesce(risk, CASE WHEN easy THEN 'simple_physical' ELSE 'other' END) AS trend_class, CASE WHEN risk IS NOT NULL THEN 'rejected' WHEN easy THEN 'candidate' ELSE 'uncertain' END AS trend_status,
+  CASE WHEN risk IS NOT NULL THEN 'other' ELSE theme END AS trend_theme, (CASE WHEN risk IS NOT NULL THEN 20 WHEN easy THEN 70 ELSE 45 END)::INT AS trend_score FROM b""")
+def rul10(t, spark):
+    return TT.trend_item(doc_records(t)).select("doc_id", "trend_class", "trend_status", "trend_theme", "trend_score")
+
+
+@query("rul10_market_signal", "SELECT p_partkey, least(100, CASE WHEN p_type = 'PROMO' THEN 45 ELSE 50 END + CASE WHEN p_size <= 10 THEN 25 WHEN p_size <= 30 THEN 18 ELSE 10 END + CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 0 END + CASE WHEN p_partkey % 5 >= 4 THEN 5 ELSE 0 END + CASE WHEN p_partkey % 400 >= 200 THEN 10 WHEN p_partkey % 400 >= 20 THEN 5 ELSE 0 END)::INT AS points FROM part")
+def rul10_points(t, spark):
+    k = F.col("p_partkey")
+    return t("part").select("p_partkey", TT.market_signal(F.col("p_type") == "PROMO", F.col("p_size"), F.when(k % 3 == 0, k), k % 5, k % 400).alias("points"))
+
+
+@query("er2_catalogue_names", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type || ' Insulated Tumbler' ELSE p_name END AS name FROM part")
+def er2(t, spark):
+    title = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.lit(" gaming tumblers, Pack of 2"))).otherwise(F.concat("p_name", F.lit(" | large | new")))
+    return t("part").select("p_partkey", TT.catalogue_name(title).alias("name"))
+
+
+@query("er3_launch_names", "SELECT p_partkey, p_name AS name FROM part")
+def er3(t, spark):
+    return t("part").select("p_partkey", TT.launch_name(F.concat(F.lit("Show HN: I built "), "p_name", F.lit(" – a thing"))).alias("name"))
