@@ -255,13 +255,16 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) with the smallest doc_id of their class; of repeated rows one. Rows without words all stay."""
-    found = join(docs)
-    copies = found.where("n_links > 0").where(F.col("doc_id") > F.col("class_id")).select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti")
-    again = found.where("n_links > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    """The documents (all columns) with the smallest doc_id of their class; of repeated rows one. Rows without words all stay.
+
+    Rows are told apart by doc_id and text, so a doc_id that stands on two texts loses only the one that is a copy.
+    """
+    linked = written(join(docs).where("n_links > 0").select("doc_id", F.col("sid").alias("__sid"), "class_id"), "linked")
+    keyed = docs.withColumn("__sid", F.unhex(F.md5(F.col("text").cast("string").cast("binary"))))
+    left = keyed.join(linked.where("doc_id > class_id").select("doc_id", "__sid").distinct(), ["doc_id", "__sid"], "left_anti")
+    again = linked.groupBy("doc_id", "__sid").count().where("count > 1").select("doc_id", "__sid")
+    twice = left.join(again, ["doc_id", "__sid"], "left_semi").dropDuplicates(["doc_id", "__sid"])
+    return left.join(again, ["doc_id", "__sid"], "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
