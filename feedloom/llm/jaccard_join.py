@@ -36,7 +36,9 @@ BANDS, ROWS = 32, 4
 #: Values compared before each look at the posterior, and the probability below which a pair goes.
 STEP, TOLERANCE = 32, 1e-4
 #: Members of a bucket that pairs are made of; members of a block of a larger one, about.
-HOT, BLOCK = 64, 192
+HOT, BLOCK = 20, 768
+#: Pairs of a block that are compared at once.
+AT_ONCE = 200_000
 _WORD = re.compile(r"\w+")
 
 
@@ -186,7 +188,7 @@ def _in_blocks(hot: DataFrame, sketched: DataFrame, reps: DataFrame) -> DataFram
             a, b = a[apart], b[apart]
         # bands come in one order in every row: this band owns the pair if no earlier hot one is common
         before = [frozenset(int(x) for x in h[: list(h).index(band)]) for h in rows["hot"]]
-        stay = survivors(values[a], values[b])
+        stay = np.concatenate([np.zeros(0, np.int64), *(s + survivors(values[a[s : s + AT_ONCE]], values[b[s : s + AT_ONCE]]) for s in range(0, len(a), AT_ONCE))])
         sets = [None] * len(rows)
         texts, sids, copies = rows["text"].tolist(), rows["sid"].tolist(), rows["copies"].tolist()
         links, root = [0] * len(rows), list(range(len(rows)))
