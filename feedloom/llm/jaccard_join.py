@@ -95,49 +95,78 @@ def survivors(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return alive
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """(sid, text, first, copies) of each distinct text with a word; sid is the text's digest."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(sid, doc_id, text) of rows with a word; sid is the text's digest."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}\p{M}_]"))
-    own = texts.withColumn("sid", F.unhex(F.md5(F.col("text").cast("binary"))))
-    return own.groupBy("sid").agg(F.first("text").alias("text"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    return texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("sid"), "doc_id", "text")
 
 
-def sketches(reps: DataFrame) -> DataFrame:
-    """(sid, copies, bytes, bands) of each representative with a shingle."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """(sid, first, copies, bytes, bands) of each distinct text with a shingle. Sketches are made where the texts are read; only they move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             for part in slices(batch):
-                sids, copies, values, bands = [], [], [], []
-                for sid, text, n in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    own = shingles(text)
-                    if not len(own):
-                        continue
-                    m = minhash(own)
-                    sids.append(sid)
-                    copies.append(n)
-                    values.append((m >> np.uint32(8)).astype(np.uint8).tobytes())
-                    bands.append([xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(copies, pa.int64()), pa.array(values, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["sid", "copies", "bytes", "bands"])
-
-    return reps.select("sid", "text", "copies").mapInArrow(run, "sid binary, copies long, bytes binary, bands array<long>")
+                out = ([], [], [], [])
+                for sid, doc, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    if sid not in known:
+                        if len(known) > 4096:
+                            known.clear()
+                        own = shingles(text)
+                        m = minhash(own) if len(own) else None
+                        known[sid] = (None, None) if m is None else (
+                            (m >> np.uint32(8)).astype(np.uint8).tobytes(), [xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
+                    values, bands = known[sid]
+                    if values is not None:
+                        for x, y in zip(out, (sid, doc, values, bands)):
+                            x.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["sid", "doc_id", "bytes", "bands"])
+
+    rows = _keyed(docs).select("sid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sid binary, doc_id long, bytes binary, bands array<long>")
+    return rows.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
 
 
 def _pairs(members: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(a, b, copies of both) of the pairs from small buckets that the comparison leaves."""
-    other = members.select("band", F.col("sid").alias("b"))
-    met = members.join(other, "band").where(F.col("sid") < F.col("b")).select(F.col("sid").alias("a"), "b").distinct()
-    side = lambda s: sketched.select(F.col("sid").alias(s), F.col("copies").alias(f"{s}_copies"), F.col("bytes").alias(f"{s}_bytes"), F.col("hot").alias(f"{s}_hot"))
-    # a pair that agrees in a hot band is the blocks' business
-    both = met.join(side("a"), "a").join(side("b"), "b").where(~F.arrays_overlap("a_hot", "b_hot"))
+    """(a, b, copies of both) of the pairs from small buckets that the comparison leaves.
+
+    The members of a bucket stand together in a sorted partition, at most HOT of them, and are compared there; so what moves grows
+    with the members and not with the pairs.
+    """
+    rows = members.join(sketched, "sid").select("band", "sid", "copies", "bytes", "hot").repartition("band").sortWithinPartitions("band", "sid")
+    names = ["a", "b", "a_copies", "b_copies"]
+
+    def of_bucket(bucket: list[tuple], out: list[list]) -> None:
+        values = np.frombuffer(b"".join(r[3] for r in bucket), np.uint8).reshape(-1, BANDS * ROWS)
+        a, b = np.triu_indices(len(bucket), 1)
+        for i in survivors(values[a], values[b]).tolist():
+            x, y = bucket[a[i]], bucket[b[i]]
+            # a pair that agrees in a hot band is the blocks' business
+            if x[1] != y[1] and not (x[4] and y[4] and set(x[4]) & set(y[4])):
+                for column, v in zip(out, (x[1], y[1], x[2], y[2])):
+                    column.append(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket: list[tuple] = []
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (4, 5))
-                yield batch.take(pa.array(survivors(x, y))).select([0, 1, 2, 3])
+            out: list[list] = [[], [], [], []]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if bucket and bucket[0][0] != row[0]:
+                    of_bucket(bucket, out)
+                    bucket = []
+                bucket.append(row)
+            yield _pair_batch(out, names)
+        out = [[], [], [], []]
+        if bucket:
+            of_bucket(bucket, out)
+        yield _pair_batch(out, names)
+
+    # a pair meets in several bands
+    return rows.mapInArrow(run, "a binary, b binary, a_copies long, b_copies long").distinct()
+
 
-    return both.select("a", "b", "a_copies", "b_copies", "a_bytes", "b_bytes").mapInArrow(run, "a binary, b binary, a_copies long, b_copies long")
+def _pair_batch(out: list[list], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=names)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -235,19 +264,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, sid, class_id, n_links) of each row: the smallest doc_id of its class, and its number of similar other rows."""
-    reps = written(representatives(docs), "texts")
-    raw = written(sketches(reps), "sketches")
+    raw = written(sketches(docs), "sketches")
     each = raw.select("sid", F.explode("bands").alias("band"))
     # counts in bands with one member are dropped before anything is joined
     sizes = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(each.join(sizes, "band"), "members")
     hot = members.where(F.col("n") > HOT)
     mine = hot.groupBy("sid").agg(F.collect_set("band").alias("hot"))  # BANDS at most
+    reps = raw.select("sid", "first", "copies")
     sketched = written(raw.join(mine, "sid", "left").select("sid", "copies", "bytes", F.array_sort(F.coalesce("hot", F.array().cast("array<bigint>"))).alias("hot")), "marked")
     pairs = written(_pairs(members.where(F.col("n") <= HOT).select("band", "sid"), sketched), "pairs")
-    links = written(_verified(pairs, reps).unionByName(_in_blocks(hot, sketched, reps)), "links")
+    # texts are needed of what is still in question only
+    asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(hot.select("sid")).distinct()
+    firsts = written(asked.join(reps, "sid").select("sid", "first"), "asked")
+    texts = written(_keyed(docs).join(firsts, "sid").where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("sid").agg(F.first("text").alias("text")), "texts")
+    links = written(_verified(pairs, texts).unionByName(_in_blocks(hot, sketched, texts)), "links")
     classes = components(links.select(F.col("sid").alias("u"), F.col("other").alias("v")))
-    known = reps.select("sid", "first", "copies").join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", "copies", F.coalesce("root", "sid").alias("root"))
+    known = reps.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", "copies", F.coalesce("root", "sid").alias("root"))
     ids = known.groupBy("root").agg(F.min("first").alias("class_id"))
     total = links.groupBy("sid").agg(F.sum("links").alias("links"))
     result = written(known.join(ids, "root").join(total, "sid", "left").select("sid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")

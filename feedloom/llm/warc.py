@@ -105,7 +105,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = records.where("whole").select("*", F.col("length").alias("read_bytes"), F.col("own_digest").alias("read_digest"))
     # payloads with magics inside: their pieces come together again, record by record
     broken = records.where("NOT whole").select("file", F.col("at").alias("record"))
-    parts = owned.join(broken, ["file", "record"]).select("file", "block", "seq", "record", F.col("at").alias("place"))
+    # written, so that its size is known: where it is small the texts are read again without a shuffle
+    parts = written(owned.join(broken, ["file", "record"]).select("file", "block", "seq", "record", F.col("at").alias("place")), "parts")
     text = _pieces(spark, path).join(parts, ["file", "block", "seq"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("p"))
     joined = text.select("file", F.col("record").alias("at"), F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
     body = F.substring(F.col("value"), F.instr("value", CRLF * 2) + 4, F.length("value"))
