@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import slices, table, written
@@ -277,7 +277,8 @@ def join(docs: DataFrame) -> DataFrame:
     # texts are needed of what is still in question only
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(hot.select("sid")).distinct()
     firsts = written(asked.join(reps, "sid").select("sid", "first"), "asked")
-    texts = written(_keyed(docs).join(firsts, "sid").where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("sid").agg(F.first("text").alias("text")), "texts")
+    # always by shuffle: whether `firsts` could be sent to all tasks depends on the input
+    texts = written(_keyed(docs).join(firsts.hint("merge"), "sid").where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("sid").agg(F.first("text").alias("text")), "texts")
     links = written(_verified(pairs, texts).unionByName(_in_blocks(hot, sketched, texts)), "links")
     classes = components(links.select(F.col("sid").alias("u"), F.col("other").alias("v")))
     known = reps.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", "copies", F.coalesce("root", "sid").alias("root"))
@@ -294,12 +295,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so a doc_id that stands on two texts loses only the one that is a copy.
     """
-    linked = written(join(docs).where("n_links > 0").select("doc_id", F.col("sid").alias("__sid"), "class_id"), "linked")
+    linked = join(docs).where("n_links > 0").groupBy("doc_id", F.col("sid").alias("__sid")).agg(F.min("class_id").alias("__class"))
     keyed = docs.withColumn("__sid", F.unhex(F.md5(F.col("text").cast("string").cast("binary"))))
-    left = keyed.join(linked.where("doc_id > class_id").select("doc_id", "__sid").distinct(), ["doc_id", "__sid"], "left_anti")
-    again = linked.groupBy("doc_id", "__sid").count().where("count > 1").select("doc_id", "__sid")
-    twice = left.join(again, ["doc_id", "__sid"], "left_semi").dropDuplicates(["doc_id", "__sid"])
-    return left.join(again, ["doc_id", "__sid"], "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    # texts move once: join and window deal out by the same keys
+    kept = keyed.join(written(linked, "linked").hint("merge"), ["doc_id", "__sid"], "left").where("__class IS NULL OR doc_id <= __class")
+    place = F.row_number().over(Window.partitionBy("doc_id", "__sid").orderBy("__class"))
+    return kept.withColumn("__n", place).where("__class IS NULL OR __n = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
