@@ -1,12 +1,15 @@
 """Operator 2: benchmark decontamination by SimHash windows.
 
-Windows are sized to the items: an item of L words belongs to the largest class of CLASSES that leaves at least a quarter of it as
-slack, and is fingerprinted at all L - c + 1 places; documents are cut into windows of c words at a step of the class's least
-slack, so each whole copy of an item covers a window that starts where one of the item's does. A fingerprint has 64 bits; a
-word votes with its weight (inverse document frequency among the items). Four blocks of 16 bits are indexed with all values
+A document holds an item if it has, anywhere, at least 0.8 of the weighted share of the item's five-word shingles (short items: one
+shingle of all words); a word weighs its inverse document frequency among the items. So much cannot be reached without one
+of the item's heaviest shingles that weigh more than 0.2 together: documents are looked up for those by hash, which loses none
+(equal shingles have equal hashes), and what is found is verified with the words themselves.
+
+Where a document holds items, its windows are fingerprinted at every word to place them. Windows are sized to the items: an item of
+L words belongs to the largest class of CLASSES that leaves at least a quarter of it as slack, and is fingerprinted at all
+L - c + 1 places. A fingerprint has 64 bits; a word votes with its weight. Four blocks of 16 bits are indexed with all values
 within 2 bits: two fingerprints within RADIUS = 11 bits differ by 2 bits or fewer in some block, so none within the radius is
-missed. A candidate is verified exactly: the weighted share of the item's five-word shingles (short items: one shingle of
-all words) that the document has around the aligned place, with weights as before, must reach 0.8.
+missed. Of the alignments of windows and of shingles the one with most of the item's weight in place counts.
 
 Null and empty texts, and items without words, match nothing; repeated documents and items are reported each (same item_id: the
 best); an item that occurs several times in a document is one row with its best place, the earliest of equal ones. An empty
@@ -35,17 +38,44 @@ CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 PART_BYTES = 4 << 20
 #: Words whose votes are summed at once.
 SPAN = 1 << 14
+#: Windows that are compared with the items' at once.
+STARTS = 1 << 11
 #: Words whose votes a worker remembers.
 VOCABULARY = 100_000
 _WORD = re.compile(r"\w+")
+#: Of the hashes of shingles: the base of the polynomial, and the high bits that are looked up first.
+_BASE, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= VOCABULARY:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, own: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, own), np.uint64, len(own))
+
+
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-word shingles."""
+    n = max(0, len(hashes) - k + 1)
+    out = hashes[:n].copy()
+    for j in range(1, k):
+        out *= _BASE
+        out += hashes[j : j + n]
+    return out
+
+
 class Index:
-    """Fingerprints of the items at all places, by class."""
+    """The items' shingles, and their fingerprints at all places, by class."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, w) for i, t in items if (w := words(t or ""))]
@@ -59,6 +89,8 @@ class Index:
         for _, w in self.items:
             k = min(SHINGLE, len(w))
             self.shingles.append({s: sum(self.weights[x] for x in s) for s in (tuple(w[j : j + k]) for j in range(len(w) - k + 1))})
+        self.hashes = _Hashes()
+        self.filters = self._filters()
         self.classes: dict[int, dict] = {}
         for c in CLASSES:
             own = [(k, w) for k, (_, w) in enumerate(self.items) if c == max(x for x in CLASSES if x == 1 or x <= 0.75 * len(w))]
@@ -78,7 +110,7 @@ class Index:
                 order = np.argsort(near, kind="stable")
                 start = np.searchsorted(near[order], np.arange((1 << 16) + 1))
                 blocks.append((start, (order // len(_masks())).astype(np.int32)))
-            self.classes[c] = {"step": min(len(w) - c + 1 for _, w in own), "prints": prints, "item": np.array(item), "place": np.array(place), "blocks": blocks}
+            self.classes[c] = {"prints": prints, "item": np.array(item), "place": np.array(place), "blocks": blocks}
 
     def ids(self, own: list[str]) -> np.ndarray:
         """Rows of self.table for the words; unknown ones are added."""
@@ -123,40 +155,89 @@ class Index:
             hits.append(hit[near])
         return np.concatenate(windows), np.concatenate(hits)
 
+    def _filters(self) -> dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]]:
+        """By shingle length: the high bits taken, the sorted hashes, and the items of each; an item's shingles, heaviest first, until those left can't reach SIMILARITY."""
+        found: dict[int, dict[int, list[int]]] = {}
+        for item, needed in enumerate(self.shingles):
+            left = (1 - SIMILARITY) * sum(needed.values()) * (1 + 1e-9)
+            for s in sorted(needed, key=lambda s: (-needed[s], s)):
+                own = found.setdefault(len(s), {}).setdefault(int(rolled(self.hashes.of(list(s)), len(s))[0]), [])
+                if item not in own[-1:]:
+                    own.append(item)
+                left -= needed[s]
+                if left < 0:
+                    break
+        filters = {}
+        for k, own in found.items():
+            keys = np.array(sorted(own), np.uint64)
+            bits = np.zeros(1 << _BITS, bool)
+            bits[keys >> np.uint64(64 - _BITS)] = True
+            filters[k] = (bits, keys, [own[x] for x in keys.tolist()])
+        return filters
+
+    def held(self, split: list[list[str]]) -> dict[tuple[int, int], tuple[float, set[int]]]:
+        """Similarity of each item that a text holds, by (text, item), and alignments by the shingles looked up."""
+        sizes = np.array([len(x) for x in split], np.int64)
+        end = np.cumsum(sizes)
+        hashes = self.hashes.of([x for own in split for x in own])
+        met: dict[int, dict[int, list[int]]] = {}
+        for k, (bits, keys, items) in self.filters.items():
+            own = rolled(hashes, k)
+            at = np.flatnonzero(bits[own >> np.uint64(64 - _BITS)])
+            text = np.searchsorted(end, at, "right")
+            inside = at + k <= end[text]
+            at, text = at[inside], text[inside]
+            key = np.minimum(np.searchsorted(keys, own[at]), len(keys) - 1)
+            same = keys[key] == own[at]
+            for x, t, m in zip((at - end[text] + sizes[text])[same].tolist(), text[same].tolist(), key[same].tolist()):
+                for item in items[m]:
+                    met.setdefault(t, {}).setdefault(item, []).append(x)
+        found = {}
+        for t, candidates in met.items():
+            own, have = split[t], {}
+            for item, at in candidates.items():
+                w, needed = self.items[item][1], self.shingles[item]
+                k = min(SHINGLE, len(w))
+                if k not in have:
+                    have[k] = set(zip(*(own[j:] for j in range(k))))
+                s = sum(x for shingle, x in needed.items() if shingle in have[k]) / sum(needed.values())
+                if s >= SIMILARITY:
+                    places: dict[tuple, list[int]] = {}
+                    for j in range(len(w) - k + 1):
+                        places.setdefault(tuple(w[j : j + k]), []).append(j)
+                    found[t, item] = (s, {x - j for x in at for j in places.get(tuple(own[x : x + k]), ())})
+        return found
+
     def leaks(self, texts: list[str]) -> list[tuple[int, int, float, int]]:
         """(text's place, item's place in the list, similarity, first word) of each item that one of the texts holds."""
         split = [words(t) for t in texts]
-        sizes = np.array([len(x) for x in split], np.int64)
-        flat = [x for own in split for x in own]
-        checked: dict[tuple[int, int, int], float] = {}
+        held = self.held(split)
+        some = sorted({text for text, _ in held})
+        sizes = np.array([len(split[x]) for x in some], np.int64)
+        flat = [x for text in some for x in split[text]]
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         last = np.repeat(np.cumsum(sizes), sizes)
-        which = np.repeat(np.arange(len(split)), sizes)
+        which = np.repeat(np.array(some, np.int64), sizes)
         for base in range(0, len(flat), SPAN):
             # neighbouring spans share enough words that no window is lost between them
             sums = self.sums(self.ids(flat[base : base + SPAN + CLASSES[-1]]))
             here = np.arange(base, min(base + SPAN, len(flat)))
             for c, group in self.classes.items():
-                starts = here[((here - first[here]) % group["step"] == 0) & (here + c <= last[here])]
-                if not len(starts):
-                    continue
-                window, hit = self.found(c, self.fingerprints(sums, starts - base, c))
-                texts_, places = which[starts[window]], starts[window] - first[starts[window]] - group["place"][hit]
-                for key in set(zip(texts_.tolist(), group["item"][hit].tolist(), places.tolist())).difference(checked):
-                    checked[key] = self.similarity(key[1], split[key[0]], key[2])
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for (text, item, at), s in checked.items():
-            if s >= SIMILARITY and (-s, at) < best.get((text, item), (0, 0)):
-                best[text, item] = (-s, at)
-        return [(text, item, -s, max(0, at)) for (text, item), (s, at) in sorted(best.items())]
-
-    def similarity(self, item: int, own: list[str], at: int) -> float:
-        size, needed = len(self.items[item][1]), self.shingles[item]
-        slack = size // 8 + 1
-        region = own[max(0, at - slack) : at + size + slack]
-        k = min(SHINGLE, size)
-        have = {tuple(region[j : j + k]) for j in range(len(region) - k + 1)}
-        return sum(w for s, w in needed.items() if s in have) / sum(needed.values())
+                starts = here[here + c <= last[here]]
+                for k in range(0, len(starts), STARTS):
+                    own = starts[k : k + STARTS]
+                    window, hit = self.found(c, self.fingerprints(sums, own - base, c))
+                    texts_, places = which[own[window]], own[window] - first[own[window]] - group["place"][hit]
+                    for text, item, at in set(zip(texts_.tolist(), group["item"][hit].tolist(), places.tolist())):
+                        if (text, item) in held:
+                            held[text, item][1].add(at)
+        return [(text, item, s, max(0, min(ats, key=lambda at: (-self.aligned(item, split[text], at), at)))) for (text, item), (s, ats) in sorted(held.items())]
+
+    def aligned(self, item: int, own: list[str], at: int) -> float:
+        """Weight of the item's shingles that stand in their places where the item begins at a word."""
+        w, needed = self.items[item][1], self.shingles[item]
+        k = min(SHINGLE, len(w))
+        return sum(needed[tuple(w[j : j + k])] for j in range(max(0, -at), min(len(w), len(own) - at) - k + 1) if own[at + j : at + j + k] == w[j : j + k])
 
 
 @lru_cache(maxsize=1)

@@ -242,6 +242,37 @@ def test_decontamination_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in parts.collect()} == want
 
 
+def test_edited_copies_against_brute_force():
+    random.seed(6)
+    folder = "/root/testdata/sf0.01"
+    docs, items = pd.read_parquet(f"{folder}/documents.parquet"), pd.read_parquet(f"{folder}/benchmark.parquet")
+    index = decontaminate.Index(list(zip(items.item_id, items.text)))
+    hosts = [w for t in docs.text if 60 < len(w := decontaminate.words(t)) < 600][:60]
+    texts, whole = [], {}
+    for number, (_, w) in enumerate(index.items):
+        n, new = len(w), lambda k: [f"z{random.randrange(10**6)}" for _ in range(k)]
+        cut = random.randrange(1, n)
+        edits = [w, w[:cut] + new(max(1, n // 5)) + w[cut:], w[:cut] + new(200) + w[cut:], w[n // 10 :], w[: n - n // 10], w[: cut - 1] + new(2) + w[cut + 1 :]]
+        for kind, copy in enumerate(edits):
+            host = random.choice(hosts)
+            at = random.randrange(len(host))
+            if kind == 0:
+                whole[len(texts), number] = at
+            texts.append(" ".join(host[:at] + copy + host[at:]))
+    want = {}
+    for k, t in enumerate(texts):
+        w = decontaminate.words(t)
+        have = {n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for n in range(1, 6)}
+        for item, ((_, own), needed) in enumerate(zip(index.items, index.shingles)):
+            s = sum(x for g, x in needed.items() if g in have[min(5, len(own))]) / sum(needed.values())
+            if s >= 0.8:
+                want[k, item] = s
+    made = index.leaks(texts)
+    assert {(k, item): s for k, item, s, _ in made} == want and len(made) == len(want)
+    first = {(k, item): at for k, item, _, at in made}
+    assert all(first[x] == at for x, at in whole.items())
+
+
 def test_html():
     text = lambda page: html_text.Extractor().text(page, None, None)
     assert text(None) == text("") == text("<script>x</script>") == ""
