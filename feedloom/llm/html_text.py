@@ -1,14 +1,15 @@
 """Operator 3: main text of web pages by wrapper induction.
 
-A few different pages of each host (bounded: one for each of REFERENCES hash classes) are aligned as DOM trees by simple tree
-matching, the ordered matching of most nodes. Text that all of them have in the same slot is the host's template. Every page is
-aligned with its host's first reference; what it has in common with the template there is dropped, the varying slots are
-content, unless their element or its class says menu, header, footer, sidebar, notice, advert, form or comments. If a page has
-an article (or main) element, only those count. A host whose references are copies of one article would make the
-article template: constants that make up more than half of a page's content are therefore kept.
+Every page's texts stand in slots: the path of elements and classes that leads to a text. Over all different pages of a host, and
+over those of each of its layouts (the block elements near the root), it is counted how many hold the same text in the same slot;
+what NEARLY all of them hold is the template. It is dropped from every page of the host, the varying texts are content, unless
+their element or its class says menu, header, footer, sidebar, notice, advert, form or comments. If a page has an article (or
+main) element, only those count. Pages that are copies of one article would make the article template: where the constants leave
+next to nothing, or of FEW pages less than half, they are kept.
 
 Null or empty pages have empty text; a text without tags is one block; unclosed and stray tags are borne; repeated pages are
-each extracted; pages without a host share one group. A host with one distinct page has no template, only the element rules.
+each extracted; pages without a host share one group. A host with one distinct page
+has no template, only the element rules.
 """
 
 from __future__ import annotations
@@ -16,23 +17,28 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import slices, table
+from feedloom.llm.common import slices, table, written
 
-#: Different pages of a host that its template is induced from, at most.
-REFERENCES = 4
-#: Shapes and their matchings that a worker remembers.
-CACHE = 200_000
+#: Share of the pages that hold a text of the template.
+NEARLY = 0.9
+#: Different pages that a layout of its own has at least (a host: two).
+LEAST = 3
+#: Constants that leave less than this share of the text, or so many characters a page, are copies; of fewer than FEW pages, those that leave less than half.
+COPIES, COPY_CHARS, FEW = 0.05, 20, 5
+#: Depth of the elements that make a layout.
+DEPTH = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|(?P<text>[^<]+|<)", re.S | re.I)
+_DIGITS = re.compile(r"\d+")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set(
@@ -47,11 +53,11 @@ _OTHER_WORDS = set(
 
 
 class Node:
-    __slots__ = ("key", "tag", "other", "children", "text", "shape", "number")
+    __slots__ = ("key", "tag", "other", "children", "text", "number")
 
     def __init__(self, tag: str, key: str = "", text: str = ""):
         self.tag, self.key, self.text = tag, key, text
-        self.other, self.children, self.shape, self.number = False, [], 0, -1
+        self.other, self.children, self.number = False, [], -1
 
 
 def parse(page: str) -> Node:
@@ -106,111 +112,53 @@ def _end(stack: list[Node], tags: set[str], scope: set[str]) -> None:
             return
 
 
-class Matcher:
-    """Simple tree matching. Trees of the same tags share a shape, and shapes are matched once."""
+def contents(root: Node) -> list[tuple[Node, int]]:
+    """The elements that hold the content, with the hashes of their paths: articles if there are any, else the page."""
+    main: list[tuple[Node, int]] = []
+    todo = [(root, 0)]
+    while todo:
+        node, path = todo.pop()
+        if node.tag in ("article", "main") or "role=main" in node.key:
+            if not node.other:
+                main.append((node, path))
+        elif not node.other:
+            todo += [(c, _under(path, c)) for c in reversed(node.children)]
+    return main or [(root, 0)]
 
-    def __init__(self):
-        self.ids: dict[tuple, int] = {}
-        self.shapes: list[tuple[str, tuple[int, ...], int]] = [("", (), 0)]
-        self.known: dict[tuple[int, int], int] = {}
 
-    def tree(self, page: str) -> Node:
-        root = parse(page)
-        self._shape(root)
-        return root
-
-    def _shape(self, root: Node) -> None:
-        order, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            order.append(node)
-            todo += node.children
-        for node in reversed(order):
-            own = (node.key, tuple(c.shape for c in node.children))
-            found = self.ids.get(own)
-            if found is None:
-                found = self.ids[own] = len(self.shapes)
-                self.shapes.append((*own, 1 + sum(self.shapes[c][2] for c in own[1])))
-            node.shape = found
-
-    def score(self, a: int, b: int) -> int:
-        """Nodes that the best matching of two shapes pairs."""
-        if a == b:
-            return self.shapes[a][2]
-        (ka, ca, _), (kb, cb, _) = self.shapes[a], self.shapes[b]
-        if ka != kb:
-            return 0
-        if (a, b) not in self.known:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            self.known[a, b] = 1 + sum(self.score(ca[i], cb[j]) for i, j in self.matched(ca, cb))
-        return self.known[a, b]
-
-    def matched(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
-        """Places of the children that the best ordered matching pairs."""
-        start, n, m = 0, len(a), len(b)
-        # equal shapes at either end belong together in some best matching
-        while start < min(n, m) and a[start] == b[start]:
-            start += 1
-        while min(n, m) > start and a[n - 1] == b[m - 1]:
-            n, m = n - 1, m - 1
-        ends = [(i, i) for i in range(start)] + [(n + k, m + k) for k in range(len(a) - n)]
-        if n == start or m == start:
-            return ends
-        rows = [[0] * (m - start + 1)]
-        for i in range(start, n):
-            last, row = rows[-1], [0]
-            for j in range(start, m):
-                row.append(max(last[j - start + 1], row[-1], last[j - start] + self.score(a[i], b[j])))
-            rows.append(row)
-        i, j, pairs = n - start, m - start, []
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((start + i, start + j))
-        return ends + pairs
-
-    def texts(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """Pairs of texts that stand in the same slot."""
-        found, todo = [], [(a, b)]
-        while todo:
-            x, y = todo.pop()
-            if x.key == "#text":
-                found.append((x, y))
-            for i, j in self.matched(tuple(c.shape for c in x.children), tuple(c.shape for c in y.children)):
-                if x.children[i].key == y.children[j].key:
-                    todo.append((x.children[i], y.children[j]))
-        return found
-
-
-def induce(pages: list[str]) -> list[int]:
-    """Numbers of the first page's texts that all pages have in the same slot."""
-    if len(pages) < 2:
-        return []
-    matcher = Matcher()
-    first = matcher.tree(pages[0])
-    common = None
-    for other in pages[1:]:
-        same = {x.number for x, y in matcher.texts(first, matcher.tree(other)) if x.text == y.text}
-        common = same if common is None else common & same
-    return sorted(common)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def blocks(root: Node, dropped: set[int]) -> list[str]:
-    """The content's blocks in page order."""
-    main: list[Node] = []
-    todo = [root]
+def _under(path: int, node: Node) -> int:
+    """Hash of a path and the next element; numbers in its classes count pages."""
+    return _hash(f"{path}/{_DIGITS.sub('#', node.key)}")
+
+
+def slots(root: Node) -> dict[int, tuple[int, int]]:
+    """By number of each text of the content: hash of its slot and itself, and its length."""
+    found = {}
+    todo = contents(root)
     while todo:
-        node = todo.pop()
-        if node.tag in ("article", "main") or "role=main" in node.key:
-            if not node.other:
-                main.append(node)
+        node, path = todo.pop()
+        if node.key == "#text":
+            found[node.number] = (_hash(f"{path}\0{node.text}"), len(node.text))
         elif not node.other:
-            todo += reversed(node.children)
+            todo += [(c, _under(path, c)) for c in node.children]
+    return found
+
+
+def layout(root: Node) -> int:
+    """Hash of the paths of the block elements down to DEPTH."""
+    paths, level = set(), [(root, 0)]
+    for _ in range(DEPTH):
+        level = [(c, _under(path, c)) for node, path in level for c in node.children if c.tag in _BLOCK]
+        paths.update(path for _, path in level)
+    return _hash("\0".join(map(str, sorted(paths))))
+
+
+def blocks(root: Node, dropped: set[int]) -> list[str]:
+    """The content's blocks in page order."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -219,9 +167,9 @@ def blocks(root: Node, dropped: set[int]) -> list[str]:
             out.append(text)
         parts.clear()
 
-    todo2: list = list(reversed(main or [root]))
-    while todo2:
-        node = todo2.pop()
+    todo: list = [node for node, _ in reversed(contents(root))]
+    while todo:
+        node = todo.pop()
         if node is None:
             close()
         elif node.key == "#text":
@@ -233,55 +181,64 @@ def blocks(root: Node, dropped: set[int]) -> list[str]:
             parts.append(" ")
         elif node.tag in _BLOCK:
             close()
-            todo2.append(None)
-            todo2 += reversed(node.children)
+            todo.append(None)
+            todo += reversed(node.children)
         else:
-            todo2 += reversed(node.children)
+            todo += reversed(node.children)
     close()
     return out
 
 
 class Extractor:
-    def __init__(self):
-        self.matcher = Matcher()
-        self.reference = lru_cache(maxsize=256)(self.matcher.tree)
-
-    def text(self, page: str | None, reference: str | None, constants: list[int] | None) -> str:
+    def text(self, page: str | None, constants: list[int] | None, more: list[int] | None) -> str:
+        """The content without the constants of the host and of its layouts."""
         if not page:
             return ""
-        if len(self.matcher.shapes) > CACHE:
-            self.__init__()
-        root = self.matcher.tree(page)
-        whole = blocks(root, set())
-        if not reference or not constants:
-            return "\n\n".join(whole)
-        fixed = set(constants)
-        dropped = {x.number for x, y in self.matcher.texts(root, self.reference(reference)) if y.number in fixed and x.text == y.text}
-        left = blocks(root, dropped) if dropped else whole
-        if 2 * sum(map(len, left)) < sum(map(len, whole)):
-            left = whole
-        return "\n\n".join(left)
+        root = parse(page)
+        fixed = {*(constants or ()), *(more or ())}
+        return "\n\n".join(blocks(root, {number for number, (slot, _) in slots(root).items() if slot in fixed} if fixed else set()))
+
+
+def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["host", "h", "layout", "slots", "chars"]
+    for batch in batches:
+        for part in slices(batch, "html"):
+            rows = []
+            for page in part.column(1).to_pylist():
+                root = parse(page)
+                own: dict[int, int] = {}
+                for slot, n in slots(root).values():
+                    own[slot] = own.get(slot, 0) + n
+                # slot 0 counts the page and all its characters
+                own[0] = sum(own.values())
+                rows.append((_hash(page), layout(root) or 1, list(own), list(own.values())))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))], names=names)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, reference, constants) of each host."""
-    own = pages.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("h"))
-    picks = [F.min_by("html", F.when(F.pmod("h", F.lit(REFERENCES)) == k, F.col("h"))).alias(f"p{k}") for k in range(REFERENCES)]
-    picked = own.groupBy("host").agg(*picks).select("host", F.array_compact(F.array(*[F.col(f"p{k}") for k in range(REFERENCES)])).alias("pages"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages_ = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] if p else None for p in pages_], pa.string()), pa.array([induce(p or []) for p in pages_], pa.list_(pa.int32()))], names=["host", "reference", "constants"])
-
-    return picked.mapInArrow(run, "host string, reference string, constants array<int>")
+    """(host, constants, more) of each host: slots constant over all its pages, and over the pages of one of its layouts."""
+    own = pages.where(F.length("html") > 0).select("host", "html").mapInArrow(_slots_of, "host string, h long, layout long, slots array<long>, chars array<long>")
+    # layout 0: the whole host
+    distinct = own.dropDuplicates(["host", "h"]).select("host", F.explode(F.array("layout", F.lit(0).cast("long"))).alias("layout"), F.arrays_zip("slots", "chars").alias("all"))
+    counted = distinct.select("host", "layout", F.inline("all")).groupBy("host", "layout", F.col("slots").alias("slot")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    # texts of one page aren't constant
+    counted = written(counted.where("n > 1 OR slot = 0"), "slots")
+    sizes = counted.where("slot = 0").select("host", "layout", F.col("n").alias("pages"), F.col("chars").alias("total")).where(F.col("pages") >= F.when(F.col("layout") == 0, 2).otherwise(LEAST))
+    constant = counted.where("slot != 0").join(sizes, ["host", "layout"]).where(F.col("n") >= NEARLY * F.col("pages"))
+    found = constant.groupBy("host", "layout", "pages", "total").agg(F.collect_set("slot").alias("slots"), F.sum("chars").alias("fixed"))
+    left = F.col("total") - F.col("fixed")
+    copies = (left < COPIES * F.col("total")) | (left < COPY_CHARS * F.col("pages")) | ((F.col("pages") < FEW) & (2 * left < F.col("total")))
+    all_of = lambda which: F.array_distinct(F.flatten(F.collect_list(F.when(which, F.col("slots")))))
+    return found.where(~copies).groupBy("host").agg(all_of(F.col("layout") == 0).alias("constants"), all_of(F.col("layout") != 0).alias("more"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    joined = rows.join(wrappers(rows), "host", "left").select("page_id", "url", "html", "reference", "constants")
+    # written first, as then its size is known: where it is small, no page moves
+    joined = rows.join(written(wrappers(rows), "wrappers"), "host", "left").select("page_id", "url", "html", "constants", "more")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -292,6 +292,19 @@ def test_wrapper_induction(spark):
     assert made[7]["n_chars"] == len(made[7]["text"])
 
 
+def test_wrappers_of_two_layouts_and_short_articles(spark):
+    foot = "All rights of this site are reserved by its owners and writers, whatever they wrote and wherever it is read."
+    one = lambda k: f"<div class='top'><p>Share this page</p></div><div class='body'><h1>Title {k} of many</h1>{''.join(f'<p>paragraph {k} {j}</p>' for j in range(k % 3 + 1))}</div><div><p>{foot}</p></div>"
+    two = lambda k: f"<table><tr><td>Our writers</td><td>News number {k} of a few words</td><td>{foot * 3}</td></tr></table>"
+    rows = [(k, "https://a.example/", one(k) if k % 2 else two(k)) for k in range(60)]
+    article = "".join(f"<p>sentence {j} of the one article</p>" for j in range(9))
+    rows += [(100 + k, "https://copies.example/", f"<div>{article}<p>{k}</p></div>") for k in range(8)]
+    made = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(60):
+        assert made[k] == ("\n\n".join([f"Title {k} of many", *(f"paragraph {k} {j}" for j in range(k % 3 + 1))]) if k % 2 else f"News number {k} of a few words")
+    assert all("sentence 8 of the one article" in made[100 + k] for k in range(8))
+
+
 def test_warc_magic_in_payloads(spark, tmp_path):
     fake = "x" * 120 + "WARC/1.0\r\nContent-Length: 5\r\n\r\nab\r\n\r\n"
     nested = "é" * 100 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nWARC/1.0\r\n"
