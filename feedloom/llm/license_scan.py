@@ -1,6 +1,7 @@
 """Operator 5 (native): licence phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line. Template and block are sets of words; they match if the block holds at least CONTAINMENT of the template's
+A block is a line, or, as notices are wrapped, as many words on end as a template has, across lines: such a window begins at each
+word of the template and meets templates of that length only. Template and block are sets of words; they match if the block holds at least CONTAINMENT of the template's
 words. One global order, rarest first by the number of documents that hold a word, fixes for each template a prefix such that
 a block without any word of it cannot match. Blocks meet templates on prefix words only; of the first common word's places in
 both ordered sets follows how many words they can still share (positional filter), as from the sets' sizes (length filter).
@@ -45,10 +46,14 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _words_of(text: str) -> list[str]:
+def _all_words_of(text: str) -> list[str]:
     import re
 
-    return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UPPER, _LOWER)))))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
+def _words_of(text: str) -> list[str]:
+    return list(dict.fromkeys(_all_words_of(text)))
 
 
 def needed(size: int) -> int:
@@ -74,17 +79,17 @@ def global_order(docs: DataFrame) -> list[str]:
 
 
 def matches(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """(key, label, containment) of the templates that the blocks (key, block) match."""
+    """(key, label, containment) of the templates that the blocks (key, words, span) match; span: length of the templates to compare with, null: all."""
     spark = blocks.sparkSession
     rows = []
     for t, (template, label) in enumerate(TEMPLATES.items()):
         own = sorted(_words_of(template), key=order.index)
         for place, word in enumerate(own[: len(own) - needed(len(own)) + 1]):
-            rows.append((word, t, label, place, len(own), needed(len(own)), own))
-    index = spark.createDataFrame(rows, "word string, template int, label string, place int, size int, needed int, own array<string>")
+            rows.append((word, t, label, place, len(own), needed(len(own)), own, len(_all_words_of(template))))
+    index = spark.createDataFrame(rows, "word string, template int, label string, place int, size int, needed int, own array<string>, length int")
     prefix = sorted({r[0] for r in rows})
-    sets = blocks.select("key", F.array_intersect(_array(order), words(F.col("block"))).alias("held")).where(F.arrays_overlap("held", _array(prefix)))
-    met = sets.select("key", "held", F.posexplode("held").alias("at", "word")).join(F.broadcast(index), "word")
+    sets = blocks.select("key", "span", F.array_intersect(_array(order), F.col("words")).alias("held")).where(F.arrays_overlap("held", _array(prefix)))
+    met = sets.distinct().select("key", "span", "held", F.posexplode("held").alias("at", "word")).join(F.broadcast(index), "word").where("span IS NULL OR span = length")
     possible = met.where(
         (F.size("held") >= F.col("needed")) & (1 + F.least(F.col("size") - F.col("place") - 1, F.size("held") - F.col("at") - 1) >= F.col("needed"))
     )
@@ -92,6 +97,16 @@ def matches(blocks: DataFrame, order: list[str]) -> DataFrame:
     return possible.where(shared >= F.col("needed")).select("key", "label", (shared / F.col("size")).alias("containment"))
 
 
+def windows(w: Column) -> Column:
+    """(words, span) of the windows as long as a template that begin at one of the words of such a template."""
+    starts: dict[int, set[str]] = {}
+    for template in TEMPLATES:
+        starts.setdefault(len(_all_words_of(template)), set()).update(_words_of(template))
+    at = lambda own: F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(_array(sorted(own)), x), i + 1)), lambda i: i.isNotNull())
+    cut = lambda n: lambda i: F.struct(F.slice(w, i, n).alias("words"), F.lit(n).alias("span"))
+    return F.concat(*[F.transform(at(own), cut(n)) for n, own in sorted(starts.items())])
+
+
 def _places(w: Column, phrase: str) -> Column:
     parts = phrase.split(" ")
     here = lambda x, i: F.when(
@@ -131,7 +146,10 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(F.transform(x, lambda s: s["at"])).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform(x, lambda s: s["label"]))).alias("own"))).alias("b"), "may.blocks")
     # equal texts have equal blocks: labels belong to the text's digest
-    blocks = seen.where("may.blocks").select("key", F.explode(F.split("text", "\n")).alias("block"))
+    may = seen.where("may.blocks")
+    lines = may.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", words(F.col("line")).alias("words"), F.lit(None).cast("int").alias("span"))
+    # a text of one line is its own only block: it holds all windows
+    blocks = lines.unionByName(may.where(F.contains("text", F.lit("\n"))).select("key", F.inline(bind(words(F.col("text")), windows))))
     labelled = matches(blocks, order).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     out = base.where("blocks").join(labelled, "key", "left").unionByName(
         base.where("NOT blocks").withColumns({"more": F.lit(None).cast("array<string>"), "containment": F.lit(None).cast("double")}))

@@ -305,6 +305,13 @@ def test_wrappers_of_two_layouts_and_short_articles(spark):
     assert all("sentence 8 of the one article" in made[100 + k] for k in range(8))
 
 
+def test_wrapped_notices(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software\n# and associated documentation files"
+    texts = [mit, "some words\nbefore and\nRedistribution and use in source\n and binary forms, with or\n without modification,\nare permitted", mit.replace("\n# ", " "), "Permission\n" + "is other words " * 20 + "\nhereby granted free"]
+    made = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert made == {0: "notice:mit", 1: "notice:bsd", 2: "notice:mit", 3: ""}
+
+
 def test_warc_magic_in_payloads(spark, tmp_path):
     fake = "x" * 120 + "WARC/1.0\r\nContent-Length: 5\r\n\r\nab\r\n\r\n"
     nested = "é" * 100 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nWARC/1.0\r\n"
