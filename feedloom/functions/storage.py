@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new temporary folder, set from now on, where that is unset (local runs)."""
+    """spark.checkpoint.dir. Where that is unset, a local session gets a new temporary folder, and a cluster an error: its executors share no local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -21,8 +23,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/feedloom-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of df, written once and read back; lineage ends here."""
+def written_at(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """The rows of df, written once and read back, and their folder; lineage ends here, and a lost executor costs a read."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_path() named, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
