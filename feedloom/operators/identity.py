@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from feedloom.operators.phrases import has
 
 # Words that don't tell names apart, and nouns that families are named by.
-STOP = "a an and for the with without of to in on my new best review compact simple small lightweight portable everyday recycled".split()
-MATERIALS = "nylon leather polyester abs titanium wooden wood steel aluminum silicone plastic".split()
-NOUNS = "backpack pouch bag pillow bottle tumbler wallet lamp organizer opener board box holder sleeve software app extension dashboard agent editor".split()
+STOP = ["a", "an", "and", "for", "the", "with", "without", "of", "to", "in", "on", "my", "new", "best", "review", "compact", "simple", "small", "lightweight", "portable", "everyday", "recycled"]
+MATERIALS = ["nylon", "leather", "polyester", "abs", "titanium", "wooden", "wood", "steel", "aluminum", "silicone", "plastic"]
+NOUNS = ["backpack", "pouch", "bag", "pillow", "bottle", "tumbler", "wallet", "lamp", "organizer", "opener", "board", "box", "holder", "sleeve", "software", "app", "extension", "dashboard", "agent", "editor"]
 # End of the fixed values.
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.storage import written
+
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str = "row_number") -> DataFrame:
     """The first n rows of each key; rank="rank" keeps ties."""
@@ -48,11 +51,47 @@ def upsert_counts(old: DataFrame, batch: DataFrame, keys: Sequence[str]) -> Data
 
 
 def insert_absent(old: DataFrame, batch: DataFrame, unique: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Stored rows, and those of the batch that are first with each of their unique values and clash with no stored one."""
-    fresh = batch
+    """Stored rows, and those of the batch that would be let in one after another: a row is if no stored row and no row let in before it has one of its unique values.
+
+    Rows that wait for an earlier one are decided in rounds on written tables, so a row that clashes only with a refused one gets
+    in. Rows are taken in `order`; of equal ones in the order of their unique values. Null values clash with nothing.
+    """
+    mine = batch.select(*old.columns)
+    keyed = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in unique])
+    kept, mine = mine.where(~keyed), best_per_key(mine.where(keyed), unique, order)
     for k in unique:
-        fresh = best_per_key(fresh.join(old.select(k), k, "left_anti"), [k], order)
-    return old.unionByName(fresh.select(*old.columns))
+        mine = mine.join(old.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+    state = written(mine.select(*old.columns), "fresh")
+    while True:
+        ranked = state
+        for i, k in enumerate(unique):
+            # nulls are told apart, as they clash with nothing
+            first = Window.partitionBy(k, F.when(F.col(k).isNull(), F.xxhash64(*unique))).orderBy(*order, *unique)
+            ranked = ranked.withColumn(f"__{i}", F.row_number().over(first))
+        now = written(ranked.withColumn("__in", reduce(lambda a, b: a & b, [F.col(f"__{i}") == 1 for i in range(len(unique))])), "round")
+        chosen = now.where("__in").select(*old.columns)
+        kept = kept.unionByName(chosen)
+        rest = now.where("NOT __in").select(*old.columns)
+        for k in unique:
+            rest = rest.join(chosen.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+        state = written(rest.select(*old.columns), "fresh")
+        if state.isEmpty():
+            return old.unionByName(kept)
+
+
+def attached(df: DataFrame, key: str, results: Sequence[tuple[DataFrame, Mapping[str, object]]]) -> DataFrame:
+    """df with the columns of each result (one row a key at most) and their defaults where a key has none."""
+    for result, defaults in results:
+        df = df.join(result.select(key, *defaults), key, "left")
+        df = df.withColumns({c: F.coalesce(c, F.array().cast(result.schema[c].dataType) if v == [] else F.lit(v).cast(result.schema[c].dataType)) for c, v in defaults.items()})
+    return df
+
+
+def checked_records(df: DataFrame, filled: Sequence[str], url: str, text: str) -> DataFrame:
+    """Adds valid: all of `filled` hold more than white space and the URL is http(s) with a host; a null text becomes empty."""
+    address = F.coalesce(F.col(url).rlike(r"(?i)^https?://[^/?#\s]+"), F.lit(False))
+    full = reduce(lambda a, b: a & b, [F.coalesce(F.trim(F.col(c)) != "", F.lit(False)) for c in filled], address)
+    return df.withColumn("valid", full).withColumn(text, F.coalesce(text, F.lit("")))
 
 
 def changes_only(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column) -> DataFrame:

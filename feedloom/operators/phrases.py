@@ -8,7 +8,8 @@ Letters of any script count as word characters. Null texts match nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,13 +27,41 @@ def pattern(patterns: Sequence[str], kind: str = "word") -> str:
     return f"(?i)(?:{joined})" if kind == "part" else f"(?i)(?:^|{EDGE})(?:{joined})(?:$|{EDGE})"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def leads(regex: str) -> list[str]:
+    """Letters, in lower case, with one of which every match of the regular expression begins; none if that isn't plain to see."""
+    if re.search(r"\|(?![^()]*\))", regex):
+        return []
+    group = re.match(r"\(\?:([^()]*)\)(?![?*{])", regex)
+    found = []
+    for start in group[1].split("|") if group else [regex]:
+        own = re.match(r"[\w' \-]*", start, re.ASCII)[0]
+        # what a quantifier makes optional isn't sure to be there
+        found.append((own[:-1] if start[len(own) : len(own) + 1] in ("?", "*", "{") else own).lower())
+    return found if all(found) else []
+
+
+def _tested(low: Column, patterns: Sequence[str], kind: str) -> Column:
+    """Whether one of the patterns occurs in a lower-cased text. Searching for plain letters is cheap, and most texts hold none of them."""
+    starts = [leads(p) if kind == "regex" else [p.lower()] for p in patterns]
+    lead = reduce(lambda a, b: a | b, [low.contains(x) for x in dict.fromkeys(x for own in starts for x in own)], F.lit(False))
+    if kind == "part":
+        return F.coalesce(lead, F.lit(False))
+    found = low.rlike(pattern(patterns, kind))
+    return F.coalesce(F.when(lead, found) if all(starts) else found, F.lit(False))
+
+
 def any_of(text: Column, patterns: Sequence[str], kind: str = "word") -> Column:
-    return F.coalesce(text.rlike(pattern(patterns, kind)), F.lit(False))
+    return bind(F.lower(text), lambda low: _tested(low, patterns, kind))
 
 
 def flags(text: Column, table: Mapping[str, Sequence[str]], kind: str = "word") -> Column:
     """The flags that are set, in the table's order."""
-    return F.array_compact(F.array(*[F.when(any_of(text, p, kind), F.lit(name)) for name, p in table.items()]))
+    return bind(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(_tested(low, p, kind), F.lit(name)) for name, p in table.items()])))
 
 
 def matched(text: Column, phrases: Sequence[str]) -> Column:
@@ -42,10 +71,14 @@ def matched(text: Column, phrases: Sequence[str]) -> Column:
 
 def first_label(text: Column, table: Mapping[str, Sequence[str]], default: str | None = None, kind: str = "part") -> Column:
     """The label of the first rule that matches."""
-    out = F.lit(default)
-    for label, p in reversed(list(table.items())):
-        out = F.when(any_of(text, p, kind), F.lit(label)).otherwise(out)
-    return out
+
+    def chain(low: Column) -> Column:
+        out = F.lit(default).cast("string")
+        for label, p in reversed(list(table.items())):
+            out = F.when(_tested(low, p, kind), F.lit(label)).otherwise(out)
+        return out
+
+    return bind(F.lower(text), chain)
 
 
 def padded(text: Column, terms: Sequence[str]) -> Column:

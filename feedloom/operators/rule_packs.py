@@ -8,27 +8,35 @@ from pyspark.sql import functions as F
 from feedloom.operators.phrases import any_of, clamp, flags, has, matched, padded, weights
 
 # Phrase lists, patterns, weights and thresholds of the packs.
-PHYSICAL = "organizer; holder; case; clip; mount; stand; bag; pouch; rack; hook; bottle; container; EDC; tool; camping gear; travel accessory; desk accessory; storage accessory; physical tool; DIY accessory".split("; ")
-PHYSICAL_PRIORITY = "small; compact; lightweight; simple; portable; low cost; easy to carry; EDC; travel; camping; desk; organizer; storage; simple tool; DIY accessory".split("; ")
-PHYSICAL_RISK = "food; supplement; medicine; medical; cosmetic; cream; serum; drug; bluetooth; wireless; router; complex electronics; certification required".split("; ")
-SOFTWARE = "browser; dashboard; AI agent; Git; API; SaaS; analytics; extension; automation; editor; workspace; web app; software; app; plugin; UI; design system; productivity tool; ElevenLabs".split("; ")
-SOFTWARE_MVP = "web tool; app; Chrome extension; browser extension; productivity tool; marketing tool; content tool; AI wrapper; automation; analytics; dashboard; plugin; no-code; AI agent; AI agents; editor; UI".split("; ")
-SOFTWARE_COMPLEX = (
-    "enterprise SaaS; enterprise platform; AI infrastructure; model training; database infrastructure; cybersecurity infrastructure; financial infrastructure; banking platform; "
-    "developer infrastructure; distributed system; large engineering team").split("; ")
-INSPIRATION = "concept design; design concept; concept product; industrial design; experimental design".split("; ")
+PHYSICAL = [
+    "organizer", "holder", "case", "clip", "mount", "stand", "bag", "pouch", "rack", "hook", "bottle", "container", "EDC", "tool", "camping gear", "travel accessory", "desk accessory", "storage accessory", "physical tool",
+    "DIY accessory",
+]
+PHYSICAL_PRIORITY = ["small", "compact", "lightweight", "simple", "portable", "low cost", "easy to carry", "EDC", "travel", "camping", "desk", "organizer", "storage", "simple tool", "DIY accessory"]
+PHYSICAL_RISK = ["food", "supplement", "medicine", "medical", "cosmetic", "cream", "serum", "drug", "bluetooth", "wireless", "router", "complex electronics", "certification required"]
+SOFTWARE = ["browser", "dashboard", "AI agent", "Git", "API", "SaaS", "analytics", "extension", "automation", "editor", "workspace", "web app", "software", "app", "plugin", "UI", "design system", "productivity tool", "ElevenLabs"]
+SOFTWARE_MVP = [
+    "web tool", "app", "Chrome extension", "browser extension", "productivity tool", "marketing tool", "content tool", "AI wrapper", "automation", "analytics", "dashboard", "plugin", "no-code", "AI agent", "AI agents",
+    "editor", "UI",
+]
+SOFTWARE_COMPLEX = [
+    "enterprise SaaS", "enterprise platform", "AI infrastructure", "model training", "database infrastructure", "cybersecurity infrastructure", "financial infrastructure", "banking platform", "developer infrastructure",
+    "distributed system", "large engineering team",
+]
+INSPIRATION = ["concept design", "design concept", "concept product", "industrial design", "experimental design"]
 DESIGN_SOURCES = ("yanko_design", "designboom")
 
 RISKS = {
-    "weapon_or_blade": "knife; blade; axe; weapon; sword; firearm".split("; "),
-    "complex_electronics": (
-        "camera; smartphone; computer; keyboard; power bank; battery system; robot; PCB; drone; smart electronic device; complex circuit; multi-sensor; AI hardware; AI tracking; precision electronics; dock; "
-        "docking station; SSD; storage drive; charger; charging hub; battery hub; computer hardware; Thunderbolt; USB high-speed controller; 20Gbps; SSD storage; battery management; fast charging electronics; battery health check").split("; "),
-    "wireless": "Bluetooth; Wi-Fi; WiFi; 2.4G; cellular; radio transmission; wireless".split("; "),
-    "high_regulation": "food; supplement; oral; cosmetic; cream; serum; medical; medicine; treatment; therapeutic; drug".split("; "),
-    "large_or_heavy": "large furniture; full-size furniture; treadmill; large fitness equipment; heavy machinery; large appliance; industrial machine".split("; "),
-    "high_engineering_barrier": (
-        "complex mechanical engineering; precision optics; high precision electronics; custom complex mold; complex proprietary tooling; hardware-software co-design; complex software and hardware; robotics platform").split("; "),
+    "weapon_or_blade": ["knife", "blade", "axe", "weapon", "sword", "firearm"],
+    "complex_electronics": [
+    "camera", "smartphone", "computer", "keyboard", "power bank", "battery system", "robot", "PCB", "drone", "smart electronic device", "complex circuit", "multi-sensor", "AI hardware", "AI tracking",
+    "precision electronics", "dock", "docking station", "SSD", "storage drive", "charger", "charging hub", "battery hub", "computer hardware", "Thunderbolt", "USB high-speed controller", "20Gbps", "SSD storage",
+    "battery management", "fast charging electronics", "battery health check",
+],
+    "wireless": ["Bluetooth", "Wi-Fi", "WiFi", "2.4G", "cellular", "radio transmission", "wireless"],
+    "high_regulation": ["food", "supplement", "oral", "cosmetic", "cream", "serum", "medical", "medicine", "treatment", "therapeutic", "drug"],
+    "large_or_heavy": ["large furniture", "full-size furniture", "treadmill", "large fitness equipment", "heavy machinery", "large appliance", "industrial machine"],
+    "high_engineering_barrier": ["complex mechanical engineering", "precision optics", "high precision electronics", "custom complex mold", "complex proprietary tooling", "hardware-software co-design", "complex software and hardware", "robotics platform"],
 }
 POSITIVE = {
     "simple_structure": ["simple", "simple structure", "basic construction"],
@@ -93,15 +101,17 @@ DISPLAY_FLAG = {
     "low_tech_modification": "clear_improvement_direction", "existing_simple_product": "clear_existing_product",
 }
 
-ARCHITECTURE = "architecture; architect; building; interior; pavilion; residence; house; cabin; tower; hotel; museum; gallery".split("; ")
-VEHICLE = "automotive; vehicle; car; motorcycle; scooter; camper; trailer; aircraft; yacht".split("; ")
-COMPLEX_TECH = "robot; robotics; smartphone; laptop; computer; processor; artificial intelligence; 3d printer; vr; virtual reality; wireless earbuds; bluetooth; battery; electric vehicle".split("; ")
-PHYSICAL_TERMS = (
-    "product design; furniture; lighting; lamp; backpack; bag; organizer; organiser; storage; bottle; wallet; pouch; accessory; accessories; tool; stationery; kitchen; home; fashion; toy; toys; chair; container; holder; case; packaging").split("; ")
-LARGE_TERMS = "armchair; sofa; couch; dining table; wardrobe; cabinet; large furniture; appliance; refrigerator; trailer".split("; ")
-TECH_CATEGORIES = "technology; wearable; audio; gaming; gadgets; robotics; appliances".split("; ")
-CONCEPT_WORDS = "concept; conceptual; prototype; imagines; lego ideas".split("; ")
-LOW_TECH = "simple; manual; non-electronic; low-tech; mechanical".split("; ")
+ARCHITECTURE = ["architecture", "architect", "building", "interior", "pavilion", "residence", "house", "cabin", "tower", "hotel", "museum", "gallery"]
+VEHICLE = ["automotive", "vehicle", "car", "motorcycle", "scooter", "camper", "trailer", "aircraft", "yacht"]
+COMPLEX_TECH = ["robot", "robotics", "smartphone", "laptop", "computer", "processor", "artificial intelligence", "3d printer", "vr", "virtual reality", "wireless earbuds", "bluetooth", "battery", "electric vehicle"]
+PHYSICAL_TERMS = [
+    "product design", "furniture", "lighting", "lamp", "backpack", "bag", "organizer", "organiser", "storage", "bottle", "wallet", "pouch", "accessory", "accessories", "tool", "stationery", "kitchen", "home", "fashion",
+    "toy", "toys", "chair", "container", "holder", "case", "packaging",
+]
+LARGE_TERMS = ["armchair", "sofa", "couch", "dining table", "wardrobe", "cabinet", "large furniture", "appliance", "refrigerator", "trailer"]
+TECH_CATEGORIES = ["technology", "wearable", "audio", "gaming", "gadgets", "robotics", "appliances"]
+CONCEPT_WORDS = ["concept", "conceptual", "prototype", "imagines", "lego ideas"]
+LOW_TECH = ["simple", "manual", "non-electronic", "low-tech", "mechanical"]
 CREATIVE_SIGNALS = {
     "storage_or_organization": ["storage", "organizer", "organiser", "pocket", "compartment"], "portability_problem": ["portable", "carry", "travel", "packable", "backpack", "bag"],
     "simple_material_change": ["material", "fabric", "leather", "wood", "plastic", "metal", "recycled"], "compact_design": ["compact", "small", "mini", "foldable", "pocket-size"], "modular_design": ["modular", "module", "interchangeable"],
@@ -182,8 +192,10 @@ def commodity(df: DataFrame) -> DataFrame:
 def demand_signal(df: DataFrame) -> DataFrame:
     """Adds signal_status (HIGH, MEDIUM, LOW, NOT_DEMAND), signal_score and signal_type."""
     text = text_of("title", "description")
-    each = {kind: F.least(F.lit(100), sum((F.when(any_of(text, [p], "regex"), w).otherwise(0) for p, w in rules), F.lit(0))) for kind, rules in SIGNALS.items()}
-    scored = df.withColumn("__s", F.array(*[F.struct(each[k].alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(SIGNAL_PRIORITY)]))
+    points = {p: w for rules in SIGNALS.values() for p, w in rules}
+    seen = df.withColumn("__hits", flags(text, {p: [p] for p in points}, "regex"))
+    each = {kind: F.least(F.lit(100), weights(F.array_intersect("__hits", F.array(*[F.lit(p) for p, _ in rules])), dict(rules))) for kind, rules in SIGNALS.items()}
+    scored = seen.withColumn("__s", F.array(*[F.struct(each[k].alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(SIGNAL_PRIORITY)])).drop("__hits")
     found = F.filter("__s", lambda s: s["score"] > 0)
     best = F.array_max("__s")
     total = F.least(F.lit(100), best["score"] + 15 * (F.size(found) - 1))

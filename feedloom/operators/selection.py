@@ -16,6 +16,12 @@ def numbered(df: DataFrame, name: str, order: list[Column], by: list[str] | None
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
 
 
+def ranked(value: Column, values: list[str]) -> Column:
+    """Place of a value in a list, for sorting; what isn't in it comes last."""
+    places = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
+    return F.coalesce(places[value], F.lit(len(values)))
+
+
 def quota_choice(df: DataFrame, run: str, order: list[Column], is_software: Column, score: Column) -> DataFrame:
     """Adds chosen_rank and exclusion for each run: at least LEAST_SCORE, three a theme, two software items, ten in all; others before software.
 

@@ -13,14 +13,14 @@ CORE = {
     "leaf blowers?": "Cordless Leaf Blower", "(?:handheld )?vacuum cleaners?": "Handheld Vacuum Cleaner", "milk frothers?": "Milk Frother", "travel pillows?": "Travel Pillow", "lunch box": "Insulated Lunch Box", "tumblers?": "Insulated Tumbler",
     "power ?banks?": "Power Bank", "tea lights? candles?": "Tea Light Candles", "fruit fly traps?": "Fruit Fly Trap", "canopy tents?": "Canopy Tent", "pillow inserts?": "Pillow Inserts", "overnight oats containers?": "Overnight Oats Containers",
 }
-NO_BRAND = "electric portable flying fruit gaming pro refill upgraded cordless handheld".split()
+NO_BRAND = ["electric", "portable", "flying", "fruit", "gaming", "pro", "refill", "upgraded", "cordless", "handheld"]
 DESIGN = {
     "desk lamp": "Desk Lamp", "bedside lamp": "Bedside Lamp", "turntable": "Turntable", "coffee cups?": "Coffee Cups", "serving tray": "Modular Serving Tray", "tripod": "Camera Tripod", "scissors": "Design Scissors", "food recycler": "Food Recycler",
     "litter box": "Self-Cleaning Litter Box"}
 TREND_RISKS = {
     "regulated": ["supplement", "medicine", "medical", "food", "pesticide", "repellent"], "complex_electronics": ["bluetooth", "wireless", "battery", "electric", "robot", "charger", "camera"],
     "large_or_heavy": ["bed frame", "mattress", "refrigerator", "gaming chair", "floor mirror"], "software_or_digital": ["software", "digital download", "app subscription"]}
-SIMPLE = "organizer storage basket container pouch bag rack holder brush towel mat cover hook tray bottle notebook toy leash collar tool shelf curtain".split()
+SIMPLE = ["organizer", "storage", "basket", "container", "pouch", "bag", "rack", "holder", "brush", "towel", "mat", "cover", "hook", "tray", "bottle", "notebook", "toy", "leash", "collar", "tool", "shelf", "curtain"]
 THEMES = {
     "storage_and_organization": ["organizer", "storage", "basket", "container", "rack", "holder", "shelf"], "bags_and_carry": ["bag", "pouch", "backpack", "tote"], "pet_accessories": ["pet", "dog", "cat", "leash", "collar"],
     "desk_and_office": ["desk", "office", "notebook", "pen"], "outdoor_accessories": ["outdoor", "camping", "garden"], "tools_and_edc": ["tool", "hook", "flashlight"], "home_and_living": ["home", "kitchen", "bath", "towel", "mat", "curtain"]}
