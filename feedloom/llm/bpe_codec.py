@@ -11,6 +11,7 @@ Nulls and empty texts give no ids and empty bytes; repeated rows are encoded eac
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
@@ -20,31 +21,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import map_texts, table
-from feedloom.llm.pretokens import chunks, compiled
+from feedloom.llm.pretokens import chunks, finder
 
-#: Pre-tokens and token pairs that a worker remembers at most.
-CACHE, PAIRS = 400_000, 2_000_000
+#: Pre-tokens (about 250 bytes each, 50 MB) and token pairs (about 90 bytes each, 27 MB) that a task remembers at most.
+CACHE, PAIRS = 200_000, 300_000
 
 
 class Codec:
     def __init__(self, path: str):
-        lines = Path(path).read_bytes().split(b"\n")
-        self.ids = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.bytes = [b""] * (max(self.ids.values()) + 1)
-        for token, i in self.ids.items():
-            self.bytes[i] = token
+        self.bytes = token_bytes(path)
+        self.ids = {token: i for i, token in enumerate(self.bytes) if token}
         #: Halves that the last merge of a token joins; a token that nothing merges into has itself twice.
         self.left = list(range(len(self.bytes)))
         self.right = list(range(len(self.bytes)))
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
         self.automaton = ahocorasick.Automaton()
         for token, i in sorted(self.ids.items(), key=lambda x: x[1]):
             if len(token) == 1 or self._learn(token, i):
                 self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
 
+    def forget(self) -> None:
+        """Empties what is remembered of texts; the vocabulary stays."""
+        self.fits: dict[int, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+
     def _learn(self, token: bytes, i: int) -> bool:
         """Finds the pair that makes the token; False if merging its bytes never arrives at it."""
         for cut in range(1, len(token)):
@@ -73,11 +75,12 @@ class Codec:
                 return True
 
     def _beside(self, a: int, b: int) -> bool:
-        fit = self.fits.get((a, b))
+        key = a << 32 | b
+        fit = self.fits.get(key)
         if fit is None:
-            if len(self.fits) > PAIRS:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            fit = self.fits[a, b] = self._apart(a, b)
+            fit = self.fits[key] = self._apart(a, b)
         return fit
 
     def encode_word(self, word: str) -> tuple[int, ...]:
@@ -127,24 +130,43 @@ class Codec:
         return np.concatenate(parts)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_tokens and ids (little-endian unsigned 32-bit integers, one after another) of each text."""
+@lru_cache(maxsize=1)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = [line.split() for line in Path(path).read_bytes().split(b"\n") if line.strip()]
+    out = [b""] * (1 + max(int(i) for _, i in ranks))
+    for token, i in ranks:
+        out[int(i)] = base64.b64decode(token)
+    return out
 
-    def run(texts: list[str]) -> dict[str, list]:
-        own, find = codec(path), compiled(pattern).findall
+
+def _encoder(path: str, pattern: str) -> Callable[[list[str]], dict[str, list]]:
+    own, find = codec(path), finder(pattern)
+    own.forget()
+
+    def of(texts: list[str]) -> dict[str, list]:
         ids = [own.encode(t, find) for t in texts]
         return {"n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
 
-    return map_texts(docs, run, [("n_tokens", "long"), ("ids", "binary")], keep)
+    return of
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep`, n_tokens and ids (little-endian unsigned 32-bit integers, one after another) of each text."""
+    return map_texts(docs, lambda: _encoder(path, pattern), [("n_tokens", "long"), ("ids", "binary")], keep)
+
+
+def decoded(path: str, ids: bytes) -> bytes:
+    return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and decoded, the bytes that the ids stand for (not always valid UTF-8 if the ids come from elsewhere)."""
+    """`keep` and bytes, those that the ids stand for (not always valid UTF-8 if the ids come from elsewhere)."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
@@ -155,21 +177,29 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
             # few rows at a time: the bytes are some times as long as the ids
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                of = codec(path).bytes.__getitem__
-                made = [b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.binary())], names=[*keep, "decoded"])
+                made = [decoded(path, x) for x in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.binary())], names=[*keep, "bytes"])
 
-    return chosen.mapInArrow(run, T.StructType([*[chosen.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())]))
+    return chosen.mapInArrow(run, T.StructType([*[chosen.schema[c] for c in keep], T.StructField("bytes", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids and of the bytes they decode to."""
+    """doc_id, n_tokens, and the digests of the ids and of the bytes they decode to; encoded and decoded in one pass over the texts."""
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(docs, path, P.PATTERN).withColumn("ids_sha256", F.sha2("ids", 256))
-    own = ("doc_id", "n_tokens", "ids_sha256")
-    return decode(ids, path, own).select(*own, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def run() -> Callable[[list[str]], dict[str, list]]:
+        encoded = _encoder(path, P.PATTERN)
+
+        def of(texts: list[str]) -> dict[str, list]:
+            out = encoded(texts)
+            return {**out, "decoded": [decoded(path, x) for x in out["ids"]]}
+
+        return of
+
+    coded = map_texts(docs, run, [("n_tokens", "long"), ("ids", "binary"), ("decoded", "binary")])
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.functions.storage import new_path, removed, shared_dir, written, written_at  # noqa: F401
+
 #: UTF-8 bytes of text that a task turns into Python objects at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Labelled rows that a classifier is fitted on at most (the ones with the smallest hash of their id).
 LABEL_BOUND = 20_000
 
@@ -28,23 +28,6 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="feedloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: lineage ends here, and a lost executor costs a read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def label_sample(labels: DataFrame, column: str, bound: int = LABEL_BOUND) -> DataFrame:
     """(doc_id, label) of at most `bound` labelled rows outside the held-out fold, each id once; contradicting labels of an id: the larger."""
     return (
@@ -68,26 +51,33 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, f: Callable[[list[str]], dict[str, pa.Array | list]], made: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` columns of df, and those that f makes of each list of texts (null: empty); made: their (name, type)."""
-    chosen = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
+def map_texts(df: DataFrame, f: Callable[[], Callable[[list[str]], dict[str, pa.Array | list]]], made: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """`keep` columns of df, and those made of each list of texts (null: empty); made: their (name, type).
+
+    f() is called once a task and gives the function of the texts, so that whatever this remembers ends with the task. A text that
+    is kept crosses to Python once.
+    """
+    kept = text in keep and df.schema[text].dataType == T.StringType()
+    chosen = df.select(*[F.col(c) for c in keep], *([] if kept else [F.col(text).cast("string").alias("__text")]))
+    at = keep.index(text) if kept else len(keep)
     schema = T.StructType([*[chosen.schema[c] for c in keep], *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = f()
         for batch in batches:
-            for part in slices(batch, "__text"):
-                out = f([t or "" for t in part.column(len(keep)).to_pylist()])
+            for part in slices(batch, batch.schema.names[at]):
+                out = of([t or "" for t in part.column(at).to_pylist()])
                 arrays = [part.column(i) for i in range(len(keep))] + [x if isinstance(x := out[n], (pa.Array, pa.ChunkedArray)) else pa.array(x, ARROW[t]) for n, t in made]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(n for n, _ in made)])
 
     return chosen.mapInArrow(run, schema)
 
 
-def rows_where(docs: DataFrame, score: Callable[[DataFrame, tuple[str, ...]], DataFrame], condition: Column) -> DataFrame:
+def rows_where(docs: DataFrame, score: Callable[[DataFrame, tuple[str, ...], str], DataFrame], condition: Column) -> DataFrame:
     """All columns of the rows of docs whose score meets the condition; columns may have any names, also the score's own."""
     own = [f"__c{i}" for i in range(len(docs.columns))]
-    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], F.col("text"))
-    return score(wide, tuple(own)).where(condition).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own)])
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)])
+    return score(wide, tuple(own), own[docs.columns.index("text")]).where(condition).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own)])
 
 
 #: Arrow types of the columns that map_texts makes.

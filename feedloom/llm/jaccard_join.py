@@ -38,7 +38,7 @@ STEP, TOLERANCE = 32, 1e-4
 #: Members of a bucket that pairs are made of; members of a block of a larger one, about.
 HOT, BLOCK = 20, 768
 #: Pairs of a block that are compared at once.
-AT_ONCE = 200_000
+AT_ONCE = 50_000
 _WORD = re.compile(r"\w+")
 
 

@@ -7,7 +7,7 @@ vector, and its word vector is that plus the normalised sum of the index vectors
 sent to all tasks. A document pools its tokens' vectors (mean and root mean square); a network with one hidden layer, written
 in numpy, is fitted on a bounded labelled sample, and a temperature chosen on a part that it didn't see calibrates it.
 
-Nothing is learnt from the held-out fold. Null and empty texts pool to zero and are scored by the network like any other; with
+Labels are learnt outside the held-out fold only; the word vectors, which know no labels, sum over all texts. Null and empty texts pool to zero and are scored by the network like any other; with
 no labels of both kinds every score is the share of label 1 (0.5 without labels). Repeated rows are scored each; further columns
 of the input are ignored.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ BUCKETS, DIM, ONES, REACH = 1 << 14, 32, 2, 2
 SAME, CAPITALS, OLD_LINE, MARKERS = 0, 1, 2, 8
 HIDDEN, EPOCHS, BATCH, RATE, PENALTY = 32, 40, 256, 3e-3, 1e-4
 THRESHOLD = 0.7
-#: Tokens whose vectors are gathered at once, and tokens that a worker remembers.
-GATHER, CACHE = 1 << 16, 400_000
+#: Tokens whose vectors are gathered at once, and tokens that a task remembers (about 100 bytes each).
+GATHER, CACHE = 1 << 16, 100_000
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -161,14 +161,19 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> dict:
-    """The model: word vectors from all texts, and a network from at most `bound` labelled rows (None if one label is missing)."""
+    """The model: word vectors from all texts, and a network (None if one label is missing) from at most `bound` labelled ids, and, where ids repeat, 2 * bound rows (smallest hashes first)."""
     vectors = word_vectors(docs)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
     chosen = docs.select("doc_id", "text").join(F.broadcast(label_sample(labels, "quality", bound)), "doc_id")
 
-    def run(texts: list[str]) -> dict[str, pa.Array]:
-        x = pooled(texts, sent.value, Tokens())
-        return {"x": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float32()))}
+    def run() -> Callable[[list[str]], dict[str, pa.Array]]:
+        tokens = Tokens()
+
+        def of(texts: list[str]) -> dict[str, pa.Array]:
+            x = pooled(texts, sent.value, tokens)
+            return {"x": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float32()))}
+
+        return of
 
     rows = map_texts(chosen, run, [("x", "array<float>")], ("doc_id", "label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound).collect()
     y = np.array([float(r["label"] > 0) for r in rows])
@@ -181,23 +186,27 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> dict:
     return {"vectors": vectors, "network": network, "share": float(y.mean())}
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep` and score, the probability of label 1, of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: list[str]) -> dict[str, pa.Array]:
-        m = sent.value
-        if m["network"] is None:
-            return {"score": pa.array([m["share"]] * len(texts), pa.float64())}
-        return {"score": pa.array(m["network"].probability(pooled(texts, m["vectors"], Tokens())), pa.float64())}
+    def run() -> Callable[[list[str]], dict[str, pa.Array]]:
+        m, tokens = sent.value, Tokens()
+
+        def of(texts: list[str]) -> dict[str, pa.Array]:
+            if m["network"] is None:
+                return {"score": pa.array([m["share"]] * len(texts), pa.float64())}
+            return {"score": pa.array(m["network"].probability(pooled(texts, m["vectors"], tokens)), pa.float64())}
+
+        return of
 
-    return map_texts(docs, run, [("score", "double")], keep)
+    return map_texts(docs, run, [("score", "double")], keep, text)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (all columns) that score THRESHOLD or more."""
     model = fit(docs, labels)
-    return rows_where(docs, lambda d, keep: score(d, model, keep), F.col("score") >= THRESHOLD)
+    return rows_where(docs, lambda d, keep, text: score(d, model, keep, text), F.col("score") >= THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import map_texts, table
-from feedloom.llm.pretokens import chunks, compiled
+from feedloom.llm.pretokens import chunks, finder
 
-#: Pre-tokens whose counts a worker remembers at most; more are computed again.
-CACHE = 400_000
+#: Pre-tokens whose counts a task remembers at most (about 130 bytes each, 13 MB); more are computed again.
+CACHE = 100_000
 #: Context length of the digest column over_limit.
 LIMIT = 512
 
@@ -83,8 +83,8 @@ def _counter(path: str, pattern: str):
 
     def count(texts: list[str]) -> dict[str, list]:
         special = vocabulary(path)[-1]
-        split = compiled("|".join(map(regex.escape, special))) if special else None
-        find = compiled(pattern).findall
+        split = regex.compile("|".join(map(regex.escape, special))) if special else None
+        find = finder(pattern)
         totals, sizes = [], []
         for text in texts:
             total = 0
@@ -113,7 +113,7 @@ def _counter(path: str, pattern: str):
 
 def token_counts(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_bytes (UTF-8) and n_tokens of each text, by the byte-level BPE vocabulary (.json) at `path`."""
-    return map_texts(docs, _counter(path, pattern), [("n_bytes", "long"), ("n_tokens", "long")], keep)
+    return map_texts(docs, lambda: _counter(path, pattern), [("n_bytes", "long"), ("n_tokens", "long")], keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ PRIOR, MIN_Z, COST, TOP = 0.1, 3.3, 0.2, 6.0
 #: Standard deviations that a unit's score lies below its log-odds, and the least score of the lexicon.
 CAUTION, LEAST = 1.5, 0.5
 THRESHOLD = 0.3
-#: Units that a task counts before it passes the sums on; words whose score a task remembers.
-FLUSH, CACHE = 300_000, 400_000
+#: Units that a task counts before it passes the sums on (Spark adds them up before they move); words whose score a task remembers (about 100 bytes each).
+FLUSH, CACHE = 100_000, 100_000
 
 
 def units(words: set[str]) -> set[str]:
@@ -105,7 +105,8 @@ class Scorer:
         hits = {w: s for w in set(words) if (s := self.of(w))}
         if not hits:
             return len(words), []
-        stack: list[list] = []  # (first, last, sum before it, sum after it): maximal ones of what was read so far
+        # maximal ones of what was read so far: (first, last, sum before it, sum after it, the last earlier one with a lower sum before it)
+        stack: list[tuple[int, int, float, float, int]] = []
         total, last = 0.0, -1
         for i, w in enumerate(words):
             s = hits.get(w)
@@ -113,18 +114,18 @@ class Scorer:
                 continue
             total -= COST * (i - last - 1)
             last = i
-            own = [i, i, total, total := total + s]
+            first, before, total = i, total, total + s
+            j = len(stack) - 1
+            # what a link leaps over starts no lower, so each link is followed once
+            while j >= 0 and stack[j][2] >= before:
+                j = stack[j][4]
             # an earlier segment that starts lower joins, unless it also ends as high
-            while True:
-                j = len(stack) - 1
-                while j >= 0 and stack[j][2] >= own[2]:
-                    j -= 1
-                if j < 0 or stack[j][3] >= own[3]:
-                    break
-                own = [stack[j][0], i, stack[j][2], own[3]]
+            while j >= 0 and stack[j][3] < total:
+                first, _, before, _, link = stack[j]
                 del stack[j:]
-            stack.append(own)
-        return len(words), [(a, b, r - l) for a, b, l, r in stack]
+                j = link
+            stack.append((first, i, before, total, j))
+        return len(words), [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def background(hits: int, words: int, score: float) -> tuple[float, float]:
@@ -155,15 +156,19 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> dict:
-    """The model: lexicon, extreme-value law and calibration. At most `bound` labelled rows are used."""
+    """The model: lexicon, extreme-value law and calibration, from at most `bound` labelled ids (and, where ids repeat, 2 * bound rows, smallest ids first)."""
     sample = label_sample(labels, "toxic", bound)
     known = lexicon(docs, sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def run(texts: list[str]) -> dict[str, list]:
+    def run() -> Callable[[list[str]], dict[str, list]]:
         scorer = Scorer(known)
-        found = [scorer.segments(t) for t in texts]
-        return {"n": [n for n, _ in found], "scores": [[s for *_, s in x] for _, x in found]}
+
+        def of(texts: list[str]) -> dict[str, list]:
+            found = [scorer.segments(t) for t in texts]
+            return {"n": [n for n, _ in found], "scores": [[s for *_, s in x] for _, x in found]}
+
+        return of
 
     rows = map_texts(chosen, run, [("n", "long"), ("scores", "array<double>")], ("doc_id", "label")).orderBy("doc_id", "n").limit(2 * bound).collect()
     clean = [r for r in rows if not r["label"]]
@@ -176,28 +181,32 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> dict:
     return {"lexicon": known, "law": law, "line": line}
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep`, score, and passages: the first and last word (from 0) and the score of each segment above chance."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: list[str]) -> dict[str, list]:
+    def run() -> Callable[[list[str]], dict[str, list]]:
         m = sent.value
         scorer = Scorer(m["lexicon"])
-        a, b = m["line"]
-        scores, passages = [], []
-        for text in texts:
-            n, found = scorer.segments(text)
-            scores.append(1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * evidence(n, found, m["law"]))))))
-            passages.append([{"first": f, "last": l, "score": s} for f, l, s in found if m["law"][0] * s > math.log(max(m["law"][1] * n, 1e-300))])
-        return {"score": scores, "passages": passages}
+        (a, b), (scale, k) = m["line"], m["law"]
+
+        def of(texts: list[str]) -> dict[str, list]:
+            scores, passages = [], []
+            for t in texts:
+                n, found = scorer.segments(t)
+                scores.append(1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * evidence(n, found, m["law"]))))))
+                passages.append([{"first": f, "last": l, "score": s} for f, l, s in found if scale * s > math.log(max(k * n, 1e-300))])
+            return {"score": scores, "passages": passages}
+
+        return of
 
-    return map_texts(docs, run, [("score", "double"), ("passages", "array<struct<first:int,last:int,score:double>>")], keep)
+    return map_texts(docs, run, [("score", "double"), ("passages", "array<struct<first:int,last:int,score:double>>")], keep, text)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (all columns) whose toxicity score stays below THRESHOLD."""
     model = fit(docs, labels)
-    return rows_where(docs, lambda d, keep: score(d, model, keep), F.col("score") < THRESHOLD)
+    return rows_where(docs, lambda d, keep, text: score(d, model, keep, text), F.col("score") < THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
