@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import map_texts, table
 from feedloom.llm.pretokens import chunks, finder
 
-#: Pre-tokens (about 250 bytes each, 50 MB) and token pairs (about 90 bytes each, 27 MB) that a task remembers at most.
-CACHE, PAIRS = 200_000, 300_000
+#: Pre-tokens (about 240 bytes each, 96 MB) and token pairs (about 90 bytes each, 36 MB) that a worker remembers at most, from one task to the next.
+CACHE, PAIRS = 400_000, 400_000
 
 
 class Codec:
@@ -35,18 +35,14 @@ class Codec:
         self.left = list(range(len(self.bytes)))
         self.right = list(range(len(self.bytes)))
         self.merged: dict[tuple[int, int], int] = {}
-        self.forget()
+        self.fits: dict[int, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in sorted(self.ids.items(), key=lambda x: x[1]):
             if len(token) == 1 or self._learn(token, i):
                 self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
 
-    def forget(self) -> None:
-        """Empties what is remembered of texts; the vocabulary stays."""
-        self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
     def _learn(self, token: bytes, i: int) -> bool:
         """Finds the pair that makes the token; False if merging its bytes never arrives at it."""
         for cut in range(1, len(token)):
@@ -118,7 +114,7 @@ class Codec:
             words = find(chunk)
             known = self.known
             if fresh := set(words).difference(known):
-                if len(known) > CACHE:
+                if len(known) + len(fresh) > CACHE:
                     known.clear()
                     fresh = set(words)
                 for w in fresh:
@@ -147,7 +143,6 @@ def token_bytes(path: str) -> list[bytes]:
 
 def _encoder(path: str, pattern: str) -> Callable[[list[str]], dict[str, list]]:
     own, find = codec(path), finder(pattern)
-    own.forget()
 
     def of(texts: list[str]) -> dict[str, list]:
         ids = [own.encode(t, find) for t in texts]

@@ -32,7 +32,7 @@ SAME, CAPITALS, OLD_LINE, MARKERS = 0, 1, 2, 8
 HIDDEN, EPOCHS, BATCH, RATE, PENALTY = 32, 40, 256, 3e-3, 1e-4
 THRESHOLD = 0.7
 #: Tokens whose vectors are gathered at once, and tokens that a task remembers (about 100 bytes each).
-GATHER, CACHE = 1 << 16, 100_000
+GATHER, CACHE = 1 << 16, 300_000
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import map_texts, table
 from feedloom.llm.pretokens import chunks, finder
 
-#: Pre-tokens whose counts a task remembers at most (about 130 bytes each, 13 MB); more are computed again.
-CACHE = 100_000
+#: Pre-tokens whose counts a worker remembers at most, from one task to the next (about 160 bytes each, 64 MB); more are computed again.
+CACHE = 400_000
 #: Context length of the digest column over_limit.
 LIMIT = 512
 
@@ -78,6 +78,7 @@ def count_symbols(words: list[bytes], path: str) -> np.ndarray:
     return result
 
 
+@lru_cache(maxsize=1)
 def _counter(path: str, pattern: str):
     known: dict[str, int] = {}
 
@@ -98,7 +99,7 @@ def _counter(path: str, pattern: str):
                 for chunk in chunks(part):
                     words = find(chunk)
                     if fresh := set(words).difference(known):
-                        if len(known) > CACHE:
+                        if len(known) + len(fresh) > CACHE:
                             known.clear()
                             fresh = set(words)
                         fresh = list(fresh)

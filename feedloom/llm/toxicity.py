@@ -34,7 +34,7 @@ PRIOR, MIN_Z, COST, TOP = 0.1, 3.3, 0.2, 6.0
 CAUTION, LEAST = 1.5, 0.5
 THRESHOLD = 0.3
 #: Units that a task counts before it passes the sums on (Spark adds them up before they move); words whose score a task remembers (about 100 bytes each).
-FLUSH, CACHE = 100_000, 100_000
+FLUSH, CACHE = 200_000, 300_000
 
 
 def units(words: set[str]) -> set[str]:
