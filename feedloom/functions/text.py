@@ -64,6 +64,27 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(text.try_cast("double")), F.try_to_timestamp(text))
 
 
+#: Keys under which sources state when something was published, in order.
+TIME_KEYS = ("published_at", "published", "datePublished", "date_published", "created_at", "created_utc", "campaignStartDate", "campaign_start_date")
+
+
+def event_time(raw: Column, observed: Column) -> Column:
+    """(at, method): the first of TIME_KEYS in a record's JSON, or below its `metadata`, that parses; else when it was observed."""
+    each = [(k, F.coalesce(F.get_json_object(raw, f"$.{k}"), F.get_json_object(raw, f"$.metadata.{k}"))) for k in TIME_KEYS]
+    named = [F.when(parse_time(v).isNotNull(), F.struct(parse_time(v).alias("at"), F.lit(f"source:{k}").alias("method"))) for k, v in each]
+    return F.coalesce(*named, F.struct(observed.cast("timestamp").alias("at"), F.lit("observation").alias("method")))
+
+
+def number_text(value: Column, grouped: bool = False) -> Column:
+    """Two places at most, without trailing zeros; with thousands separators if grouped."""
+    return F.regexp_replace(F.format_number(value, 2) if grouped else F.format_string("%.2f", value), r"\.?0+$", "")
+
+
+def visible_text(html: Column) -> Column:
+    """(text, image) of an HTML fragment."""
+    return F.struct(strip_tags(html).alias("text"), first_image(html).alias("image"))
+
+
 def business_date(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, ZONE))
 

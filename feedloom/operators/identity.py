@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.text import jaccard
 from feedloom.operators.phrases import has
 
 # Words that don't tell names apart, and nouns that families are named by.
@@ -51,3 +52,19 @@ def family(df: DataFrame, name: str, kind: str) -> DataFrame:
     for condition, k_, m, s in reversed(rules):
         key, method, score = F.when(condition, k_).otherwise(key), F.when(condition, m).otherwise(method), F.when(condition, s).otherwise(score)
     return rows.withColumns({"family_key": F.when(key.isNotNull(), F.concat(k, F.lit(":"), key)), "family_method": method, "family_score": score}).drop("__t")
+
+
+def similar_names(names: DataFrame, block: str, name: str, tokens: str, threshold: float) -> DataFrame:
+    """(block, left_name, right_name) of names of a block whose token sets have a Jaccard of `threshold` or more.
+
+    Tokens are ordered rarest first within the block. Names that are so similar share one of the first size - ceil(threshold * size) + 1
+    tokens, so only those meet, and only names whose sizes allow it are compared.
+    """
+    each = names.select(block, name, F.explode(tokens).alias("token"))
+    counts = each.groupBy(block, "token").agg(F.count(F.lit(1)).alias("n"))
+    sets = each.join(counts, [block, "token"]).groupBy(block, name).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("w"))
+    size = F.size("w")
+    firsts = sets.select(block, name, "w", F.explode(F.slice("w", F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("token"))
+    a, b = (firsts.select(block, "token", F.col(name).alias(f"{s}_name"), F.col("w").alias(s)) for s in ("left", "right"))
+    met = a.join(b, [block, "token"]).where("left_name < right_name").where(F.least(F.size("left"), F.size("right")) >= threshold * F.greatest(F.size("left"), F.size("right")))
+    return met.where(jaccard(F.col("left"), F.col("right")) >= threshold).select(block, "left_name", "right_name").distinct()

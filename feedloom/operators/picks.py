@@ -11,14 +11,18 @@ from pyspark.sql import types as T
 def basket_picks(df: DataFrame, run: str, order: list[Column], baskets: dict[str, int], caps: dict[str, int], other_cap: int, target: int) -> DataFrame:
     """(run, id, pick_order) of rows (run, id, basket, source, dup).
 
-    Windows first keep what can be picked at all: per run, basket and source the best `cap` rows without a duplicate key, and the
-    first row of each duplicate key. That bounds the rows of a run, whatever its size; the fold over them runs in one task per run.
+    Windows first keep what can be picked at all. Of rows with one duplicate key in a basket and source only the first can be. A row
+    is passed over if its source is full, and then so are all after it, or if its key was taken, which needs a pick for each key;
+    so per run, basket and source no more rows are looked at than the cap and all picks together. That bounds the rows of a run,
+    whatever its size and its number of keys; the fold over them runs in one task per run.
     """
-    place = F.row_number().over(Window.partitionBy(run).orderBy(*order))
-    ranked = df.withColumn("place", place).withColumn("__keyed", F.col("dup").isNotNull())
-    own = F.row_number().over(Window.partitionBy(run, "basket", "source", "__keyed", "dup").orderBy("place"))
     cap = F.coalesce(F.create_map(*[F.lit(x) for item in caps.items() for x in item])[F.col("source")], F.lit(other_cap)) if caps else F.lit(other_cap)
-    few = ranked.withColumn("__own", own).where(F.when(F.col("__keyed"), F.col("__own") == 1).otherwise(F.col("__own") <= cap)).select(run, "id", "basket", "source", "dup", "place")
+    keyed = df.withColumn("__keyed", F.col("dup").isNotNull())
+    first = F.row_number().over(Window.partitionBy(run, "basket", "source", "__keyed", "dup").orderBy(*order))
+    distinct = keyed.withColumn("__first", first).where(~F.col("__keyed") | (F.col("__first") == 1))
+    own = F.row_number().over(Window.partitionBy(run, "basket", "source").orderBy(*order))
+    reached = distinct.withColumn("__own", own).where(F.col("__own") <= cap + max(target, sum(baskets.values())))
+    few = reached.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(*order))).select(run, "id", "basket", "source", "dup", "place")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")

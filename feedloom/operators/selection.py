@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,14 +46,15 @@ def quota_choice(df: DataFrame, run: str, order: list[Column], is_software: Colu
 
 def round_robin(df: DataFrame, kind: str, order: list[Column], limit: int) -> DataFrame:
     """First of each kind, then second of each, up to limit; kinds by name."""
-    turn = numbered(df, "turn", order, [kind])
+    # no kind gives more than `limit` rows, so only those are sorted
+    turn = numbered(df, "turn", order, [kind]).where(F.col("turn") <= limit)
     return turn.orderBy("turn", kind).limit(limit)
 
 
 def quota_then_best(df: DataFrame, kind: str, quota: int, order: list[Column], limit: int) -> DataFrame:
     """`quota` of each kind first, then the best of the rest."""
-    ranked = numbered(df, "__in_kind", order, [kind]).withColumn("in_quota", F.col("__in_kind") <= quota)
-    return ranked.orderBy(F.col("in_quota").desc(), *order).limit(limit).drop("__in_kind")
+    placed = numbered(df, "__in_kind", order, [kind]).where(F.col("__in_kind") <= max(quota, limit)).withColumn("in_quota", F.col("__in_kind") <= quota)
+    return placed.orderBy(F.col("in_quota").desc(), *order).limit(limit).drop("__in_kind")
 
 
 def seeded_sample(df: DataFrame, by: list[str], key: str, seed: str, n: int) -> DataFrame:
@@ -84,18 +87,61 @@ def greedy_distinct(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def packed(df: DataFrame, by: str, order: str, size: str, limit: int) -> DataFrame:
-    """Adds chunk (from 0): rows in order, a new chunk where the next row would pass the limit. Groups go to one task each, ids and sizes only."""
-    import pandas as pd
+    """Adds chunk (from 0): rows of a group in order, a new chunk where the next row would pass the limit.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    Groups are dealt out in sorted pieces, so a large one isn't one task's. A piece doesn't know how full the chunk is that it goes
+    on with; it tells for every filling how full its last chunk will be and how many chunks it begins (at most `limit` steps). These
+    are chained from piece to piece, and with the filling known each piece numbers its rows. Only ids and sizes move.
+    """
+    narrow = df.select(by, order, size)
+    piece = narrow.schema.fields
+    pieces = written(narrow.repartitionByRange(by, order).withColumn("__piece", F.spark_partition_id()), "pieces")
+    steps = "array<struct<over:bigint,filled:bigint,chunks:bigint>>"
+    told = T.StructType([piece[0], *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in (("__piece", "int"), ("fresh", "struct<filled:bigint,chunks:bigint>"), ("steps", steps), ("total", "bigint")))])
+
+    def tell(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows.sort_values(order)[size].fillna(0).to_numpy(np.int64)
+        sums = np.append(0, np.cumsum(sizes))
+        n = len(sizes)
+        # where the chunk that begins at each row ends: past the limit, but not before it holds anything
+        ends = np.maximum(np.searchsorted(sums, sums[:-1] + limit, "right") - 1, np.searchsorted(sums, sums[:-1], "right"))
+        filled, chunks = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for k in range(n - 1, -1, -1):
+            filled[k], chunks[k] = (filled[ends[k]], chunks[ends[k]] + 1) if ends[k] < n else (sums[n] - sums[k], 1)
+        found, lowest = [], limit + 1
+        for k in range(n):
+            # a chunk filled over this begins a new one at row k
+            over = limit - int(sums[k + 1])
+            if over < lowest:
+                found.append({"over": over, "filled": int(filled[k]), "chunks": int(chunks[k])})
+                lowest = over
+            if over <= 0:
+                break
+        one = {by: rows[by].iloc[0], "__piece": int(rows["__piece"].iloc[0]), "fresh": {"filled": int(filled[0]), "chunks": int(chunks[0]) - 1}, "steps": found, "total": int(sums[n])}
+        return pd.DataFrame([one])
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        out, full, number = [], 0, 0
+        for r in rows.sort_values("__piece").itertuples(index=False):
+            piece_, fresh, found, total = r[1], r[2], r[3], r[4]
+            out.append((r[0], piece_, full, number))
+            if full == 0:
+                full, number = fresh["filled"], number + fresh["chunks"]
+            else:
+                step = next((s for s in found if full > s["over"]), None)
+                full, number = (step["filled"], number + step["chunks"]) if step else (full + total, number)
+        return pd.DataFrame(out, columns=[by, "__piece", "full", "number"])
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        chunk, filled, out = 0, 0, []
-        for s in rows[size]:
-            if filled and filled + s > limit:
-                chunk, filled = chunk + 1, 0
-            filled += s
+        full, chunk, out = int(rows["full"].iloc[0]), int(rows["number"].iloc[0]), []
+        for s in rows[size].fillna(0):
+            if full and full + s > limit:
+                chunk, full = chunk + 1, 0
+            full += s
             out.append(chunk)
-        return rows.assign(chunk=out)
+        return rows[[by, order, size]].assign(chunk=out)
 
-    narrow = df.select(by, order, size)
-    return narrow.groupBy(by).applyInPandas(fold, T.StructType([*narrow.schema.fields, T.StructField("chunk", T.LongType())]))
+    entries = pieces.groupBy(by, "__piece").applyInPandas(tell, told).groupBy(by).applyInPandas(chain, T.StructType([piece[0], *(T.StructField(n, T.LongType()) for n in ("__piece", "full", "number"))]))
+    known = pieces.join(written(entries, "entries"), [by, "__piece"])
+    return known.groupBy(by, "__piece").applyInPandas(number, T.StructType([*piece, T.StructField("chunk", T.LongType())]))

@@ -132,7 +132,7 @@ def _landed(t, spark):
     """The events as one landing folder, in order of time, and a stream over it."""
     path = new_path(spark, "landing")
     rows = t("events").withColumn("at", F.col("ts").cast("timestamp"))
-    rows.repartitionByRange(4, "at").sortWithinPartitions("at").write.parquet(path)
+    rows.repartitionByRange("at").sortWithinPartitions("at").write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(path)
 
 

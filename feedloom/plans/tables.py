@@ -185,13 +185,12 @@ def jn10(t, spark):
 @query("jn11_similar_names", """WITH n AS (SELECT DISTINCT p_brand, p_name, list_distinct(string_split(p_name, ' ')) AS w FROM part)
 SELECT a.p_brand AS p_brand, a.p_name AS left_name, b.p_name AS right_name FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.2""")
 def jn11(t, spark):
-    """Pairs of a block that share a token (inverted index), then exact Jaccard."""
-    from feedloom.functions.text import jaccard, tokens
+    """Pairs of a block that share one of their rarest tokens, then exact Jaccard."""
+    from feedloom.functions.text import tokens
+    from feedloom.operators.identity import similar_names
 
     names = t("part").select("p_brand", "p_name").distinct().withColumn("w", tokens(F.col("p_name")))
-    each = names.select("p_brand", "p_name", "w", F.explode("w").alias("token"))
-    a, b = each.select("p_brand", "token", F.col("p_name").alias("left_name"), F.col("w").alias("lw")), each.select("p_brand", "token", F.col("p_name").alias("right_name"), F.col("w").alias("rw"))
-    return a.join(b, ["p_brand", "token"]).where("left_name < right_name").where(jaccard(F.col("lw"), F.col("rw")) >= 0.2).select("p_brand", "left_name", "right_name").distinct()
+    return similar_names(names, "p_brand", "p_name", "w", 0.2)
 
 
 @query("jn12_cast_key", "SELECT doc_id::VARCHAR AS key, source FROM labels JOIN documents USING (doc_id) WHERE toxic = 1")
@@ -394,7 +393,7 @@ def qa4(t, spark):
 @query("qa6_copy_counts", "SELECT l_returnflag, count(*) AS expected, count(*) AS actual, true AS equal FROM lineitem GROUP BY 1")
 def qa6(t, spark):
     own = t("lineitem")
-    copy = written(own.repartition(4, "l_returnflag"), "copy")
+    copy = written(own, "copy")
     n = lambda df, c: df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias(c))
     return n(own, "expected").join(n(copy, "actual"), "l_returnflag", "full_outer").withColumn("equal", F.col("expected").eqNullSafe(F.col("actual")))
 

@@ -34,6 +34,16 @@ def once_per_key(stream: DataFrame, key: str, ts: str, late: str = "40 days") ->
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def effective(stream: DataFrame, published: str, observed: str) -> DataFrame:
+    """Adds at and method: when a row was published, or, where its source doesn't say, when it was observed."""
+    return stream.withColumns({"at": F.coalesce(published, observed), "method": F.when(F.col(published).isNotNull(), "source").otherwise("observation")})
+
+
+def within(stream: DataFrame, published: str, observed: str, start, end) -> DataFrame:
+    """Rows of the window [start, end) by their effective time; old content that is observed again isn't the window's."""
+    return effective(stream, published, observed).where((F.col("at") >= F.lit(start).cast("timestamp")) & (F.col("at") < F.lit(end).cast("timestamp")))
+
+
 def emit_changes(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, order, value) of rows whose value differs from the last one emitted for their key."""
     chosen = stream.select(key, order, value)
@@ -43,8 +53,9 @@ def emit_changes(stream: DataFrame, key: str, order: str, value: str) -> DataFra
         last = held.get[0] if held.exists else None
         rows = pd.concat(list(batches)).sort_values(order)
         keep = []
-        for v in rows[value]:
-            keep.append(v != last)
+        # a null is a value of its own; in pandas it would differ from itself
+        for v in rows[value].astype(object).where(rows[value].notna(), None):
+            keep.append(v != last or not (keep or held.exists))
             last = v
         held.update((last,))
         yield rows[keep][[key, order, value]]
