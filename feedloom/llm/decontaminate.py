@@ -1,15 +1,17 @@
 """Operator 2: benchmark decontamination by SimHash windows.
 
-A document holds an item if it has, anywhere, at least 0.8 of the weighted share of the item's five-word shingles (short items: one
-shingle of all words); a word weighs its inverse document frequency among the items. So much cannot be reached without one
-of the item's heaviest shingles that weigh more than 0.2 together: documents are looked up for those by hash, which loses none
-(equal shingles have equal hashes), and what is found is verified with the words themselves.
-
-Where a document holds items, its windows are fingerprinted at every word to place them. Windows are sized to the items: an item of
-L words belongs to the largest class of CLASSES that leaves at least a quarter of it as slack, and is fingerprinted at all
-L - c + 1 places. A fingerprint has 64 bits; a word votes with its weight. Four blocks of 16 bits are indexed with all values
-within 2 bits: two fingerprints within RADIUS = 11 bits differ by 2 bits or fewer in some block, so none within the radius is
-missed. Of the alignments of windows and of shingles the one with most of the item's weight in place counts.
+Windows are sized to the items: an item of L words belongs to the largest class of CLASSES that leaves at least a quarter of it as
+slack, and is fingerprinted at all L - c + 1 places. A document's windows of each class are fingerprinted at every word, with 64
+bits and one vote a word. Four blocks of 16 bits are indexed with all values within 2 bits: two fingerprints within RADIUS = 11
+bits differ by 2 bits or fewer in some block, so none within the radius is missed. Each candidate is verified exactly: the document
+holds the item if it has, anywhere, at least 0.8 of the weighted share of the item's five-word shingles (short items: one
+shingle of all words); a word weighs its inverse document frequency among all different items of the benchmark.
+
+So much cannot be reached without one of the item's heaviest shingles that weigh more than 0.2 together. Documents without any of
+those (equal shingles have equal hashes, so none is lost) can't pass the check and get no fingerprints. Where a copy is
+interrupted, so that no window of the item's size lies within the radius, these shingles stand for it: it is
+verified in the same way, and by_window tells the two apart. Of the alignments of windows and shingles the one with most of the
+item's weight in place counts.
 
 Null and empty texts, and items without words, match nothing; repeated documents and items are reported each (same item_id: the
 best); an item that occurs several times in a document is one row with its best place, the earliest of equal ones. An empty
@@ -77,12 +79,13 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
 class Index:
     """The items' shingles, and their fingerprints at all places, by class."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple], held: dict[str, int] | None = None, total: int | None = None):
+        """items: (key, text); held and total: how many different items hold each word, and how many there are, if these are only part of them."""
         self.items = [(i, w) for i, t in items if (w := words(t or ""))]
-        n = len(self.items)
-        held = Counter(x for _, w in self.items for x in set(w))
-        self.rare = float(np.log1p(n))
-        self.weights = {x: float(np.log((1 + n) / c) + 0.1) for x, c in held.items()}
+        if held is None:
+            each = {tuple(w) for _, w in self.items}
+            held, total = Counter(x for w in each for x in set(w)), len(each)
+        self.weights = {x: float(np.log((1 + total) / held[x]) + 0.1) for _, w in self.items for x in w}
         self.known: dict[str, int] = {}
         self.table = np.zeros((1 << 12, 64), np.int32)
         self.shingles = []
@@ -121,8 +124,7 @@ class Index:
                 fresh = set(own)
             fresh = list(fresh)
             bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh64_digest, fresh)), np.uint8)).reshape(-1, 64).astype(np.int32)
-            weights = np.array([self.weights.get(x, self.rare) for x in fresh])
-            rows = (2 * bits - 1) * np.round(16 * weights).astype(np.int32)[:, None]
+            rows = 2 * bits - 1
             need = len(known) + len(fresh)
             if need > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((2 * need - len(self.table), 64), np.int32)])
@@ -175,8 +177,8 @@ class Index:
             filters[k] = (bits, keys, [own[x] for x in keys.tolist()])
         return filters
 
-    def held(self, split: list[list[str]]) -> dict[tuple[int, int], tuple[float, set[int]]]:
-        """Similarity of each item that a text holds, by (text, item), and alignments by the shingles looked up."""
+    def possible(self, split: list[list[str]]) -> dict[int, dict[int, list[int]]]:
+        """By text the items of which it has a heavy shingle, and where those begin."""
         sizes = np.array([len(x) for x in split], np.int64)
         end = np.cumsum(sizes)
         hashes = self.hashes.of([x for own in split for x in own])
@@ -192,27 +194,11 @@ class Index:
             for x, t, m in zip((at - end[text] + sizes[text])[same].tolist(), text[same].tolist(), key[same].tolist()):
                 for item in items[m]:
                     met.setdefault(t, {}).setdefault(item, []).append(x)
-        found = {}
-        for t, candidates in met.items():
-            own, have = split[t], {}
-            for item, at in candidates.items():
-                w, needed = self.items[item][1], self.shingles[item]
-                k = min(SHINGLE, len(w))
-                if k not in have:
-                    have[k] = set(zip(*(own[j:] for j in range(k))))
-                s = sum(x for shingle, x in needed.items() if shingle in have[k]) / sum(needed.values())
-                if s >= SIMILARITY:
-                    places: dict[tuple, list[int]] = {}
-                    for j in range(len(w) - k + 1):
-                        places.setdefault(tuple(w[j : j + k]), []).append(j)
-                    found[t, item] = (s, {x - j for x in at for j in places.get(tuple(own[x : x + k]), ())})
-        return found
+        return met
 
-    def leaks(self, texts: list[str]) -> list[tuple[int, int, float, int]]:
-        """(text's place, item's place in the list, similarity, first word) of each item that one of the texts holds."""
-        split = [words(t) for t in texts]
-        held = self.held(split)
-        some = sorted({text for text, _ in held})
+    def windows(self, split: list[list[str]], some: list[int]) -> dict[tuple[int, int], set[int]]:
+        """For (text, item) the places at which the item would begin by the text's windows within the radius; of some of the texts."""
+        near: dict[tuple[int, int], set[int]] = {}
         sizes = np.array([len(split[x]) for x in some], np.int64)
         flat = [x for text in some for x in split[text]]
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -229,9 +215,31 @@ class Index:
                     window, hit = self.found(c, self.fingerprints(sums, own - base, c))
                     texts_, places = which[own[window]], own[window] - first[own[window]] - group["place"][hit]
                     for text, item, at in set(zip(texts_.tolist(), group["item"][hit].tolist(), places.tolist())):
-                        if (text, item) in held:
-                            held[text, item][1].add(at)
-        return [(text, item, s, max(0, min(ats, key=lambda at: (-self.aligned(item, split[text], at), at)))) for (text, item), (s, ats) in sorted(held.items())]
+                        near.setdefault((text, item), set()).add(at)
+        return near
+
+    def leaks(self, texts: list[str]) -> list[tuple[int, int, float, int, bool]]:
+        """(text's place, item's place in the list, similarity, first word, whether a window met it) of each item that one of the texts holds."""
+        split = [words(t) for t in texts]
+        met = self.possible(split)
+        near = self.windows(split, sorted(met))
+        out = []
+        for t in sorted(met):
+            own, have = split[t], {}
+            for item in sorted(met[t]):
+                w, needed = self.items[item][1], self.shingles[item]
+                k = min(SHINGLE, len(w))
+                if k not in have:
+                    have[k] = set(zip(*(own[j:] for j in range(k))))
+                s = sum(x for shingle, x in needed.items() if shingle in have[k]) / sum(needed.values())
+                if s < SIMILARITY:
+                    continue
+                places: dict[tuple, list[int]] = {}
+                for j in range(len(w) - k + 1):
+                    places.setdefault(tuple(w[j : j + k]), []).append(j)
+                ats = near.get((t, item), set()) | {x - j for x in met[t][item] for j in places.get(tuple(own[x : x + k]), ())}
+                out.append((t, item, s, max(0, min(ats, key=lambda at: (-self.aligned(item, own, at), at))), (t, item) in near))
+        return out
 
     def aligned(self, item: int, own: list[str], at: int) -> float:
         """Weight of the item's shingles that stand in their places where the item begins at a word."""
@@ -245,39 +253,69 @@ def _masks() -> np.ndarray:
     return np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))], np.int64)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word) of each benchmark item that a document holds.
+def _word_counts(items: DataFrame) -> DataFrame:
+    """(key, text, held) of different item texts: the words of each, with the number of texts that hold them."""
 
-    The benchmark's size is looked at first; beyond part_bytes it is cut by hash into parts of about that size, and the
-    documents are read once for each of them.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = [(k, x) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for x in set(words(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in (0, 1)], names=["key", "word"])
+
+    each = items.mapInArrow(run, "key string, word string")
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    own = each.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("held"))
+    return items.join(own, "key")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, part_bytes: int) -> DataFrame:
+    """(doc_id, sid, item_id, similarity, first_word, by_window); sid is the digest of the document's text."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-int(total) // part_bytes) or 1
-    schema = "doc_id long, item_id long, similarity double, first_word long"
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("key", F.md5(F.col("text").cast("binary")))
+    # equal texts are one item
+    distinct = written(_word_counts(items.select("key", "text").distinct()), "items")
+    total, size = distinct.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = -(-int(size or 0) // part_bytes) or 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("string").cast("binary")).alias("sid"), F.col("text").cast("string").alias("text"))
     found = None
     for k in range(parts):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()]
-        sent = spark.sparkContext.broadcast(own)
+        own = distinct.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).orderBy("key").collect()
+        sent = spark.sparkContext.broadcast(([(r["key"], r["text"]) for r in own], {w["word"]: w["n"] for r in own for w in r["held"]}))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value)
+            texts, held = sent.value
+            index = Index(texts, held, total)
+            kinds = {"doc_id": pa.int64(), "sid": pa.string(), "key": pa.string(), "similarity": pa.float64(), "first_word": pa.int64(), "by_window": pa.bool_()}
             for batch in batches:
                 for part in slices(batch):
-                    ids = part.column(0).to_pylist()
-                    rows = [(ids[k], index.items[i][0], s, at) for k, i, s, at in index.leaks([t or "" for t in part.column(1).to_pylist()])]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "first_word"])
+                    ids, sids = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    made = [(ids[k], sids[k], index.items[i][0], s, at, window) for k, i, s, at, window in index.leaks([t or "" for t in part.column(2).to_pylist()])]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in made], kind) for j, kind in enumerate(kinds.values())], names=list(kinds))
 
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+        one = rows.mapInArrow(run, "doc_id long, sid string, key string, similarity double, first_word long, by_window boolean")
         found = one if found is None else found.unionByName(one)
-    return found
+    return found.join(items.select("key", "item_id").distinct(), "key").drop("key")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, by_window) of each benchmark item that a document holds.
+
+    The benchmark's size is looked at first; beyond part_bytes its different texts are cut by hash into parts of about that size, and
+    the documents are read once for each of them. A part has the words' weights in the whole benchmark, so results don't depend
+    on the parts.
+    """
+    return _found(docs, benchmark, part_bytes).drop("sid")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents (all columns) that hold no benchmark item."""
-    leaked = written(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """The documents (all columns) that hold no benchmark item.
+
+    Rows are told apart by doc_id and text, nulls included: of two texts under one doc_id, or without one, only the contaminated
+    goes.
+    """
+    leaked = written(_found(docs, benchmark, PART_BYTES).select(F.col("doc_id").alias("__leaked"), F.col("sid").alias("__text_of")).distinct(), "leaks")
+    own = F.md5(docs["text"].cast("string").cast("binary"))
+    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(F.col("__leaked")) & own.eqNullSafe(F.col("__text_of")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
