@@ -1,22 +1,27 @@
 """Operator 3: main text of web pages by wrapper induction.
 
-Every page's texts stand in slots: the path of elements and classes that leads to a text. Over all different pages of a host, and
-over those of each of its layouts (the block elements near the root), it is counted how many hold the same text in the same slot;
-what NEARLY all of them hold is the template. It is dropped from every page of the host, the varying texts are content, unless
-their element or its class says menu, header, footer, sidebar, notice, advert, form or comments. If a page has an article (or
-main) element, only those count. Pages that are copies of one article would make the article template: where the constants leave
-next to nothing, or of FEW pages less than half, they are kept.
-
-Null or empty pages have empty text; a text without tags is one block; unclosed and stray tags are borne; repeated pages are
-each extracted; pages without a host share one group. A host with one distinct page
-has no template, only the element rules.
+The content of a page is a tree of slots: elements with their classes, siblings alike being one slot, as lists and paragraphs have
+no fixed number. One page of each host, and one of each of its layouts (the block elements near the root), is the reference;
+every page of the host is aligned with both by simple tree matching: of the children that two slots share, in their order, those
+pairs are taken that let most slots of the whole trees correspond. Over all different pages it is counted how many hold the
+same text in the same slot of the reference; what NEARLY all of them hold is constant and becomes the template. It is dropped
+from every page of the host; the varying slots are content, unless their element or its class says menu, header, footer,
+sidebar, notice, advert, form or comments. Texts in slots without a counterpart are told apart by their path. If a page has an
+article (or main) element, only those count. Pages that are copies of one article would make the article template: where the
+constants leave next to nothing, or of FEW pages less than half, they are kept.
+
+Null or empty pages have empty text; a text without tags is one block; unclosed and stray tags are borne, as are trees of any
+depth; repeated pages are each extracted; pages without a host share one group. A host with one distinct page has no template,
+only the element rules.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -32,8 +37,8 @@ NEARLY = 0.9
 LEAST = 3
 #: Constants that leave less than this share of the text, or so many characters a page, are copies; of fewer than FEW pages, those that leave less than half.
 COPIES, COPY_CHARS, FEW = 0.05, 20, 5
-#: Depth of the elements that make a layout.
-DEPTH = 3
+#: Depth of the elements that make a layout, and the share of a host's pages that one has at least.
+DEPTH, SHARE = 3, 1 / 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -135,26 +140,120 @@ def _under(path: int, node: Node) -> int:
     return _hash(f"{path}/{_DIGITS.sub('#', node.key)}")
 
 
-def slots(root: Node) -> dict[int, tuple[int, int]]:
-    """By number of each text of the content: hash of its slot and itself, and its length."""
-    found = {}
-    todo = contents(root)
+class Slots:
+    """The tree of slots of a page's content. Slot 0 is the content itself; a slot's children are known by their keys, in page order."""
+
+    def __init__(self):
+        self.children: list[dict[str, int]] = [{}]
+        self.paths = [0]
+        #: Number, slot and text of each text.
+        self.texts: list[tuple[int, int, str]] = []
+
+    def child(self, slot: int, key: str) -> int:
+        key = " ".join(key.split())
+        found = self.children[slot].get(key)
+        if found is None:
+            found = self.children[slot][key] = len(self.children)
+            self.children.append({})
+            self.paths.append(_hash(f"{self.paths[slot]}/{key}"))
+        return found
+
+    @classmethod
+    def of(cls, root: Node) -> Slots:
+        made = cls()
+        todo = []
+        for node, path in reversed(contents(root)):
+            todo.append((node, 0, path))
+        while todo:
+            node, slot, path = todo.pop()
+            if node.key == "#text":
+                made.texts.append((node.number, slot, node.text))
+            elif not node.other:
+                own = made.child(slot, f"{path}:{_DIGITS.sub('#', node.key)}" if slot == 0 else _DIGITS.sub("#", node.key))
+                todo += [(c, own, 0) for c in reversed(node.children) if c.key not in ("br", "hr", "img")]
+        return made
+
+    def written(self) -> str:
+        """A line with the parent and the key of each slot."""
+        lines = [""] * len(self.children)
+        for slot, children in enumerate(self.children):
+            for key, c in children.items():
+                lines[c] = f"{slot} {key}"
+        return "\n".join(lines[1:])
+
+    @classmethod
+    def read(cls, lines: str) -> Slots:
+        made = cls()
+        for line in lines.split("\n") if lines else ():
+            parent, _, key = line.partition(" ")
+            made.children[int(parent)][key] = len(made.children)
+            made.children.append({})
+        return made
+
+
+def aligned(page: Slots, reference: Slots) -> dict[int, int]:
+    """Slot of the reference for the page's slots that simple tree matching pairs with one."""
+    pairs, below = [(0, 0)], []
+    for a, b in pairs:  # grows: pairs of slots whose parents are paired and whose keys are equal
+        theirs = reference.children[b]
+        first = len(pairs)
+        pairs += [(c, theirs[key]) for key, c in page.children[a].items() if key in theirs]
+        below.append(range(first, len(pairs)))
+    size, chosen = [1] * len(pairs), [()] * len(pairs)
+    for i in range(len(pairs) - 1, -1, -1):
+        chosen[i] = _in_order([(k, pairs[k][1], size[k]) for k in below[i]])
+        size[i] = 1 + sum(size[k] for k in chosen[i])
+    found, todo = {}, [0]
     while todo:
-        node, path = todo.pop()
-        if node.key == "#text":
-            found[node.number] = (_hash(f"{path}\0{node.text}"), len(node.text))
-        elif not node.other:
-            todo += [(c, _under(path, c)) for c in node.children]
+        i = todo.pop()
+        found[pairs[i][0]] = pairs[i][1]
+        todo += chosen[i]
     return found
 
 
+def _in_order(options: list[tuple[int, int, int]]) -> list[int]:
+    """Of (pair, place in the reference, size), in the page's order, those with the largest sum whose places ascend."""
+    if all(options[k][1] < options[k + 1][1] for k in range(len(options) - 1)):
+        return [k for k, _, _ in options]
+    # places and sums both ascend: what is no better than something before it goes
+    places, sums, ends, before = [], [], [], {}
+    for k, place, size in options:
+        at = bisect_left(places, place)
+        total = size + (sums[at - 1] if at else 0)
+        before[k] = ends[at - 1] if at else None
+        if at < len(places) and places[at] == place and sums[at] >= total:
+            continue
+        end = at
+        while end < len(places) and sums[end] <= total:
+            end += 1
+        places[at:end], sums[at:end], ends[at:end] = [place], [total], [k]
+    out = []
+    k = ends[-1]
+    while k is not None:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+@lru_cache(maxsize=256)
+def _reference(lines: str) -> Slots:
+    return Slots.read(lines)
+
+
+def texts_of(page: Slots, reference: str | None) -> dict[int, tuple[int, int]]:
+    """By number of each text: the hash of its slot, as the reference has it, and itself, and its length."""
+    slot_of = aligned(page, _reference(reference)) if reference is not None else {}
+    return {number: (_hash(f"{slot_of.get(slot, page.paths[slot])}\0{text}"), len(text)) for number, slot, text in page.texts}
+
+
 def layout(root: Node) -> int:
     """Hash of the paths of the block elements down to DEPTH."""
     paths, level = set(), [(root, 0)]
     for _ in range(DEPTH):
         level = [(c, _under(path, c)) for node, path in level for c in node.children if c.tag in _BLOCK]
         paths.update(path for _, path in level)
-    return _hash("\0".join(map(str, sorted(paths))))
+    # 0 stands for the whole host
+    return _hash("\0".join(map(str, sorted(paths)))) or 1
 
 
 def blocks(root: Node, dropped: set[int]) -> list[str]:
@@ -190,38 +289,64 @@ def blocks(root: Node, dropped: set[int]) -> list[str]:
 
 
 class Extractor:
-    def text(self, page: str | None, constants: list[int] | None, more: list[int] | None) -> str:
-        """The content without the constants of the host and of its layouts."""
+    def text(self, page: str | None, references: dict[int, str], fixed: dict[int, set[int]]) -> str:
+        """The content without the constants of the host and of the page's layout; references and constants by layout, 0: the host's."""
         if not page:
             return ""
         root = parse(page)
-        fixed = {*(constants or ()), *(more or ())}
-        return "\n\n".join(blocks(root, {number for number, (slot, _) in slots(root).items() if slot in fixed} if fixed else set()))
+        dropped: set[int] = set()
+        if fixed:
+            own = Slots.of(root)
+            for which in {0, layout(root)} & set(fixed):
+                dropped |= {number for number, (slot, _) in texts_of(own, references.get(which)).items() if slot in fixed[which]}
+        return "\n\n".join(blocks(root, dropped))
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "html"):
+            rows = [(_hash(page), layout(root := parse(page)), Slots.of(root).written()) for page in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["host", "h", "layout", "tree"])
 
 
-def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "h", "layout", "slots", "chars"]
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"host": pa.string(), "h": pa.int64(), "layout": pa.int64(), "slots": pa.list_(pa.int64()), "chars": pa.list_(pa.int64())}
     for batch in batches:
         for part in slices(batch, "html"):
             rows = []
-            for page in part.column(1).to_pylist():
-                root = parse(page)
-                own: dict[int, int] = {}
-                for slot, n in slots(root).values():
-                    own[slot] = own.get(slot, 0) + n
-                # slot 0 counts the page and all its characters
-                own[0] = sum(own.values())
-                rows.append((_hash(page), layout(root) or 1, list(own), list(own.values())))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))], names=names)
+            for host, page, trees in zip(*(part.column(i).to_pylist() for i in range(3))):
+                root, h = parse(page), _hash(page)
+                by_layout, page_slots = {r["layout"]: r["tree"] for r in trees}, Slots.of(root)
+                for which in {0, layout(root)} & set(by_layout):
+                    own: dict[int, int] = {}
+                    for slot, n in texts_of(page_slots, by_layout[which]).values():
+                        own[slot] = own.get(slot, 0) + n
+                    # slot 0 counts the page and all its characters
+                    own[0] = sum(own.values())
+                    rows.append((host, h, which, list(own), list(own.values())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """(host, trees): the reference tree of each host (layout 0) and of each of its layouts with LEAST pages and a SHARE of the host's.
+
+    So a host has 1 / SHARE layouts at most, whatever its size.
+    """
+    own = pages.where(F.length("html") > 0).select("host", "html").mapInArrow(_trees, "host string, h long, layout long, tree string")
+    of_layout = written(own.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "tree")).alias("first")), "layouts")
+    of_host = of_layout.groupBy("host").agg(F.sum("n").alias("all"), F.min("first").alias("first"))
+    large = of_layout.join(of_host.select("host", "all"), "host").where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all"))).select("host", "layout", F.col("first.tree").alias("tree"))
+    every = of_host.where(F.col("all") > 1).select("host", F.lit(0).cast("long").alias("layout"), F.col("first.tree").alias("tree"))
+    return every.unionByName(large).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("layout", "tree"))).alias("trees"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, constants, more) of each host: slots constant over all its pages, and over the pages of one of its layouts."""
-    own = pages.where(F.length("html") > 0).select("host", "html").mapInArrow(_slots_of, "host string, h long, layout long, slots array<long>, chars array<long>")
-    # layout 0: the whole host
-    distinct = own.dropDuplicates(["host", "h"]).select("host", F.explode(F.array("layout", F.lit(0).cast("long"))).alias("layout"), F.arrays_zip("slots", "chars").alias("all"))
-    counted = distinct.select("host", "layout", F.inline("all")).groupBy("host", "layout", F.col("slots").alias("slot")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    """(host, trees, constants) of each host with a template: its references, and by layout the texts that are constant."""
+    trees = written(references(pages), "references")
+    own = pages.where(F.length("html") > 0).join(trees, "host").select("host", "html", "trees").mapInArrow(_texts, "host string, h long, layout long, slots array<long>, chars array<long>")
+    # a page that stands there more than once counts once
+    each = own.dropDuplicates(["host", "h", "layout"]).select("host", "layout", F.inline(F.arrays_zip(F.col("slots").alias("slot"), "chars")))
+    counted = each.groupBy("host", "layout", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     # texts of one page aren't constant
     counted = written(counted.where("n > 1 OR slot = 0"), "slots")
     sizes = counted.where("slot = 0").select("host", "layout", F.col("n").alias("pages"), F.col("chars").alias("total")).where(F.col("pages") >= F.when(F.col("layout") == 0, 2).otherwise(LEAST))
@@ -229,8 +354,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     found = constant.groupBy("host", "layout", "pages", "total").agg(F.collect_set("slot").alias("slots"), F.sum("chars").alias("fixed"))
     left = F.col("total") - F.col("fixed")
     copies = (left < COPIES * F.col("total")) | (left < COPY_CHARS * F.col("pages")) | ((F.col("pages") < FEW) & (2 * left < F.col("total")))
-    all_of = lambda which: F.array_distinct(F.flatten(F.collect_list(F.when(which, F.col("slots")))))
-    return found.where(~copies).groupBy("host").agg(all_of(F.col("layout") == 0).alias("constants"), all_of(F.col("layout") != 0).alias("more"))
+    kept = found.where(~copies)
+    return trees.join(kept.groupBy("host").agg(F.collect_list(F.struct("layout", "slots")).alias("constants")), "host")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -238,14 +363,16 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
     # written first, as then its size is known: where it is small, no page moves
-    joined = rows.join(written(wrappers(rows), "wrappers"), "host", "left").select("page_id", "url", "html", "constants", "more")
+    joined = rows.join(written(wrappers(rows), "wrappers"), "host", "left").select("page_id", "url", "html", "trees", "constants")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Extractor()
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [own.text(*row) for row in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
+                texts = []
+                for html, trees, constants in zip(*(part.column(i).to_pylist() for i in range(2, 5))):
+                    texts.append(own.text(html, {r["layout"]: r["tree"] for r in trees or ()}, {r["layout"]: set(r["slots"]) for r in constants or ()}))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, schema)
