@@ -10,8 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import collapse
+from feedloom.functions.text import clip, collapse
 from feedloom.operators.ladders import either, found, hinted, n_hints
+from feedloom.operators.phrases import any_of
+from feedloom.operators.rule_packs import SIGNALS
 
 # Fields by source, thresholds, patterns and hints.
 FACTS = {
@@ -61,6 +63,10 @@ GROUPS = {
     "backpacking_pillow": ["backpacking pillow", "camping pillow"], "work_backpack": ["work backpack", "office backpack"], "key_organizer": ["key organizer", "key organiser", "key holder"], "manual_can_opener": ["manual can opener"],
     "fanny_pack": ["fanny pack", "waist pack"], "desk_lamp": ["desk lamp"]}
 NEAR = {r"\binsulated tumbler\b|\btumbler\b": "insulated-tumbler", r"\bmanual can opener\b": "manual-can-opener", r"\bwatering can\b": "watering-can"}
+VOICE_FIELDS = ["review_texts", "comment_texts", "feedback_texts", "reviews", "comments"]
+AUTHORED = ["reddit", "reddit_arctic_shift", "reddit_software", "hacker_news"]
+VOICE_LIMIT, REPORT_LIMIT = 1000, 320
+NAMED = ["backpack", "organizer", "organiser", "pouch", "bag", "stand", "holder", "accessory"]
 # End of the fixed values.
 
 
@@ -200,3 +206,46 @@ def published(items: DataFrame, feedback: DataFrame, key: str, kind: str | None
         if value:
             out = out.where(F.col(column) == value)
     return out.where(F.array_contains("source_platforms", source)) if source else out
+
+
+def voices(source: Column, raw: Column, url: Column, description: Column) -> Column:
+    """(text, url, author, field, identity) of the texts that users wrote: explicit fields (text, list or objects), and on forums the record's own text; each identity once."""
+    item = "struct<text:string,url:string,author:string>"
+
+    def of(field: str) -> Column:
+        value = F.get_json_object(raw, f"$.{field}")
+        many = F.from_json(F.when(value.startswith("["), value), "array<string>")
+        texts = F.coalesce(many, F.when(value.isNotNull(), F.array(value)), F.array().cast("array<string>"))
+
+        def one(v: Column) -> Column:
+            own = F.from_json(F.when(v.startswith("{"), v), item)
+            return F.struct(F.when(own.isNotNull(), own["text"]).otherwise(v).alias("text"), F.coalesce(F.nullif(own["url"], F.lit("")), url).alias("url"), F.coalesce(own["author"], F.lit("")).alias("author"), F.lit(field).alias("field"))
+
+        return F.transform(texts, one)
+
+    own = F.when(F.lower(source).isin(*AUTHORED), F.array(F.struct(description.alias("text"), url.alias("url"), F.coalesce(F.get_json_object(raw, "$.author"), F.lit("")).alias("author"), F.lit("description").alias("field"))))
+    every = F.concat(*[of(f) for f in VOICE_FIELDS], F.coalesce(own, F.array().cast("array<struct<text:string,url:string,author:string,field:string>>")))
+    clean = F.transform(every, lambda v: F.struct(F.left(collapse(F.coalesce(v["text"], F.lit(""))), F.lit(VOICE_LIMIT)).alias("text"), v["url"].alias("url"), v["author"].alias("author"), v["field"].alias("field")))
+    told = F.filter(clean, lambda v: (v["text"] != "") & F.coalesce(v["url"] != "", F.lit(False)))
+    keyed = F.transform(told, lambda v: v.withField("identity", F.sha2(F.concat_ws("|", F.lower(source), v["url"], v["text"]), 256)))
+    # the first of equal identities, as the keys come in order
+    keys = F.transform(keyed, lambda v: v["identity"])
+    return F.filter(keyed, lambda v, i: F.array_position(keys, v["identity"]) == i + 1)
+
+
+def record_role(source: Column, text: Column, kind: Column) -> Column:
+    """product, demand_signal, software, inspiration or uncertain: by source first, then by what the text asks for or names, then by kind."""
+    s, asked = F.lower(source), [p for rules in SIGNALS.values() for p, _ in rules]
+    by_kind = F.when(kind == "physical", "product").when(kind.isin("software", "inspiration"), kind).otherwise("uncertain")
+    forum = F.when(any_of(text, [*asked, "wish", "alternative"], "regex"), "demand_signal").when((kind == "physical") | any_of(text, NAMED, "regex"), "product").otherwise("uncertain")
+    return F.when(s == "kickstarter", "product").when(s.isin("reddit", "reddit_arctic_shift"), forum).otherwise(by_kind)
+
+
+def report_row(physical: Column, software: Column, triage: Column, failed: Column) -> Column:
+    """(state, why, opportunity, risks, score, next): of the physical analysis, else the software one, else the triage, else stock phrases; risks are three at most."""
+    deep = physical.isNotNull() | software.isNotNull()
+    first = lambda field, stock: F.coalesce(physical[field], software[field], triage[field], stock)
+    return F.struct(
+        F.when(deep, "DEEP_ANALYZED").when(F.coalesce(failed, F.lit(False)), "DEEP_ANALYSIS_FAILED").otherwise("TRIAGED").alias("state"), clip(first("why", F.lit("passed the ranking gates")), REPORT_LIMIT).alias("why"),
+        clip(first("opportunity", F.lit("further validation is optional")), REPORT_LIMIT).alias("opportunity"), F.slice(first("risks", F.array(F.lit("further validation is required"))), 1, 3).alias("risks"),
+        F.coalesce(physical["score"], software["score"]).alias("score"), F.coalesce(physical["next"], software["next"], F.lit("DEEP_RESEARCH_OPTIONAL")).alias("next"))

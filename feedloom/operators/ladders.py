@@ -143,8 +143,9 @@ def eligibility(df: DataFrame, is_digital: str = "is_digital", link: str = "exte
     whole = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "description", "category")]))
     rows = df.withColumns({"__text": whole, "__title": F.lower(F.coalesce("title", F.lit(""))), "__source": F.lower(F.coalesce("source", F.lit("")))})
     text, title, source = F.col("__text"), F.col("__title"), F.col("__source")
-    rows = rows.withColumn("__h", F.struct(found(text, [hinted(PHYSICAL_HINTS)]).alias("physical"), found(text, [hinted(SOFTWARE_HINTS)]).alias("software")))
-    physical, software = F.col("__h.physical"), F.col("__h.software")
+    # columns of their own: fields of a struct would be put in place, and computed, wherever they are named
+    rows = rows.withColumns({"__physical": found(text, [hinted(PHYSICAL_HINTS)]), "__software": found(text, [hinted(SOFTWARE_HINTS)])})
+    physical, software = F.col("__physical"), F.col("__software")
     named, of = physical | software, source.isin
     launch, design = source == "hacker_news", of("yanko_design", "design_milk")
     no, yes, open_ = "INELIGIBLE", "ELIGIBLE", "AMBIGUOUS"
@@ -174,7 +175,7 @@ def eligibility(df: DataFrame, is_digital: str = "is_digital", link: str = "exte
         ((source == "kickstarter") & F.lower("category").isin(*CAMPAIGN_CATEGORIES), ("PHYSICAL_PRODUCT", yes, "campaign category")),
     ]
     content, status, reason = decided(rules, (open_, open_, "nothing tells what it is"))
-    return rows.withColumns({"content_type": content, "eligibility_status": status, "eligibility_reason": reason}).drop("__text", "__title", "__source", "__h")
+    return rows.withColumns({"content_type": content, "eligibility_status": status, "eligibility_reason": reason}).drop("__text", "__title", "__source", "__physical", "__software")
 
 
 def need_name(title: Column, description: Column) -> Column:
@@ -189,10 +190,9 @@ def concrete(df: DataFrame) -> DataFrame:
     rows = df.withColumns({"__title": low("title"), "__body": low("description"), "__source": F.lower(F.coalesce("source", F.lit("")))})
     rows = rows.withColumn("__text", F.concat_ws(" ", "__title", "__body"))
     title, body, text, source = (F.col(c) for c in ("__title", "__body", "__text", "__source"))
-    rows = rows.withColumn("__n", F.struct(
-        n_hints(text, PHYSICAL_HINTS).alias("physical"), n_hints(text, SOFTWARE_HINTS).alias("software"), n_hints(title, PHYSICAL_HINTS).alias("title"),
-        F.when(source.contains("reddit"), need_name(title, body)).isNotNull().alias("need")))
-    physical, software, in_title, need = (F.col(f"__n.{c}") for c in ("physical", "software", "title", "need"))
+    rows = rows.withColumns({
+        "__n_physical": n_hints(text, PHYSICAL_HINTS), "__n_software": n_hints(text, SOFTWARE_HINTS), "__n_title": n_hints(title, PHYSICAL_HINTS), "__n_need": F.when(source.contains("reddit"), need_name(title, body)).isNotNull()})
+    physical, software, in_title, need = (F.col(f"__n_{c}") for c in ("physical", "software", "title", "need"))
     forum, status = source.contains("reddit"), F.col("eligibility_status")
     design, yes, no, open_ = source.isin("yanko_design", "design_milk"), "CONCRETE", "NON_CONCRETE", "AMBIGUOUS"
     rules = [
@@ -217,7 +217,7 @@ def concrete(df: DataFrame) -> DataFrame:
         (source.isin("kickstarter", "indiegogo"), (open_, "campaign without an object")),
     ]
     verdict, reason = decided(rules, (open_, "no rule for the source"))
-    return rows.withColumns({"concrete_status": verdict, "concrete_reason": reason}).drop("__title", "__body", "__text", "__source", "__n")
+    return rows.withColumns({"concrete_status": verdict, "concrete_reason": reason}).drop("__title", "__body", "__text", "__source", "__n_physical", "__n_software", "__n_title", "__n_need")
 
 
 def craft_name(title: Column) -> Column:
@@ -231,10 +231,17 @@ def named_launch(title: Column) -> Column:
     return F.coalesce(table_name(F.lower(bare), LAUNCHES), launch_name(title))
 
 
+def _line(tagline: Column) -> Column:
+    return F.regexp_replace(F.trim(tagline), r"(?i)\s*(?:Discussion\s*\|\s*Link)\s*$", "")
+
+
+def tagline_kind(tagline: Column) -> Column:
+    return table_name(F.lower(_line(tagline)), TAGLINES)
+
+
 def tagline_name(title: Column, tagline: Column) -> Column:
     """Title and kind of product by its tagline, else title and tagline, 100 characters at most; null without a tagline."""
-    own = F.regexp_replace(F.trim(tagline), r"(?i)\s*(?:Discussion\s*\|\s*Link)\s*$", "")
-    kind = table_name(F.lower(own), TAGLINES)
+    own, kind = _line(tagline), tagline_kind(tagline)
     dash = F.lit(" — ")
     return F.when(own != "", F.when(kind.isNotNull(), F.concat(title, dash, kind)).otherwise(F.left(F.concat(title, dash, own), F.lit(100))))
 
@@ -249,11 +256,13 @@ def identity(df: DataFrame, known: str = "known_name", tagline: str = "tagline")
     rows = df.withColumns({"__title": space("title"), "__body": space("description"), "__source": F.lower(F.coalesce("source", F.lit("")))})
     title, body, source, zh = F.col("__title"), F.col("__body"), F.col("__source"), F.col(known)
     cover = F.initcap(F.lower(F.nullif(F.regexp_extract(body, COVER, 1), F.lit(""))))
-    rows = rows.withColumn("__names", F.struct(
-        cover.alias("cover"), F.when(source == "product_hunt", tagline_name(title, F.coalesce(F.nullif(F.col(tagline), F.lit("")), body))).alias("tagline"),
-        F.when(source == "amazon", catalogue_name(title)).alias("catalogue"), F.when(source == "etsy", craft_name(title)).alias("craft"), F.when(source == "hacker_news", named_launch(title)).alias("launch"),
-        F.when(source.contains("reddit"), need_name(F.lower(title), F.lower(body))).alias("need"), F.when(source.isin("yanko_design", "design_milk"), design_name(title)).alias("design")))
-    n = {c: F.col(f"__names.{c}") for c in ("cover", "tagline", "catalogue", "craft", "launch", "need", "design")}
+    own_line = F.coalesce(F.nullif(F.col(tagline), F.lit("")), body)
+    names = {
+        "cover": cover, "kind": F.when(source == "product_hunt", tagline_kind(own_line)), "tagline": F.when(source == "product_hunt", tagline_name(title, own_line)), "catalogue": F.when(source == "amazon", catalogue_name(title)),
+        "craft": F.when(source == "etsy", craft_name(title)), "launch": F.when(source == "hacker_news", named_launch(title)), "need": F.when(source.contains("reddit"), need_name(F.lower(title), F.lower(body))),
+        "design": F.when(source.isin("yanko_design", "design_milk"), design_name(title))}
+    rows = rows.withColumns({f"__name_{c}": v for c, v in names.items()})
+    n = {c: F.col(f"__name_{c}") for c in names}
     none = F.lit(None).cast("string")
     vague, low_body = F.lower(title).isin(*VAGUE_TITLES), F.lower(body)
     forum = source.contains("reddit")
@@ -268,7 +277,7 @@ def identity(df: DataFrame, known: str = "known_name", tagline: str = "tagline")
         (vague & n["cover"].isNotNull(), (n["cover"], zh_cover, "description_pattern", "HIGH")),
         (vague & low_body.contains("leather journal") & low_body.contains("backpocket"), (F.lit(COVER_NAME), F.coalesce(zh, F.lit(COVER_ZH)), "description_context_rule", "HIGH")),
         (vague, (none, zh, "vague_source_title", "UNRESOLVED")),
-        (n["tagline"].isNotNull(), (n["tagline"], zh, F.when(table_name(F.lower(F.coalesce(F.nullif(F.col(tagline), F.lit("")), body)), TAGLINES).isNotNull(), "product_hunt_product_type").otherwise("product_hunt_title_tagline"), "HIGH")),
+        (n["tagline"].isNotNull(), (n["tagline"], zh, F.when(n["kind"].isNotNull(), "product_hunt_product_type").otherwise("product_hunt_title_tagline"), "HIGH")),
         (source == "amazon", (n["catalogue"], zh, "amazon_catalog_parser", sure(n["catalogue"]))),
         (source == "etsy", (n["craft"], zh, "etsy_listing_title_parser", sure(n["craft"]))),
         (source == "hacker_news", (n["launch"], zh, "show_hn_title_parser", F.when(n["launch"].isNotNull(), "HIGH").otherwise("UNRESOLVED"))),
@@ -278,7 +287,7 @@ def identity(df: DataFrame, known: str = "known_name", tagline: str = "tagline")
         ((F.length(title) >= 3) & ~title.rlike(r"(?i)^(?:my|this|help)\b"), (title, zh, "source_title", "MEDIUM")),
     ]
     name, name_zh, method, confidence = decided(rules, (none, zh, "unresolved", "UNRESOLVED"))
-    return rows.withColumns({"normalized_name": name, "name_zh": name_zh, "identity_method": method, "identity_confidence": confidence}).drop("__title", "__body", "__source", "__names")
+    return rows.withColumns({"normalized_name": name, "name_zh": name_zh, "identity_method": method, "identity_confidence": confidence}).drop("__title", "__body", "__source", *[f"__name_{c}" for c in names])
 
 
 def context_text(raw: Column) -> Column:

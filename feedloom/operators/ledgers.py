@@ -70,3 +70,20 @@ def integrity(pinned: DataFrame, key: str, known: DataFrame, dependents: Mapping
     for name, rows in dependents.items():
         out = out.unionByName(count(rows.join(keys, key, "left_semi"), f"dependents_{name}"))
     return out
+
+
+def foundation(stored: Mapping[str, DataFrame], batch: Mapping[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """What is stored of the six frames of a projection after a batch of them.
+
+    eligibility and evidence: the new rows count. identity: a translated name stays where the new one has none. families (family,
+    state): new ones are added. members (key, family, pinned): a pinned row stays, others move to their new family, or leave without
+    one. observations: flags are or-ed.
+    """
+    newest = [F.lit(1)]
+    held = stored["members"].where("pinned")
+    moved = batch["members"].where(F.col("family").isNotNull()).join(held.select(key), key, "left_anti").withColumn("pinned", F.lit(False))
+    rest = stored["members"].where("NOT pinned").join(batch["members"].select(key), key, "left_anti")
+    return {
+        "eligibility": upsert(stored["eligibility"], batch["eligibility"], [key], newest), "identity": upsert(stored["identity"], batch["identity"], [key], newest, {"name_zh": "fill"}),
+        "families": upsert(stored["families"], batch["families"], ["family"], newest, {"state": "old"}), "members": held.unionByName(moved.select(*held.columns)).unionByName(rest), "evidence": upsert(stored["evidence"], batch["evidence"], [key], newest),
+        "observations": upsert(stored["observations"], batch["observations"], [key], newest, {"was_new": "or"})}

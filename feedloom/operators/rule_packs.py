@@ -140,43 +140,45 @@ def opportunity(df: DataFrame) -> DataFrame:
     """Adds opportunity_type, filter_status, filter_score and filter_reason (rules by counts of matched phrases)."""
     text = text_of("title", "description", "category")
     lists = {"physical": PHYSICAL, "software": SOFTWARE, "inspiration": INSPIRATION, "risk": PHYSICAL_RISK, "priority": PHYSICAL_PRIORITY, "mvp": SOFTWARE_MVP, "complex": SOFTWARE_COMPLEX}
-    m = df.withColumn("__m", F.struct(*[matched(text, v).alias(k) for k, v in lists.items()]))
-    n = {k: F.size(f"__m.{k}") for k in lists}
+    # columns of their own: fields of a struct would be put in place, and computed, wherever they are named
+    m = df.withColumns({f"__m_{k}": matched(text, v) for k, v in lists.items()})
+    n = {k: F.size(f"__m_{k}") for k in lists}
     kind = (
         F.when((n["inspiration"] > 0) & F.lower("source").isin(*DESIGN_SOURCES), "inspiration").when((n["software"] > 0) & (n["physical"] < 2), "software")
         .when((n["physical"] >= 2) | ((n["risk"] > 0) & (n["software"] == 0)), "physical").when(n["inspiration"] >= 2, "inspiration").when(n["software"] > 0, "software").otherwise("uncertain"))
     hard, soft = clamp(50 + 8 * n["priority"] - 30 * n["risk"]), clamp(55 + 8 * n["mvp"] - 30 * n["complex"])
     k = F.col("opportunity_type")
     score = F.when(k == "physical", hard).when(k == "software", soft).when(k == "inspiration", 50).otherwise(40)
-    parts = lambda own, good, bad: F.concat_ws("; ", F.concat(F.lit("type: "), k), _listed("signals: ", F.col(f"__m.{own}")), _listed("priority: ", F.col(f"__m.{good}")), _listed("risk: ", F.col(f"__m.{bad}")))
+    parts = lambda own, good, bad: F.concat_ws("; ", F.concat(F.lit("type: "), k), _listed("signals: ", F.col(f"__m_{own}")), _listed("priority: ", F.col(f"__m_{good}")), _listed("risk: ", F.col(f"__m_{bad}")))
     reason = (
-        F.when(k == "physical", parts("physical", "priority", "risk")).when(k == "software", parts("software", "mvp", "complex")).when(k == "inspiration", F.concat(F.lit("inspiration signals: "), F.array_join("__m.inspiration", ", ")))
+        F.when(k == "physical", parts("physical", "priority", "risk")).when(k == "software", parts("software", "mvp", "complex")).when(k == "inspiration", F.concat(F.lit("inspiration signals: "), F.array_join("__m_inspiration", ", ")))
         .otherwise("insufficient signals to classify as physical, software, or inspiration"))
     out = m.withColumn("opportunity_type", kind).withColumn("filter_score", score)
     status = F.when(k == "uncertain", "uncertain").when(k == "inspiration", "candidate").when((F.col("filter_score") < 50) | ((k == "physical") & (n["risk"] > 0)), "rejected").otherwise("candidate")
-    return out.withColumn("filter_status", status).withColumn("filter_reason", reason).drop("__m")
+    return out.withColumn("filter_status", status).withColumn("filter_reason", reason).drop(*[f"__m_{k}" for k in lists])
 
 
 def feasibility(df: DataFrame) -> DataFrame:
     """Adds feasibility_status (PASS, REVIEW, REJECT), feasibility_score, risk_flags and positive_signals."""
     text = text_of("title", "description", "category")
-    risks = flags(text, RISKS)
-    out = df.withColumn("risk_flags", F.when(has(risks, "wireless"), F.array_append(risks, "high_certification_risk")).otherwise(risks)).withColumn("positive_signals", flags(text, POSITIVE, "regex"))
-    n, bad, special = F.size("positive_signals"), F.size("risk_flags"), any_of(text, COMPLEXITY, "regex")
+    risks = F.col("__risks")
+    out = df.withColumns({"__risks": flags(text, RISKS), "positive_signals": flags(text, POSITIVE, "regex"), "__special": any_of(text, COMPLEXITY, "regex")})
+    out = out.withColumn("risk_flags", F.when(has(risks, "wireless"), F.array_append(risks, "high_certification_risk")).otherwise(risks))
+    n, bad, special = F.size("positive_signals"), F.size("risk_flags"), F.col("__special")
     score = F.least(F.lit(100), 35 + 8 * n)
     easy = has(F.col("positive_signals"), "common_consumer_category") & (n >= 4) & ~special
     return out.withColumns({
         "feasibility_status": F.when(bad > 0, "REJECT").when(easy, "PASS").otherwise("REVIEW"),
         "feasibility_score": F.when(bad > 0, F.greatest(F.lit(0), 28 - 6 * bad)).when(easy, F.greatest(F.lit(70), score)).when(special, F.least(F.lit(69), F.greatest(F.lit(45), score))).when(n > 0, F.least(F.lit(69), score)).otherwise(score),
-    })
+    }).drop("__risks", "__special")
 
 
 def commodity(df: DataFrame) -> DataFrame:
     """Adds commodity_status (PROMISING, REVIEW, COMMODITY), commodity_score and commodity_flags."""
     text = F.lower(text_of("title", "description"))
-    bulky = any_of(text, BULKY, "part")
-    mature, new = flags(text, MATURE, "part"), flags(text, INNOVATION, "part")
-    out = df.withColumn("__new", new).withColumn("__old", F.when(F.size(mature) > 0, F.array_append(mature, "highly_mature_category")).otherwise(mature))
+    bulky, mature = F.col("__bulky"), F.col("__mature")
+    out = df.withColumns({"__bulky": any_of(text, BULKY, "part"), "__mature": flags(text, MATURE, "part"), "__new": flags(text, INNOVATION, "part")})
+    out = out.withColumn("__old", F.when(F.size(mature) > 0, F.array_append(mature, "highly_mature_category")).otherwise(mature))
     n = F.size("__new")
     strong = F.size(F.array_intersect("__new", F.array(*map(F.lit, STRONG))))
     score = F.least(F.lit(100), 25 + 20 * strong + 8 * (n - strong))
@@ -186,7 +188,7 @@ def commodity(df: DataFrame) -> DataFrame:
         "commodity_status": F.when(bulky, "COMMODITY").when(best, "PROMISING").when((n == 0) & old, "COMMODITY").otherwise("REVIEW"),
         "commodity_score": F.when(bulky, 10).when(best, F.greatest(F.lit(70), score)).when(n > 0, F.greatest(F.lit(40), score)).when(old, 20).otherwise(35),
         "commodity_flags": F.when(bulky, F.array(F.lit("bulky_shipping"), F.lit("highly_mature_category"))).otherwise(F.array_union("__old", "__new")),
-    }).drop("__new", "__old")
+    }).drop("__new", "__old", "__bulky", "__mature")
 
 
 def demand_signal(df: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from feedloom.functions.storage import new_path, written
 from feedloom.operators import evidence as E
 from feedloom.operators import ledgers as LG
 from feedloom.operators import merges as M
-from feedloom.plans.base import query
-from feedloom.plans.ladders import REC, folded, hit, listed, quoted, records
+from feedloom.operators import identity as I
+from feedloom.operators import rule_packs as R
+from feedloom.plans.base import query, sql_any
+from feedloom.plans.ladders import IDENTITY, REC, folded, hit, listed, quoted, records
 from feedloom.operators import ladders as L
 from feedloom.sources import landing as LD
 
@@ -356,3 +358,63 @@ def qa9(t, spark):
         F.count(F.lit(1)).alias("texts"), n((size > 0) & (low < 0.5 * size), "few_letters"), n(digits > 0, "with_digits"), n(F.trim("text") == "", "missing"), n(F.col("text").rlike("(?i)https?://"), "with_links"))
 
 
+
+
+@query("fn22_source_voices", """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS x, 'https://v.example/' || conv_id AS url FROM conversations)
+SELECT conv_id, turn, 'feedback_texts' AS field, 'fine ' || turn AS text, url FROM c UNION ALL SELECT conv_id, turn, 'comments', 'so so', 'https://w.example/' FROM c WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'description', left(x, 1000), url FROM c WHERE conv_id % 3 = 0 AND x <> '' AND left(x, 1000) <> 'fine ' || turn""")
+def fn22(t, spark):
+    k = F.col("turn")
+    raw = F.concat(F.lit('{"reviews": "fine '), k.cast("string"), F.lit('", "comments": '), F.when(k % 2 == 0, '[{"text": " so  so ", "url": "https://w.example/", "author": "x"}, ""]').otherwise("[]"), F.lit(', "feedback_texts": ["fine '), k.cast("string"), F.lit('"]}'))
+    url = F.concat(F.lit("https://v.example/"), F.col("conv_id").cast("string"))
+    made = E.voices(F.when(F.col("conv_id") % 3 == 0, "reddit").otherwise("shop"), raw, url, F.col("text"))
+    return t("conversations").select("conv_id", "turn", F.inline(made)).select("conv_id", "turn", "field", "text", "url")
+
+
+_asked = sql_any("title || ' ' || description", [*[p for r in R.SIGNALS.values() for p, _ in r], "wish", "alternative"], "regex")
+_named = sql_any("title || ' ' || description", E.NAMED, "regex")
+
+
+@query("rul4_source_roles", f"""WITH {REC}, k AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'software' WHEN 2 THEN 'uncertain' ELSE 'inspiration' END AS kind FROM rec) SELECT doc_id, CASE WHEN source = 'kickstarter' THEN 'product' WHEN source IN ('reddit', 'reddit_arctic_shift') THEN CASE WHEN {_asked} THEN 'demand_signal'
+  WHEN kind = 'physical' OR {_named} THEN 'product' ELSE 'uncertain' END WHEN kind = 'physical' THEN 'product' WHEN kind IN ('software', 'inspiration') THEN kind ELSE 'uncertain' END AS role FROM k""")
+def rul4(t, spark):
+    kind = listed(["physical", "software", "uncertain", "inspiration"], _k % 4)
+    return records(t).select("doc_id", E.record_role(F.col("source"), F.concat_ws(" ", "title", "description"), kind).alias("role"))
+
+
+@query("rul32_full_report", """SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN 'DEEP_ANALYZED' WHEN p_partkey % 3 = 0 THEN 'DEEP_ANALYSIS_FAILED' ELSE 'TRIAGED' END AS state, CASE p_partkey % 4 WHEN 0 THEN p_name || ' physical' WHEN 1 THEN p_name || ' software' WHEN 2 THEN p_name || ' triage' ELSE 'passed the ranking gates' END AS why,
+CASE p_partkey % 4 WHEN 0 THEN 'a,b,c' WHEN 1 THEN 'd' WHEN 2 THEN 'e,f' ELSE 'further validation is required' END AS risks, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 END AS score, CASE p_partkey % 4 WHEN 0 THEN 'BUILD' WHEN 1 THEN 'SHIP' ELSE 'DEEP_RESEARCH_OPTIONAL' END AS next FROM part""")
+def rul32(t, spark):
+    k = F.col("p_partkey") % 4
+
+    def analysis(which: int, name: str, risks: list[str], score, step: str):
+        own = F.struct(F.concat("p_name", F.lit(f" {name}")).alias("why"), F.lit("idea").alias("opportunity"), F.array(*map(F.lit, risks)).alias("risks"), score.cast("int").alias("score"), F.lit(step).alias("next"))
+        return F.when(k == which, own)
+
+    size = F.col("p_size")
+    row = E.report_row(analysis(0, "physical", ["a", "b", "c", "d"], size, "BUILD"), analysis(1, "software", ["d"], size + 1, "SHIP"), analysis(2, "triage", ["e", "f"], size, "-"), F.col("p_partkey") % 3 == 0)
+    return t("part").select("p_partkey", row.alias("r")).select("p_partkey", "r.state", "r.why", F.array_join("r.risks", ",").alias("risks"), "r.score", "r.next")
+
+
+@query("er6_full_projection", f"""WITH {IDENTITY} SELECT source, count(*) AS records, count(*) FILTER (eligibility_status = 'ELIGIBLE') AS eligible, count(*) FILTER (concrete_status = 'CONCRETE') AS concrete, count(normalized_name) AS named FROM named WHERE source <> 'product_hunt' GROUP BY source""")
+def er6(t, spark):
+    """Records to eligibility, concreteness, identity and family, then what each stage keeps, by source."""
+    rows = L.identity(L.concrete(L.eligibility(records(t).where("source != 'product_hunt'")))).select("source", "eligibility_status", "concrete_status", "normalized_name", "content_type")
+    families = I.family(written(rows, "projected"), "normalized_name", "content_type")
+    n = lambda c, v: F.count_if(F.col(c) == v)
+    return families.groupBy("source").agg(F.count(F.lit(1)).alias("records"), n("eligibility_status", "ELIGIBLE").alias("eligible"), n("concrete_status", "CONCRETE").alias("concrete"), F.count("normalized_name").alias("named"))
+
+
+@query("snk8_foundation", """WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN 'zh' || c_custkey END AS new_zh, (c_nationkey + 1) % 25 AS new_family, c_custkey % 4 = 0 AS pinned, c_custkey % 2 = 0 AS was_new, c_custkey % 5 AS points, c_custkey % 7 > 0 AS grouped, c_nationkey FROM customer)
+SELECT id, 'ELIGIBLE' AS status, coalesce(new_zh, 'old' || id) AS name_zh, CASE WHEN pinned THEN c_nationkey WHEN grouped THEN new_family END AS family, points + 1 AS points, was_new OR id % 3 = 0 AS was_new FROM b""")
+def snk8(t, spark):
+    """Six upserts of one run's projection over what is stored: verdicts, names, families, memberships, evidence, observations."""
+    c, i = t("customer"), F.col("id")
+    own = c.select(F.col("c_custkey").alias("id"), "c_nationkey")
+    stored = {
+        "eligibility": own.select("id", F.lit("AMBIGUOUS").alias("status")), "identity": own.select("id", F.concat(F.lit("old"), i.cast("string")).alias("name_zh")), "families": own.select(F.col("c_nationkey").alias("family"), F.lit("ACTIVE").alias("state")).distinct(),
+        "members": own.select("id", F.col("c_nationkey").alias("family"), (i % 4 == 0).alias("pinned")), "evidence": own.select("id", (i % 5).alias("points")), "observations": own.select("id", (i % 2 == 0).alias("was_new"))}
+    batch = {
+        "eligibility": own.select("id", F.lit("ELIGIBLE").alias("status")), "identity": own.select("id", F.when(i % 3 > 0, F.concat(F.lit("zh"), i.cast("string"))).alias("name_zh")), "families": own.select(((F.col("c_nationkey") + 1) % 25).alias("family"), F.lit("ACTIVE").alias("state")).distinct(),
+        "members": own.select("id", F.when(i % 7 > 0, (F.col("c_nationkey") + 1) % 25).alias("family")), "evidence": own.select("id", (i % 5 + 1).alias("points")), "observations": own.select("id", (i % 3 == 0).alias("was_new"))}
+    made = LG.foundation(stored, batch, "id")
+    return made["eligibility"].join(made["identity"], "id").join(made["members"].select("id", "family"), "id", "left").join(made["evidence"], "id").join(made["observations"], "id")

@@ -220,7 +220,19 @@ def qa8(t, spark):
     return stored.join(again, "p_partkey").select("p_partkey", (F.col("h") == F.col("now")).alias("unchanged"))
 
 
-@query("job2_rebuild_pool")
+def _rebuild_sql() -> str:
+    from feedloom.plans.base import ORACLE
+    from feedloom.plans.rules import creative_sql, feasibility_sql
+
+    def verdicts(rec: str, key: str) -> str:
+        fit = ORACLE["rul6_demand_fit"].replace(DOC_SQL, rec).replace("doc_id", key)
+        return f"""SELECT feasibility_status, content_type, demand_status, eligible FROM ({feasibility_sql(rec, key)}) JOIN (WITH {rec}, {creative_sql(key)} SELECT {key}, content_type, eligible FROM f) USING ({key}) JOIN ({fit}) USING ({key})"""
+
+    return f"""WITH v AS ({verdicts(DOC_SQL, 'doc_id')} UNION ALL {verdicts(PART_SQL, 'p_partkey')}) SELECT feasibility_status, content_type, demand_status, count(*) AS records,
+  (SELECT count(*) FROM v WHERE eligible OR demand_status = 'PRODUCTIZABLE' OR feasibility_status = 'PASS') AS candidates FROM v GROUP BY ALL"""
+
+
+@query("job2_rebuild_pool", _rebuild_sql())
 def job2(t, spark):
     """All rule packs over the stored records, all builders, one candidate per URL."""
     rows = part_records(t).unionByName(doc_records(t), allowMissingColumns=True)
