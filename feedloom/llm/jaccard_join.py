@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +36,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Values compared before each look at the posterior, and the probability below which a pair goes.
 STEP, TOLERANCE = 32, 1e-4
-#: Members of a bucket that pairs are made of; members of a block of a larger one, about.
-HOT, BLOCK = 20, 768
+#: Members of a bucket that pairs are made of; members of a block of a larger one, about, and their shingles (of 8 bytes) together.
+HOT, BLOCK, BLOCK_SHINGLES = 20, 768, 2_000_000
 #: Pairs of a block that are compared at once.
 AT_ONCE = 50_000
 _WORD = re.compile(r"\w+")
@@ -102,29 +103,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(sid, first, copies, bytes, bands) of each distinct text with a shingle. Sketches are made where the texts are read; only they move."""
+    """(sid, first, copies, bytes, bands, size) of each distinct text with a shingle; size is the number of shingles. Sketches are made where the texts are read; only they move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for batch in batches:
             for part in slices(batch):
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
                 for sid, doc, text in zip(*(part.column(i).to_pylist() for i in range(3))):
                     if sid not in known:
                         if len(known) > 4096:
                             known.clear()
                         own = shingles(text)
                         m = minhash(own) if len(own) else None
-                        known[sid] = (None, None) if m is None else (
-                            (m >> np.uint32(8)).astype(np.uint8).tobytes(), [xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
-                    values, bands = known[sid]
+                        known[sid] = (None, None, 0) if m is None else (
+                            (m >> np.uint32(8)).astype(np.uint8).tobytes(), [xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)], len(own))
+                    values, bands, size = known[sid]
                     if values is not None:
-                        for x, y in zip(out, (sid, doc, values, bands)):
+                        for x, y in zip(out, (sid, doc, values, bands, size)):
                             x.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["sid", "doc_id", "bytes", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()))], names=["sid", "doc_id", "bytes", "bands", "size"])
 
-    rows = _keyed(docs).select("sid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sid binary, doc_id long, bytes binary, bands array<long>")
-    return rows.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
+    rows = _keyed(docs).select("sid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sid binary, doc_id long, bytes binary, bands array<long>, size long")
+    return rows.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("size").alias("size"))
 
 
 def _pairs(members: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -199,8 +200,11 @@ def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _in_blocks(hot: DataFrame, sketched: DataFrame, reps: DataFrame) -> DataFrame:
-    """(sid, other, links) from hot buckets (band, n, sid): for each block pair the links of a member, and one member of its tree."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    """(sid, other, links) from hot buckets (band, n, weight, sid): for each block pair the links of a member, and one member of its tree.
+
+    weight is the number of shingles of all members: long texts make smaller blocks, so a task's memory is bounded.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("sid", "band"), parts).cast("int")
     salted = hot.select("band", "sid", parts.alias("parts"), own.alias("own"))
     meet = salted.select("band", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
@@ -216,11 +220,28 @@ def _in_blocks(hot: DataFrame, sketched: DataFrame, reps: DataFrame) -> DataFram
             apart = block[a] != block[b]
             a, b = a[apart], b[apart]
         # bands come in one order in every row: this band owns the pair if no earlier hot one is common
-        before = [frozenset(int(x) for x in h[: list(h).index(band)]) for h in rows["hot"]]
+        earlier = [h[: list(h).index(band)] for h in rows["hot"]]
+        counts = Counter(x for own in earlier for x in own)
+        place = {x: k for k, x in enumerate(x for x, n in counts.items() if n > 1)}
+        common = np.zeros((len(rows), len(rows)), bool)
+        for first in range(0, len(place), 1024):
+            marks = np.zeros((len(rows), 1024), np.float32)
+            for x, own in enumerate(earlier):
+                marks[x, [k - first for y in own if first <= (k := place.get(y, -1)) < first + 1024]] = 1
+            common |= marks @ marks.T > 0
+        owned = ~common[a, b]
+        a, b = a[owned], b[owned]
         stay = np.concatenate([np.zeros(0, np.int64), *(s + survivors(values[a[s : s + AT_ONCE]], values[b[s : s + AT_ONCE]]) for s in range(0, len(a), AT_ONCE))])
-        sets = [None] * len(rows)
-        texts, sids, copies = rows["text"].tolist(), rows["sid"].tolist(), rows["copies"].tolist()
-        links, root = [0] * len(rows), list(range(len(rows)))
+        a, b = a[stay], b[stay]
+        texts, sids, copies = rows["text"].tolist(), rows["sid"].tolist(), rows["copies"].to_numpy()
+        # shingles of all members as small numbers, one member after another
+        asked = np.unique(np.concatenate([a, b]))
+        own = [shingles(texts[x]) for x in asked.tolist()]
+        size = np.zeros(len(rows), np.int64)
+        size[asked] = [len(x) for x in own]
+        _, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_inverse=True)
+        last = np.cumsum(size)
+        links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -228,19 +249,22 @@ def _in_blocks(hot: DataFrame, sketched: DataFrame, reps: DataFrame) -> DataFram
                 x = root[x]
             return x
 
-        for x, y in zip(a[stay].tolist(), b[stay].tolist()):
-            if not before[x].isdisjoint(before[y]):
-                continue
-            for z in (x, y):
-                if sets[z] is None:
-                    sets[z] = frozenset(shingles(texts[z]).tolist())
-            common = len(sets[x] & sets[y])
-            if common >= THRESHOLD * (len(sets[x]) + len(sets[y]) - common):
-                links[x] += copies[y]
-                links[y] += copies[x]
+        held = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        heads, starts = np.unique(a, return_index=True)
+        for x, partners in zip(heads.tolist(), np.split(b, starts[1:])):
+            mine = flat[last[x] - size[x] : last[x]]
+            held[mine] = True
+            common = np.array([np.count_nonzero(held[flat[last[y] - size[y] : last[y]]]) for y in partners.tolist()])
+            held[mine] = False
+            near = partners[common >= THRESHOLD * (size[x] + size[partners] - common)]
+            links[x] += copies[near].sum()
+            links[near] += copies[x]
+            for y in near.tolist():
                 root[find(x)] = find(y)
         found = [x for x in range(len(rows)) if links[x]]
-        return pd.DataFrame({"sid": [sids[x] for x in found], "other": [sids[find(x)] for x in found], "links": [links[x] for x in found]})
+        return pd.DataFrame({"sid": [sids[x] for x in found], "other": [sids[find(x)] for x in found], "links": links[found]})
 
     return full.groupBy("band", "i", "j").applyInPandas(run, "sid binary, other binary, links long")
 
@@ -265,10 +289,10 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, sid, class_id, n_links) of each row: the smallest doc_id of its class, and its number of similar other rows."""
     raw = written(sketches(docs), "sketches")
-    each = raw.select("sid", F.explode("bands").alias("band"))
+    each = raw.select("sid", "size", F.explode("bands").alias("band"))
     # counts in bands with one member are dropped before anything is joined
-    sizes = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(each.join(sizes, "band"), "members")
+    sizes = each.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    members = written(each.drop("size").join(sizes, "band"), "members")
     hot = members.where(F.col("n") > HOT)
     mine = hot.groupBy("sid").agg(F.collect_set("band").alias("hot"))  # BANDS at most
     reps = raw.select("sid", "first", "copies")
