@@ -8,16 +8,21 @@ from feedloom.functions import text as X
 from feedloom.functions.sql import register
 from feedloom.functions.storage import new_path, written
 from feedloom.operators import evidence as E
+from feedloom.operators import identity as I
+from feedloom.operators import ladders as L
 from feedloom.operators import ledgers as LG
 from feedloom.operators import merges as M
-from feedloom.operators import identity as I
 from feedloom.operators import rule_packs as R
 from feedloom.plans.base import query, sql_any
 from feedloom.plans.ladders import IDENTITY, REC, folded, hit, listed, quoted, records
-from feedloom.operators import ladders as L
 from feedloom.sources import landing as LD
 
-_k = F.col("doc_id")
+
+def _k():
+    """Columns need a session, which isn't there yet when this is imported."""
+    return F.col("doc_id")
+
+
 _x = folded("lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))")
 _flags = lambda *pairs: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {quoted(n)} END" for n, c in pairs) + "], lambda x: x IS NOT NULL), ',')"
 
@@ -30,8 +35,8 @@ def judged(t):
     rows = records(t)
     pair = F.lit(None).cast("map<string,double>")
     for name, (a, b) in _metrics.items():
-        pair = F.when(F.col("source").contains(name), F.create_map(F.lit(a), (_k * 7 % 611).cast("double"), F.lit(b), (_k * 3 % 137).cast("double"))).otherwise(pair)
-    return rows.withColumn("s", E.strength(F.col("source"), F.coalesce(pair, F.create_map().cast("map<string,double>")), _k % 4)).select("*", "s.*").drop("s")
+        pair = F.when(F.col("source").contains(name), F.create_map(F.lit(a), (_k() * 7 % 611).cast("double"), F.lit(b), (_k() * 3 % 137).cast("double"))).otherwise(pair)
+    return rows.withColumn("s", E.strength(F.col("source"), F.coalesce(pair, F.create_map().cast("map<string,double>")), _k() % 4)).select("*", "s.*").drop("s")
 
 
 _rank = f"""CASE WHEN contains(source, 'reddit') THEN CASE WHEN {A} >= 25 AND {B} >= 25 THEN 2 WHEN {A} >= 5 OR {B} >= 10 THEN 1 ELSE 0 END WHEN source = 'amazon' THEN CASE WHEN {A} >= 500 AND {B} >= 4 THEN 2 WHEN {A} >= 50 THEN 1 ELSE 0 END
@@ -47,19 +52,22 @@ def scr4(t, spark):
 
 
 _kind = "CASE doc_id % 5 WHEN 0 THEN 'SOFTWARE_PRODUCT' WHEN 1 THEN 'PRODUCT_DESIGN' ELSE 'PHYSICAL_PRODUCT' END"
-KIND = F.when(_k % 5 == 0, "SOFTWARE_PRODUCT").when(_k % 5 == 1, "PRODUCT_DESIGN").otherwise("PHYSICAL_PRODUCT")
+
+
+def _kind_of():
+    return F.when(_k() % 5 == 0, "SOFTWARE_PRODUCT").when(_k() % 5 == 1, "PRODUCT_DESIGN").otherwise("PHYSICAL_PRODUCT")
 
 
 @query("rul18_pick_baskets", f"""WITH {JUDGED} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '软件 / 数字产品' WHEN doc_id % 5 = 1 OR source = 'yanko_design' THEN '设计与探索' WHEN contains(source, 'reddit') THEN '用户需求与问题'
   WHEN strength = 'STRONG' AND source IN ('amazon', 'kickstarter', 'indiegogo') THEN '市场已验证' ELSE '其他产品发现' END AS basket FROM j""")
 def rul18(t, spark):
-    return judged(t).select("doc_id", E.basket(F.col("source"), KIND, F.col("strength")).alias("basket"))
+    return judged(t).select("doc_id", E.basket(F.col("source"), _kind_of(), F.col("strength")).alias("basket"))
 
 
 @query("rul19_pick_reasons", f"""WITH {JUDGED}, r AS (SELECT doc_id, {_flags(('市场信号较强', "strength = 'STRONG'"), ('用户讨论较多', "(contains(source, 'reddit') OR source = 'hacker_news') AND doc_id % 13 >= 5"), ('众筹支持较多', "source IN ('kickstarter', 'indiegogo') AND doc_id % 90 >= 50"), ('探索发现', 'doc_id % 8 = 0'))} AS r FROM j)
 SELECT doc_id, coalesce(nullif(r, ''), '近期发现') AS reasons FROM r""")
 def rul19(t, spark):
-    return judged(t).select("doc_id", F.array_join(E.selection_reasons(F.col("source"), F.col("strength"), _k % 13, _k % 90, _k % 8 == 0), ",").alias("reasons"))
+    return judged(t).select("doc_id", F.array_join(E.selection_reasons(F.col("source"), F.col("strength"), _k() % 13, _k() % 90, _k() % 8 == 0), ",").alias("reasons"))
 
 
 _ti = "lower(title)"
@@ -79,7 +87,7 @@ def rul17(t, spark):
 @query("rul17_pick_worthiness", f"""WITH {PICKS} SELECT doc_id, doc_id % 9 > 0 AND NOT {hit('x', E.NO_PICK)} AND NOT {hit(_ti, E.HEADLINES)} AND NOT {_comma}
   AND CASE WHEN source IN ('kickstarter', 'indiegogo') THEN CASE WHEN doc_id % 5 = 0 THEN {hit('x', [L.hinted(E.PROGRAMS)])} ELSE {hit('x', [L.hinted(E.OBJECTS)])} END ELSE NOT {_bare} END AS is_pick FROM p""")
 def rul17_picks(t, spark):
-    return records(t).select("doc_id", E.is_pick(F.col("title"), F.col("description"), F.col("source"), KIND, _k % 9 > 0).alias("is_pick"))
+    return records(t).select("doc_id", E.is_pick(F.col("title"), F.col("description"), F.col("source"), _kind_of(), _k() % 9 > 0).alias("is_pick"))
 
 
 @query("rul20_post_validity", """WITH p AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'a picture' WHEN 1 THEN '[removed]' WHEN 2 THEN '[ Removed by  moderator ]' ELSE left(text, 40) END AS title, CASE WHEN conv_id % 3 = 0 THEN '' ELSE trim(text) END AS x FROM conversations)
@@ -97,8 +105,8 @@ _own = "CASE doc_id % 3 WHEN 0 THEN ['lightweight', 'bulky', 'pack', 'carry', 'o
 @query("rul21_group_intents", f"""WITH d AS (SELECT doc_id, {_group} AS g, {_own} AS own, lower(text || CASE WHEN doc_id % 4 = 0 THEN ' we need keys, any problem?' ELSE '' END) AS x FROM documents), e AS (SELECT *, list_concat([{', '.join(quoted(i) for i in E.INTENTS)}], own) AS every FROM d),
 f AS (SELECT *, list_filter(every, lambda p, i: contains(x, p) AND list_position(every, p) = i) AS found, len(list_filter(own, lambda p: contains(x, p))) > 0 AS specific FROM e) SELECT doc_id, array_to_string(found, ',') AS intents, CASE WHEN specific THEN g ELSE 'general' END AS intent_source FROM f""")
 def rul21(t, spark):
-    text = F.concat("text", F.when(_k % 4 == 0, " we need keys, any problem?").otherwise(""))
-    return t("documents").select("doc_id", E.intents(text, listed(["onebag", "edc", "none"], _k % 3)).alias("i")).select("doc_id", F.array_join("i.found", ",").alias("intents"), F.col("i.source").alias("intent_source"))
+    text = F.concat("text", F.when(_k() % 4 == 0, " we need keys, any problem?").otherwise(""))
+    return t("documents").select("doc_id", E.intents(text, listed(["onebag", "edc", "none"], _k() % 3)).alias("i")).select("doc_id", F.array_join("i.found", ",").alias("intents"), F.col("i.source").alias("intent_source"))
 
 
 @query("rul24_offline_triage", """WITH s AS (SELECT p_partkey, greatest(1, least(10, round_even(p_size * 2 / 10.0, 0)))::INT AS n, p_type = 'LARGE' AS hard, p_type <> 'PROMO' AS hope FROM part), o AS (SELECT *, CASE WHEN hard THEN least(n, 3) ELSE n END AS own FROM s)
@@ -118,7 +126,7 @@ def rul28(t, spark):
 
 @query("rul31_voice_classes", f"WITH v AS (SELECT doc_id, {_x} AS x FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'We bought two of these. ' WHEN 1 THEN 'Looking for a bag ' WHEN 2 THEN 'this versus that ' ELSE '' END || text AS text FROM documents)) SELECT doc_id, CASE WHEN {hit('x', E.OWNED)} THEN 'AUTHOR_EXPERIENCE' WHEN {hit('x', E.WANTED)} THEN 'USER_NEED' WHEN {hit('x', E.COMPARED)} THEN 'PRODUCT_DISCUSSION' ELSE 'DISCUSSION_TEXT' END AS kind FROM v")
 def rul31(t, spark):
-    text = F.concat(F.when(_k % 6 == 0, "We bought two of these. ").when(_k % 6 == 1, "Looking for a bag ").when(_k % 6 == 2, "this versus that ").otherwise(""), "text")
+    text = F.concat(F.when(_k() % 6 == 0, "We bought two of these. ").when(_k() % 6 == 1, "Looking for a bag ").when(_k() % 6 == 2, "this versus that ").otherwise(""), "text")
     return t("documents").select("doc_id", E.voice_kind(text).alias("kind"))
 
 
@@ -186,7 +194,7 @@ def src3(t, spark):
 def src4(t, spark):
     path = new_path(spark, "items")
     own = F.struct(
-        F.col("doc_id").alias("id"), F.concat(F.when(_k % 2 == 0, "Show HN: item ").otherwise("Ask: item "), _k.cast("string")).alias("title"), F.when(_k % 3 > 0, "<p>a &amp; <b>b</b></p>").alias("text"), F.lit("someone").alias("by"), (_k % 50).alias("score"))
+        F.col("doc_id").alias("id"), F.concat(F.when(_k() % 2 == 0, "Show HN: item ").otherwise("Ask: item "), _k().cast("string")).alias("title"), F.when(_k() % 3 > 0, "<p>a &amp; <b>b</b></p>").alias("text"), F.lit("someone").alias("by"), (_k() % 50).alias("score"))
     t("documents").select(F.to_json(own).alias("value")).write.text(path)
     return LD.launch_items(spark, path).select("id", "text")
 
@@ -195,8 +203,8 @@ def src4(t, spark):
 def src6(t, spark):
     path = new_path(spark, "atom")
     rows = t("documents").select(
-        _k.cast("string").alias("title"), F.array(F.struct(F.lit("self").alias("_rel"), F.lit("https://f.example/feed").alias("_href")), F.struct(F.lit("alternate").alias("_rel"), F.concat(F.lit("https://f.example/"), _k.cast("string")).alias("_href"))).alias("link"),
-        F.lit("<p>hello</p>").alias("summary"), F.struct(F.concat(F.lit("https://i.example/"), _k.cast("string"), F.lit(".jpg")).alias("_url"), F.lit(None).cast("string").alias("v")).alias("thumbnail"),
+        _k().cast("string").alias("title"), F.array(F.struct(F.lit("self").alias("_rel"), F.lit("https://f.example/feed").alias("_href")), F.struct(F.lit("alternate").alias("_rel"), F.concat(F.lit("https://f.example/"), _k().cast("string")).alias("_href"))).alias("link"),
+        F.lit("<p>hello</p>").alias("summary"), F.struct(F.concat(F.lit("https://i.example/"), _k().cast("string"), F.lit(".jpg")).alias("_url"), F.lit(None).cast("string").alias("v")).alias("thumbnail"),
         F.array(F.struct(F.col("lang").alias("_term"), F.lit(None).cast("string").alias("v")), F.struct(F.col("source").alias("_term"), F.lit(None).cast("string").alias("v"))).alias("category"))
     rows.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
     return LD.atom_xml(spark, path).select("title", "link", "image", "categories")
@@ -216,8 +224,8 @@ def src7(t, spark):
 @query("src8_meta_multimap", """SELECT doc_id, 'T' || doc_id AS og_title, 'one,two' AS tags, 'https://c.example/' || doc_id AS canonical, 'N' || doc_id AS ld_name FROM documents""")
 def src8(t, spark):
     html = F.concat(
-        F.lit("<html><head><meta property='og:title' content=\"T"), _k.cast("string"), F.lit("\"><META name=\"article:tag\" content='one'><meta content=\"two\" name=\"article:tag\"><link rel='canonical' href='https://c.example/"), _k.cast("string"),
-        F.lit("'><script type=\"application/ld+json\">{\"@type\": \"Product\", \"name\": \"N"), _k.cast("string"), F.lit("\"}</script></head><body>"), F.col("text"), F.lit("</body></html>"))
+        F.lit("<html><head><meta property='og:title' content=\"T"), _k().cast("string"), F.lit("\"><META name=\"article:tag\" content='one'><meta content=\"two\" name=\"article:tag\"><link rel='canonical' href='https://c.example/"), _k().cast("string"),
+        F.lit("'><script type=\"application/ld+json\">{\"@type\": \"Product\", \"name\": \"N"), _k().cast("string"), F.lit("\"}</script></head><body>"), F.col("text"), F.lit("</body></html>"))
     made = LD.structured_metadata(t("documents").select(F.col("doc_id").alias("page_id"), html.alias("html")))
     return made.select(F.col("page_id").alias("doc_id"), F.get(F.col("meta")["og:title"], F.lit(0)).alias("og_title"), F.array_join(F.col("meta")["article:tag"], ",").alias("tags"), "canonical", F.get_json_object(F.get("json_ld", F.lit(0)), "$.name").alias("ld_name"))
 
@@ -280,7 +288,7 @@ def snk15(t, spark):
 @query("agg18_pick_diagnostics", f"""WITH {JUDGED}, d AS (SELECT *, {_kind} AS kind FROM j) SELECT source, count(*) AS picks, count(*) FILTER (kind = 'SOFTWARE_PRODUCT') AS software, count(*) FILTER (strength = 'STRONG') AS strong, count(*) FILTER (doc_id % 4 >= 2) AS multi_source,
 count(*) FILTER (trim(description) = '') AS missing_description, CASE WHEN count(*) FILTER (title LIKE '%?') > 0 THEN 'FAIL' ELSE 'PASS' END AS quality FROM d GROUP BY source""")
 def agg18(t, spark):
-    rows = judged(t).withColumn("kind", KIND)
+    rows = judged(t).withColumn("kind", _kind_of())
     n = lambda c, name: F.count_if(F.expr(c)).alias(name)
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("picks"), n("kind = 'SOFTWARE_PRODUCT'", "software"), n("strength = 'STRONG'", "strong"), n("doc_id % 4 >= 2", "multi_source"), n("trim(description) = ''", "missing_description"),
@@ -331,7 +339,7 @@ def qa1(t, spark):
 @query("qa3_pinned_rows", """SELECT 'bad_id' AS rule, count(*) FILTER (doc_id % 10 = 3) AS n FROM labels UNION ALL SELECT 'orphan', count(*) FROM labels WHERE doc_id % 10 <> 3 AND doc_id NOT IN (SELECT page_id FROM pages) UNION ALL SELECT 'duplicate', count(*) FROM labels WHERE doc_id % 10 <> 3 AND doc_id % 4 = 0
 UNION ALL SELECT 'dependents_conversations', count(*) FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels WHERE doc_id % 10 <> 3) UNION ALL SELECT 'dependents_orders', count(*) FROM orders WHERE o_custkey IN (SELECT doc_id FROM labels WHERE doc_id % 10 <> 3)""")
 def qa3(t, spark):
-    pinned = t("labels").select(F.when(_k % 10 == 3, F.concat(F.lit("x"), _k.cast("string"))).otherwise(_k.cast("string")).alias("id"))
+    pinned = t("labels").select(F.when(_k() % 10 == 3, F.concat(F.lit("x"), _k().cast("string"))).otherwise(_k().cast("string")).alias("id"))
     twice = pinned.unionByName(pinned.where("try_cast(id AS bigint) % 4 = 0"))
     return LG.integrity(twice, "id", t("pages").select(F.col("page_id").alias("id")), {"conversations": t("conversations").select(F.col("conv_id").alias("id")), "orders": t("orders").select(F.col("o_custkey").alias("id"))})
 
@@ -377,7 +385,7 @@ _named = sql_any("title || ' ' || description", E.NAMED, "regex")
 @query("rul4_source_roles", f"""WITH {REC}, k AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'software' WHEN 2 THEN 'uncertain' ELSE 'inspiration' END AS kind FROM rec) SELECT doc_id, CASE WHEN source = 'kickstarter' THEN 'product' WHEN source IN ('reddit', 'reddit_arctic_shift') THEN CASE WHEN {_asked} THEN 'demand_signal'
   WHEN kind = 'physical' OR {_named} THEN 'product' ELSE 'uncertain' END WHEN kind = 'physical' THEN 'product' WHEN kind IN ('software', 'inspiration') THEN kind ELSE 'uncertain' END AS role FROM k""")
 def rul4(t, spark):
-    kind = listed(["physical", "software", "uncertain", "inspiration"], _k % 4)
+    kind = listed(["physical", "software", "uncertain", "inspiration"], _k() % 4)
     return records(t).select("doc_id", E.record_role(F.col("source"), F.concat_ws(" ", "title", "description"), kind).alias("role"))
 
 
