@@ -155,3 +155,11 @@ def str4_batch(t, spark):
 @query("str5_once_per_key", "SELECT DISTINCT user_id FROM events")
 def str5(t, spark):
     return ST.finished(ST.once_per_key(_landed(t, spark), "user_id", "at").select("user_id"))
+
+
+@query("str7_session_stream", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(gap) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+x AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS timed_out, count(*) AS events FROM s GROUP BY user_id, n) SELECT * FROM x WHERE timed_out <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def str7_stream(t, spark):
+    """Sessions that timed out, by a stream over the landed events."""
+    made = ST.finished(ST.idle_sessions(_landed(t, spark), "user_id", "at", "6 hours"))
+    return made.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "timed_out")], "events")

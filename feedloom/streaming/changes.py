@@ -34,6 +34,12 @@ def once_per_key(stream: DataFrame, key: str, ts: str, late: str = "40 days") ->
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def idle_sessions(stream: DataFrame, key: str, ts: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """(key, started, timed_out, events) of runs of a key that had nothing for `gap`, once the watermark has passed it: what is still running isn't reported."""
+    windows = stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("events"))
+    return windows.select(key, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("timed_out"), "events")
+
+
 def effective(stream: DataFrame, published: str, observed: str) -> DataFrame:
     """Adds at and method: when a row was published, or, where its source doesn't say, when it was observed."""
     return stream.withColumns({"at": F.coalesce(published, observed), "method": F.when(F.col(published).isNotNull(), "source").otherwise("observation")})
