@@ -184,3 +184,13 @@ def udx6(t, spark):
     register(spark)
     t("pages").createOrReplaceTempView("feedloom_pages")
     return spark.sql("SELECT page_id, url_host(url) AS host, cast(length(visible_text(html)) AS bigint) AS n_visible, bounded(cast(page_id AS int), 0, 50) AS bounded, short_key('page:', url) AS key FROM feedloom_pages")
+
+
+@query("agg7_fact_digest", """WITH h AS (SELECT l_returnflag, ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::BIGINT AS h FROM lineitem) SELECT l_returnflag, sum(h)::VARCHAR AS digest_sum, bit_xor(h) AS digest_xor, count(*) AS n FROM h GROUP BY 1""")
+def agg7(t, spark):
+    return t("lineitem").groupBy("l_returnflag").agg(*AG.rows_digest(*[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))
+
+
+@query("win1_best_per_key", "SELECT p_name, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS n FROM part) WHERE n = 1")
+def win1(t, spark):
+    return M.best_per_key(t("part"), ["p_name"], [F.desc("p_size"), F.col("p_partkey")]).select("p_name", "p_partkey", "p_size")
