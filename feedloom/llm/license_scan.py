@@ -41,6 +41,19 @@ TEMPLATES = {
     "Redistribution and use in source and binary forms, with or without modification, are permitted": "notice:bsd",
     "subject to the terms of the Mozilla Public License, v. 2.0": "notice:mpl-2.0",
     "This is free and unencumbered software released into the public domain": "notice:unlicense",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "notice:gpl",
+    "you may not use this file except in compliance with the License. You may obtain a copy of the License at": "notice:apache-2.0",
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software": "notice:mit",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": "notice:mit",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "notice:bsd",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation": "notice:bsd",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at": "notice:mpl-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "notice:isc",
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages": "notice:zlib",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "notice:bsl-1.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License": "notice:epl",
+    "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law": "notice:cc0-1.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "notice:cc-by-sa-4.0",
 }
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,14 +110,24 @@ def matches(blocks: DataFrame, order: list[str]) -> DataFrame:
     return possible.where(shared >= F.col("needed")).select("key", "label", (shared / F.col("size")).alias("containment"))
 
 
-def windows(w: Column) -> Column:
-    """(words, span) of the windows as long as a template that begin at one of the words of such a template."""
+def prefix_of(template: str, order: list[str]) -> list[str]:
+    """The words of a template without any of which nothing can match it."""
+    own = sorted(_words_of(template), key=order.index)
+    return own[: len(own) - needed(len(own)) + 1]
+
+
+def windows(w: Column, order: list[str]) -> Column:
+    """(words, span) of the windows as long as a template that begin at one of the words of such a template; none of a length of whose templates no prefix word occurs."""
     starts: dict[int, set[str]] = {}
+    prefix: dict[int, set[str]] = {}
     for template in TEMPLATES:
-        starts.setdefault(len(_all_words_of(template)), set()).update(_words_of(template))
+        n = len(_all_words_of(template))
+        starts.setdefault(n, set()).update(_words_of(template))
+        prefix.setdefault(n, set()).update(prefix_of(template, order))
     at = lambda own: F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(_array(sorted(own)), x), i + 1)), lambda i: i.isNotNull())
     cut = lambda n: lambda i: F.struct(F.slice(w, i, n).alias("words"), F.lit(n).alias("span"))
-    return F.concat(*[F.transform(at(own), cut(n)) for n, own in sorted(starts.items())])
+    none = F.array().cast("array<struct<words:array<string>,span:int>>")
+    return F.concat(*[F.when(F.arrays_overlap(w, _array(sorted(prefix[n]))), F.transform(at(own), cut(n))).otherwise(none) for n, own in sorted(starts.items())])
 
 
 def _places(w: Column, phrase: str) -> Column:
@@ -128,8 +151,7 @@ def scan(docs: DataFrame) -> DataFrame:
     first = sorted({p.split(" ")[0] for p in PHRASES})
     prefix = set()
     for template in TEMPLATES:
-        own = sorted(_words_of(template), key=order.index)
-        prefix |= {*own[: len(own) - needed(len(own)) + 1]}
+        prefix.update(prefix_of(template, order))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # words after lower() hold all that lower-casing A-Z alone would give of these ASCII words
     seen = docs.select(
@@ -149,7 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
     may = seen.where("may.blocks")
     lines = may.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", words(F.col("line")).alias("words"), F.lit(None).cast("int").alias("span"))
     # a text of one line is its own only block: it holds all windows
-    blocks = lines.unionByName(may.where(F.contains("text", F.lit("\n"))).select("key", F.inline(bind(words(F.col("text")), windows))))
+    blocks = lines.unionByName(may.where(F.contains("text", F.lit("\n"))).select("key", F.inline(bind(words(F.col("text")), lambda w: windows(w, order)))))
     labelled = matches(blocks, order).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     out = base.where("blocks").join(labelled, "key", "left").unionByName(
         base.where("NOT blocks").withColumns({"more": F.lit(None).cast("array<string>"), "containment": F.lit(None).cast("double")}))
