@@ -6,12 +6,14 @@ Records have title, description, category and source; nulls count as empty.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import collapse
+from feedloom.operators.phrases import first_words, gated, word_hits
 from feedloom.operators.titles import catalogue_name, design_name, launch_name
 
 # Patterns, hints and name tables of the ladders (patterns match lower-cased text).
@@ -19,6 +21,7 @@ NON_PRODUCT = [
     r"\bshort film\b", r"\bfeature film\b", r"\bfilm festival\b", r"\bdance film\b", r"\bhorror film\b", r"\bmovie\b", r"\bmusic album\b", r"\blive album\b", r"\bart exhibition\b", r"\bdonation(?:s)? only\b",
     r"\bsupport (?:our|my|the) (?:film|festival|album|event)\b", r"\b(?:concert|music|band|fall|summer|winter|north american|european) tour 20\d{2}\b",
 ]
+FILM = r"\bfilm\b"
 EDITORIAL = [r"^\d+\s+(?:best|top)\b", r"\broundup\b", r"\bnews\b", r"\bfilm festival support\b"]
 ROUNDUP = [r"^\d+\s+", r"\bbest of\b", r"\broundup\b", r"\bgift guide\b", r"\bthings we love\b", r"\bproducts? to (?:buy|know|love)\b"]
 SERVICE = [r"\bdigital download\b", r"\bprintable\b", r"\btemplate\b", r"\bsvg (?:file|bundle)\b", r"\bservice\b", r"\bconsultation\b"]
@@ -106,20 +109,30 @@ def hinted(hints: Sequence[str]) -> str:
     return rf"\b(?:{'|'.join(hints)})s?\b"
 
 
-def found(text: Column, patterns: Sequence[str]) -> Column:
-    return F.coalesce(text.rlike(either(patterns)), F.lit(False))
+def found(text: Column, patterns: Sequence[str], hits: Column | None = None) -> Column:
+    """Whether a lower-cased text holds one of the patterns; with its word hits, most texts are told by those."""
+    return F.coalesce(text.rlike(either(patterns)), F.lit(False)) if hits is None else gated(text, hits, patterns)
 
 
-def n_hints(text: Column, hints: Sequence[str]) -> Column:
-    """How many different hints occur."""
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(hints)})s?\b"), 1)))
+def n_hints(text: Column, hints: Sequence[str], hits: Column | None = None) -> Column:
+    """How many different hints occur. With the text's word hits, single words are counted there; the text is searched only where a hint of several words may begin."""
+    one = rf"\b({'|'.join(hints)})s?\b"
+    seen = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(one), 1)))
+    if hits is None:
+        return seen
+    single = [h for h in hints if re.fullmatch(r"\w+", h)]
+    forms = sorted(first_words(rf"\b(?:{'|'.join(single)})s?\b"))
+    bare = F.transform(F.filter(hits, lambda w: w.isin(*forms)), lambda w: F.when(w.isin(*single), w).otherwise(F.substring(w, F.lit(1), F.length(w) - 1)))
+    counted = F.size(F.array_distinct(bare))
+    longer = {w for h in hints if h not in single for w in first_words(rf"\b(?:{h})s?\b")}
+    return F.when(F.arrays_overlap(hits, F.array(*map(F.lit, sorted(longer)))), seen).otherwise(counted) if longer else counted
 
 
 def table_name(text: Column, names: dict[str, str]) -> Column:
     """The name of the first pattern that the lower-cased text matches, else null."""
     each = [F.when(text.rlike(p), F.lit(n)) for p, n in names.items()]
     # one look tells most texts that nothing matches
-    return F.when(text.rlike(either(names)), F.coalesce(*each))
+    return F.when(gated(text, None, list(names)), F.coalesce(*each))
 
 
 def decided(rules: Sequence[tuple[Column, Sequence]], otherwise: Sequence) -> list[Column]:
@@ -142,9 +155,10 @@ def eligibility(df: DataFrame, is_digital: str = "is_digital", link: str = "exte
     """
     whole = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "description", "category")]))
     rows = df.withColumns({"__text": whole, "__title": F.lower(F.coalesce("title", F.lit(""))), "__source": F.lower(F.coalesce("source", F.lit("")))})
-    text, title, source = F.col("__text"), F.col("__title"), F.col("__source")
+    text, title, source, hits = F.col("__text"), F.col("__title"), F.col("__source"), F.col("__hits")
     # columns of their own: fields of a struct would be put in place, and computed, wherever they are named
-    rows = rows.withColumns({"__physical": found(text, [hinted(PHYSICAL_HINTS)]), "__software": found(text, [hinted(SOFTWARE_HINTS)])})
+    rows = rows.withColumn("__hits", word_hits(text, ([hinted(PHYSICAL_HINTS), hinted(SOFTWARE_HINTS), FILM, *NON_PRODUCT, *SERVICE, *LAUNCH_TALK, *LAUNCH_HARDWARE, *LAUNCH_SOFTWARE, *DESIGN_OTHER], "pattern")))
+    rows = rows.withColumns({"__physical": found(text, [hinted(PHYSICAL_HINTS)], hits), "__software": found(text, [hinted(SOFTWARE_HINTS)], hits)})
     physical, software = F.col("__physical"), F.col("__software")
     named, of = physical | software, source.isin
     launch, design = source == "hacker_news", of("yanko_design", "design_milk")
@@ -152,21 +166,21 @@ def eligibility(df: DataFrame, is_digital: str = "is_digital", link: str = "exte
     other = "NON_PRODUCT_CONTENT"
     linked = F.coalesce(F.col(link).rlike("^https?://"), F.lit(False))
     rules = [
-        (found(text, NON_PRODUCT) & ~((source == "yanko_design") & named), (other, no, "film, event, album or donation")),
-        (of("indiegogo", "kickstarter") & found(text, [r"\bfilm\b"]) & ~named, (other, no, "campaign for a film")),
+        (found(text, NON_PRODUCT, hits) & ~((source == "yanko_design") & named), (other, no, "film, event, album or donation")),
+        (of("indiegogo", "kickstarter") & found(text, [FILM], hits) & ~named, (other, no, "campaign for a film")),
         (found(title, EDITORIAL) & ~named, (other, no, "editorial or news")),
         (source == "product_hunt", ("SOFTWARE_PRODUCT", yes, "software unless shown otherwise")),
-        ((source == "etsy") & (F.coalesce(F.col(is_digital), F.lit(False)) | found(text, SERVICE)), (other, no, "download or service")),
+        ((source == "etsy") & (F.coalesce(F.col(is_digital), F.lit(False)) | found(text, SERVICE, hits)), (other, no, "download or service")),
         (source == "etsy", ("PHYSICAL_PRODUCT", yes, "active listing")),
         (launch & ~title.startswith("show hn:"), (other, no, "not a launch")),
-        (launch & found(text, LAUNCH_TALK), (other, no, "discussion or essay")),
+        (launch & found(text, LAUNCH_TALK, hits), (other, no, "discussion or essay")),
         (launch & found(title, [LAUNCH_SEVERAL]), (other, no, "several products in the title")),
-        (launch & found(text, LAUNCH_HARDWARE), ("PHYSICAL_PRODUCT", yes, "hardware launch")),
-        (launch & (software | found(text, LAUNCH_SOFTWARE) | linked), ("SOFTWARE_PRODUCT", yes, "software launch")),
+        (launch & found(text, LAUNCH_HARDWARE, hits), ("PHYSICAL_PRODUCT", yes, "hardware launch")),
+        (launch & (software | found(text, LAUNCH_SOFTWARE, hits) | linked), ("SOFTWARE_PRODUCT", yes, "software launch")),
         (launch, (open_, open_, "launch without a product that can be told")),
         (source == "amazon", ("PHYSICAL_PRODUCT", yes, "catalogue product")),
         (design & found(title, ROUNDUP), (other, no, "roundup of several products")),
-        (design & found(text, DESIGN_OTHER) & ~physical, (other, no, "architecture, tour, exhibition or interview")),
+        (design & found(text, DESIGN_OTHER, hits) & ~physical, (other, no, "architecture, tour, exhibition or interview")),
         (design & physical, ("PRODUCT_DESIGN", yes, "design object")),
         (design, (open_, open_, "design article without one object")),
         (source == "reddit_software", ("SOFTWARE_PRODUCT", yes, "software or a need of it")),
@@ -175,7 +189,7 @@ def eligibility(df: DataFrame, is_digital: str = "is_digital", link: str = "exte
         ((source == "kickstarter") & F.lower("category").isin(*CAMPAIGN_CATEGORIES), ("PHYSICAL_PRODUCT", yes, "campaign category")),
     ]
     content, status, reason = decided(rules, (open_, open_, "nothing tells what it is"))
-    return rows.withColumns({"content_type": content, "eligibility_status": status, "eligibility_reason": reason}).drop("__text", "__title", "__source", "__physical", "__software")
+    return rows.withColumns({"content_type": content, "eligibility_status": status, "eligibility_reason": reason}).drop("__text", "__title", "__source", "__hits", "__physical", "__software")
 
 
 def need_name(title: Column, description: Column) -> Column:
@@ -190,8 +204,11 @@ def concrete(df: DataFrame) -> DataFrame:
     rows = df.withColumns({"__title": low("title"), "__body": low("description"), "__source": F.lower(F.coalesce("source", F.lit("")))})
     rows = rows.withColumn("__text", F.concat_ws(" ", "__title", "__body"))
     title, body, text, source = (F.col(c) for c in ("__title", "__body", "__text", "__source"))
+    nouns = [hinted(PHYSICAL_HINTS), hinted(SOFTWARE_HINTS)]
+    rows = rows.withColumns({"__hits": word_hits(text, (nouns, "pattern")), "__title_hits": word_hits(title, (nouns[:1], "pattern"))})
+    hits = F.col("__hits")
     rows = rows.withColumns({
-        "__n_physical": n_hints(text, PHYSICAL_HINTS), "__n_software": n_hints(text, SOFTWARE_HINTS), "__n_title": n_hints(title, PHYSICAL_HINTS), "__n_need": F.when(source.contains("reddit"), need_name(title, body)).isNotNull()})
+        "__n_physical": n_hints(text, PHYSICAL_HINTS, hits), "__n_software": n_hints(text, SOFTWARE_HINTS, hits), "__n_title": n_hints(title, PHYSICAL_HINTS, F.col("__title_hits")), "__n_need": F.when(source.contains("reddit"), need_name(title, body)).isNotNull()})
     physical, software, in_title, need = (F.col(f"__n_{c}") for c in ("physical", "software", "title", "need"))
     forum, status = source.contains("reddit"), F.col("eligibility_status")
     design, yes, no, open_ = source.isin("yanko_design", "design_milk"), "CONCRETE", "NON_CONCRETE", "AMBIGUOUS"
@@ -217,7 +234,7 @@ def concrete(df: DataFrame) -> DataFrame:
         (source.isin("kickstarter", "indiegogo"), (open_, "campaign without an object")),
     ]
     verdict, reason = decided(rules, (open_, "no rule for the source"))
-    return rows.withColumns({"concrete_status": verdict, "concrete_reason": reason}).drop("__title", "__body", "__text", "__source", "__n_physical", "__n_software", "__n_title", "__n_need")
+    return rows.withColumns({"concrete_status": verdict, "concrete_reason": reason}).drop("__title", "__body", "__text", "__source", "__n_physical", "__n_software", "__n_title", "__n_need", "__hits", "__title_hits")
 
 
 def craft_name(title: Column) -> Column:
@@ -239,9 +256,9 @@ def tagline_kind(tagline: Column) -> Column:
     return table_name(F.lower(_line(tagline)), TAGLINES)
 
 
-def tagline_name(title: Column, tagline: Column) -> Column:
-    """Title and kind of product by its tagline, else title and tagline, 100 characters at most; null without a tagline."""
-    own, kind = _line(tagline), tagline_kind(tagline)
+def tagline_name(title: Column, tagline: Column, kind: Column) -> Column:
+    """Title and kind of product, else title and tagline, 100 characters at most; null without a tagline."""
+    own = _line(tagline)
     dash = F.lit(" — ")
     return F.when(own != "", F.when(kind.isNotNull(), F.concat(title, dash, kind)).otherwise(F.left(F.concat(title, dash, own), F.lit(100))))
 
@@ -255,14 +272,15 @@ def identity(df: DataFrame, known: str = "known_name", tagline: str = "tagline")
     space = lambda c: collapse(F.coalesce(F.col(c), F.lit("")))
     rows = df.withColumns({"__title": space("title"), "__body": space("description"), "__source": F.lower(F.coalesce("source", F.lit("")))})
     title, body, source, zh = F.col("__title"), F.col("__body"), F.col("__source"), F.col(known)
-    cover = F.initcap(F.lower(F.nullif(F.regexp_extract(body, COVER, 1), F.lit(""))))
+    # most texts don't have the word that every match ends with
+    cover = F.when(F.lower(body).contains("cover"), F.initcap(F.lower(F.nullif(F.regexp_extract(body, COVER, 1), F.lit("")))))
     own_line = F.coalesce(F.nullif(F.col(tagline), F.lit("")), body)
     names = {
-        "cover": cover, "kind": F.when(source == "product_hunt", tagline_kind(own_line)), "tagline": F.when(source == "product_hunt", tagline_name(title, own_line)), "catalogue": F.when(source == "amazon", catalogue_name(title)),
+        "cover": cover, "tagline": F.when(source == "product_hunt", tagline_name(title, own_line, F.col("__name_kind"))), "catalogue": F.when(source == "amazon", catalogue_name(title)),
         "craft": F.when(source == "etsy", craft_name(title)), "launch": F.when(source == "hacker_news", named_launch(title)), "need": F.when(source.contains("reddit"), need_name(F.lower(title), F.lower(body))),
         "design": F.when(source.isin("yanko_design", "design_milk"), design_name(title))}
-    rows = rows.withColumns({f"__name_{c}": v for c, v in names.items()})
-    n = {c: F.col(f"__name_{c}") for c in names}
+    rows = rows.withColumn("__name_kind", F.when(source == "product_hunt", tagline_kind(own_line))).withColumns({f"__name_{c}": v for c, v in names.items()})
+    n = {c: F.col(f"__name_{c}") for c in ("kind", *names)}
     none = F.lit(None).cast("string")
     vague, low_body = F.lower(title).isin(*VAGUE_TITLES), F.lower(body)
     forum = source.contains("reddit")
@@ -287,7 +305,7 @@ def identity(df: DataFrame, known: str = "known_name", tagline: str = "tagline")
         ((F.length(title) >= 3) & ~title.rlike(r"(?i)^(?:my|this|help)\b"), (title, zh, "source_title", "MEDIUM")),
     ]
     name, name_zh, method, confidence = decided(rules, (none, zh, "unresolved", "UNRESOLVED"))
-    return rows.withColumns({"normalized_name": name, "name_zh": name_zh, "identity_method": method, "identity_confidence": confidence}).drop("__title", "__body", "__source", *[f"__name_{c}" for c in names])
+    return rows.withColumns({"normalized_name": name, "name_zh": name_zh, "identity_method": method, "identity_confidence": confidence}).drop("__title", "__body", "__source", *[f"__name_{c}" for c in n])
 
 
 def context_text(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.phrases import any_of, clamp, flags, has, matched, padded, weights
+from feedloom.operators.phrases import any_of, clamp, flags_in, has, indexed, padded, phrases_of, spaced, tested, weights
 
 # Phrase lists, patterns, weights and thresholds of the packs.
 PHYSICAL = [
@@ -136,12 +136,18 @@ def _listed(label: str, found: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat(F.lit(label), F.array_join(found, ", ")))
 
 
-def opportunity(df: DataFrame) -> DataFrame:
-    """Adds opportunity_type, filter_status, filter_score and filter_reason (rules by counts of matched phrases)."""
-    text = text_of("title", "description", "category")
+def opportunity(df: DataFrame, context: str | None = None) -> DataFrame:
+    """Adds opportunity_type, filter_status, filter_score and filter_reason (rules by counts of matched phrases).
+
+    `context` is a column of further text that a record's structure holds (tagline, topics, metadata); it is matched too.
+    """
+    text = text_of("title", "description", "category", *([context] if context else []))
     lists = {"physical": PHYSICAL, "software": SOFTWARE, "inspiration": INSPIRATION, "risk": PHYSICAL_RISK, "priority": PHYSICAL_PRIORITY, "mvp": SOFTWARE_MVP, "complex": SOFTWARE_COMPLEX}
     # columns of their own: fields of a struct would be put in place, and computed, wherever they are named
-    m = df.withColumns({f"__m_{k}": matched(text, v) for k, v in lists.items()})
+    phrases = list(dict.fromkeys(phrases_of(lists)))
+    m = indexed(df, text, (phrases, "word"))
+    m = m.withColumn("__found", flags_in(F.col("__low"), F.col("__hits"), {p: (p,) for p in phrases}))
+    m = m.withColumns({f"__m_{k}": F.array_intersect(F.array(*map(F.lit, v)), "__found") for k, v in lists.items()})
     n = {k: F.size(f"__m_{k}") for k in lists}
     kind = (
         F.when((n["inspiration"] > 0) & F.lower("source").isin(*DESIGN_SOURCES), "inspiration").when((n["software"] > 0) & (n["physical"] < 2), "software")
@@ -155,14 +161,16 @@ def opportunity(df: DataFrame) -> DataFrame:
         .otherwise("insufficient signals to classify as physical, software, or inspiration"))
     out = m.withColumn("opportunity_type", kind).withColumn("filter_score", score)
     status = F.when(k == "uncertain", "uncertain").when(k == "inspiration", "candidate").when((F.col("filter_score") < 50) | ((k == "physical") & (n["risk"] > 0)), "rejected").otherwise("candidate")
-    return out.withColumn("filter_status", status).withColumn("filter_reason", reason).drop(*[f"__m_{k}" for k in lists])
+    return out.withColumn("filter_status", status).withColumn("filter_reason", reason).drop("__low", "__hits", "__found", *[f"__m_{k}" for k in lists])
 
 
 def feasibility(df: DataFrame) -> DataFrame:
     """Adds feasibility_status (PASS, REVIEW, REJECT), feasibility_score, risk_flags and positive_signals."""
     text = text_of("title", "description", "category")
     risks = F.col("__risks")
-    out = df.withColumns({"__risks": flags(text, RISKS), "positive_signals": flags(text, POSITIVE, "regex"), "__special": any_of(text, COMPLEXITY, "regex")})
+    out = indexed(df, text, (phrases_of(RISKS), "word"), (phrases_of(POSITIVE), "regex"), (COMPLEXITY, "regex"))
+    low, hits = F.col("__low"), F.col("__hits")
+    out = out.withColumns({"__risks": flags_in(low, hits, RISKS), "positive_signals": flags_in(low, hits, POSITIVE, "regex"), "__special": tested(low, hits, COMPLEXITY, "regex")})
     out = out.withColumn("risk_flags", F.when(has(risks, "wireless"), F.array_append(risks, "high_certification_risk")).otherwise(risks))
     n, bad, special = F.size("positive_signals"), F.size("risk_flags"), F.col("__special")
     score = F.least(F.lit(100), 35 + 8 * n)
@@ -170,14 +178,15 @@ def feasibility(df: DataFrame) -> DataFrame:
     return out.withColumns({
         "feasibility_status": F.when(bad > 0, "REJECT").when(easy, "PASS").otherwise("REVIEW"),
         "feasibility_score": F.when(bad > 0, F.greatest(F.lit(0), 28 - 6 * bad)).when(easy, F.greatest(F.lit(70), score)).when(special, F.least(F.lit(69), F.greatest(F.lit(45), score))).when(n > 0, F.least(F.lit(69), score)).otherwise(score),
-    }).drop("__risks", "__special")
+    }).drop("__risks", "__special", "__low", "__hits")
 
 
 def commodity(df: DataFrame) -> DataFrame:
     """Adds commodity_status (PROMISING, REVIEW, COMMODITY), commodity_score and commodity_flags."""
-    text = F.lower(text_of("title", "description"))
     bulky, mature = F.col("__bulky"), F.col("__mature")
-    out = df.withColumns({"__bulky": any_of(text, BULKY, "part"), "__mature": flags(text, MATURE, "part"), "__new": flags(text, INNOVATION, "part")})
+    out = indexed(df, text_of("title", "description"))
+    low, hits = F.col("__low"), F.col("__hits")
+    out = out.withColumns({"__bulky": tested(low, hits, BULKY, "part"), "__mature": flags_in(low, hits, MATURE, "part"), "__new": flags_in(low, hits, INNOVATION, "part")})
     out = out.withColumn("__old", F.when(F.size(mature) > 0, F.array_append(mature, "highly_mature_category")).otherwise(mature))
     n = F.size("__new")
     strong = F.size(F.array_intersect("__new", F.array(*map(F.lit, STRONG))))
@@ -188,16 +197,17 @@ def commodity(df: DataFrame) -> DataFrame:
         "commodity_status": F.when(bulky, "COMMODITY").when(best, "PROMISING").when((n == 0) & old, "COMMODITY").otherwise("REVIEW"),
         "commodity_score": F.when(bulky, 10).when(best, F.greatest(F.lit(70), score)).when(n > 0, F.greatest(F.lit(40), score)).when(old, 20).otherwise(35),
         "commodity_flags": F.when(bulky, F.array(F.lit("bulky_shipping"), F.lit("highly_mature_category"))).otherwise(F.array_union("__old", "__new")),
-    }).drop("__new", "__old", "__bulky", "__mature")
+    }).drop("__new", "__old", "__bulky", "__mature", "__low", "__hits")
 
 
 def demand_signal(df: DataFrame) -> DataFrame:
     """Adds signal_status (HIGH, MEDIUM, LOW, NOT_DEMAND), signal_score and signal_type."""
     text = text_of("title", "description")
     points = {p: w for rules in SIGNALS.values() for p, w in rules}
-    seen = df.withColumn("__hits", flags(text, {p: [p] for p in points}, "regex"))
+    seen = indexed(df, text, (points, "regex"))
+    seen = seen.withColumn("__hits", flags_in(F.col("__low"), F.col("__hits"), {p: [p] for p in points}, "regex"))
     each = {kind: F.least(F.lit(100), weights(F.array_intersect("__hits", F.array(*[F.lit(p) for p, _ in rules])), dict(rules))) for kind, rules in SIGNALS.items()}
-    scored = seen.withColumn("__s", F.array(*[F.struct(each[k].alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(SIGNAL_PRIORITY)])).drop("__hits")
+    scored = seen.withColumn("__s", F.array(*[F.struct(each[k].alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(SIGNAL_PRIORITY)])).drop("__hits", "__low")
     found = F.filter("__s", lambda s: s["score"] > 0)
     best = F.array_max("__s")
     total = F.least(F.lit(100), best["score"] + 15 * (F.size(found) - 1))
@@ -210,16 +220,17 @@ def demand_signal(df: DataFrame) -> DataFrame:
 
 def specificity(df: DataFrame, signals: str = "signals") -> DataFrame:
     """Adds specificity_status (SPECIFIC, REVIEW, TOO_BROAD), specificity_score and specificity_flags; needs candidate_type and an array of signals."""
-    text = F.trim(F.regexp_replace(F.lower(text_of("title", "description")), r"\s+", " "))
+    out = indexed(df, F.trim(F.regexp_replace(text_of("title", "description"), r"\s+", " ")))
+    text, hits = F.col("__low"), F.col("__hits")
     one = lambda condition, name: F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     renamed = F.create_map(*[F.lit(x) for item in DISPLAY_FLAG.items() for x in item])
-    products, broad = flags(text, PRODUCTS, "part"), flags(text, BROAD, "part")
+    products, broad = flags_in(text, hits, PRODUCTS, "part"), flags_in(text, hits, BROAD, "part")
     all_flags = F.array_distinct(F.concat(
         one(F.size(products) > 0, "explicit_product_type"), one(F.size(products) > 1, "multiple_product_families"),
         F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col(signals), F.array().cast("array<string>")), lambda s: renamed[s])))),
-        one(any_of(text, FEATURE, "part"), "explicit_feature_request"), one(any_of(text, REQUIREMENT, "part"), "explicit_requirement"), one(any_of(text, IMPROVEMENT, "part"), "clear_improvement_direction"),
-        one(any_of(text, ["made it myself", "leathercraft", "diy"], "part"), "DIY_workaround"), one(any_of(text, ["too expensive", "price", "budget"], "part"), "explicit_price_pain"), broad))
-    out = df.withColumn("specificity_flags", all_flags).withColumn("__broad", F.size(broad))
+        one(tested(text, hits, FEATURE, "part"), "explicit_feature_request"), one(tested(text, hits, REQUIREMENT, "part"), "explicit_requirement"), one(tested(text, hits, IMPROVEMENT, "part"), "clear_improvement_direction"),
+        one(tested(text, hits, ["made it myself", "leathercraft", "diy"], "part"), "DIY_workaround"), one(tested(text, hits, ["too expensive", "price", "budget"], "part"), "explicit_price_pain"), broad))
+    out = out.withColumn("specificity_flags", all_flags).withColumn("__broad", F.size(broad))
     f = F.col("specificity_flags")
     product, gap = has(f, "explicit_product_type"), has(f, "explicit_feature_request", "explicit_price_pain")
     better = has(f, "clear_improvement_direction", "DIY_workaround")
@@ -234,24 +245,29 @@ def specificity(df: DataFrame, signals: str = "signals") -> DataFrame:
         "specificity_status": F.when(~demand & product, "SPECIFIC").when(~demand, "REVIEW").when(vague, "TOO_BROAD").when(exact, "SPECIFIC").when(some | other, "REVIEW").otherwise("TOO_BROAD"),
         "specificity_score": F.when(~demand & product, F.greatest(F.lit(70), score)).when(~demand, F.greatest(F.lit(45), score)).when(vague, low).when(exact, F.greatest(F.lit(65), score))
         .when(some, clamp(score, 40, 64)).when(other, clamp(score, 40, 59)).otherwise(low),
-    }).drop("__broad")
+    }).drop("__broad", "__low", "__hits")
 
 
 def creative(df: DataFrame) -> DataFrame:
     """Adds content_type, creative_signals, creative_risks, creative_feasibility, creative_micro and eligible."""
     title, category = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("category", F.lit("")))
-    text = F.concat(F.lower(text_of("title", "description")), F.lit(" "), category)
-    physical = padded(text, PHYSICAL_TERMS)
+    out = indexed(df, F.concat(text_of("title", "description"), F.lit(" "), F.coalesce("category", F.lit(""))))
+    text, hits = F.col("__low"), F.col("__hits")
+    words = {"__words": text, "__title_words": title, "__category_words": category}
+    out = out.withColumns({k: spaced(c, PHYSICAL_TERMS, COMPLEX_TECH, LARGE_TERMS, ARCHITECTURE, VEHICLE) for k, c in words.items()})
+    of = lambda column, terms: padded(words[column], terms, F.col(column))
+    out = out.withColumns({"__physical": of("__words", PHYSICAL_TERMS), "__tech": of("__words", COMPLEX_TECH)})
+    physical, tech = F.col("__physical"), F.col("__tech")
     kind = (
-        F.when(padded(category, ARCHITECTURE) | padded(title, ARCHITECTURE), "architecture").when(padded(category, VEHICLE) | padded(title, VEHICLE), "vehicle")
-        .when(padded(text, COMPLEX_TECH) | any_of(category, TECH_CATEGORIES, "part"), "technology_complex").when(physical & any_of(text, CONCEPT_WORDS, "part"), "concept_product").when(physical, "physical_product").otherwise("other"))
-    out = df.withColumn("content_type", kind)
+        F.when(of("__category_words", ARCHITECTURE) | of("__title_words", ARCHITECTURE), "architecture").when(of("__category_words", VEHICLE) | of("__title_words", VEHICLE), "vehicle")
+        .when(tech | any_of(category, TECH_CATEGORIES, "part"), "technology_complex").when(physical & tested(text, hits, CONCEPT_WORDS, "part"), "concept_product").when(physical, "physical_product").otherwise("other"))
+    out = out.withColumn("content_type", kind)
     k = F.col("content_type")
     product = k.isin("physical_product", "concept_product")
-    head = F.array_compact(F.array(F.when(product, F.lit("existing_simple_product")), F.when(~padded(text, COMPLEX_TECH) & any_of(text, LOW_TECH, "part"), F.lit("low_tech_modification"))))
+    head = F.array_compact(F.array(F.when(product, F.lit("existing_simple_product")), F.when(~tech & tested(text, hits, LOW_TECH, "part"), F.lit("low_tech_modification"))))
     risks = F.array_compact(F.array(
-        F.when(k == "architecture", F.lit("architecture")), F.when(k == "vehicle", F.lit("vehicle")), F.when(k == "technology_complex", F.lit("complex_electronics")), F.when(padded(text, LARGE_TERMS), F.lit("large_or_heavy"))))
-    out = out.withColumn("creative_signals", F.concat(head, flags(text, CREATIVE_SIGNALS, "part"))).withColumn("creative_risks", risks)
+        F.when(k == "architecture", F.lit("architecture")), F.when(k == "vehicle", F.lit("vehicle")), F.when(k == "technology_complex", F.lit("complex_electronics")), F.when(of("__words", LARGE_TERMS), F.lit("large_or_heavy"))))
+    out = out.withColumn("creative_signals", F.concat(head, flags_in(text, hits, CREATIVE_SIGNALS, "part"))).withColumn("creative_risks", risks)
     out = out.withColumn("creative_feasibility", clamp(42 + weights(F.col("creative_signals"), CREATIVE_FEASIBILITY) - 60 * F.size("creative_risks")))
     out = out.withColumn("creative_micro", F.least(F.lit(100), 24 + weights(F.col("creative_signals"), CREATIVE_MICRO)))
-    return out.withColumn("eligible", product & (F.size("creative_risks") == 0) & (F.size("creative_signals") >= 2) & (F.col("creative_feasibility") >= 60) & (F.col("creative_micro") >= 45))
+    return out.withColumn("eligible", product & (F.size("creative_risks") == 0) & (F.size("creative_signals") >= 2) & (F.col("creative_feasibility") >= 60) & (F.col("creative_micro") >= 45)).drop("__low", "__hits", "__physical", "__tech", *words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.phrases import any_of, flags, has
+from feedloom.operators.phrases import any_of, flags_in, has, indexed, phrases_of
 
 # Patterns and phrases of the decision tables.
 CLAIMS = {
@@ -43,14 +43,17 @@ DEMAND_FLAGS = {
 
 def demand_fit(df: DataFrame, text: Column) -> DataFrame:
     """Adds demand_status (PRODUCTIZABLE, REVIEW, NOT_FIT), demand_fit and demand_flags."""
-    out = df.withColumn("demand_flags", flags(text, DEMAND_FLAGS, "regex")).withColumn("__hard", F.size(flags(text, NOT_FIT, "regex"))).withColumn("__soft", F.size(flags(text, TECHNICAL, "regex")))
+    tables = (DEMAND_FLAGS, NOT_FIT, TECHNICAL)
+    out = indexed(df, text, *[(phrases_of(t), "regex") for t in tables])
+    found, hard, soft = (flags_in(F.col("__low"), F.col("__hits"), t, "regex") for t in tables)
+    out = out.withColumns({"demand_flags": found, "__hard": F.size(hard), "__soft": F.size(soft)})
     f, n = F.col("demand_flags"), F.size("demand_flags")
     score = F.least(F.lit(100), 35 + 9 * n)
     good = has(f, "existing_simple_product") & (n >= 3) & (F.col("__soft") == 0)
     return out.withColumns({
         "demand_status": F.when(F.col("__hard") > 0, "NOT_FIT").when(good, "PRODUCTIZABLE").otherwise("REVIEW"),
         "demand_fit": F.when(F.col("__hard") > 0, F.greatest(F.lit(0), 25 - 5 * F.col("__hard"))).when(good, F.greatest(F.lit(70), score)).otherwise(F.least(F.lit(69), score)),
-    }).drop("__hard", "__soft")
+    }).drop("__hard", "__soft", "__low", "__hits")
 
 
 def unsupported_claims(text: Column) -> Column:
