@@ -38,3 +38,41 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_path() named, once nothing reads it any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a place that Spark can reach."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, sorted; none if it isn't there."""
+    fs, place = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def text_at(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, place = _folder(spark, path)
+    stream = fs.open(place)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small text file that appears whole or not at all; False, and nothing changed, if the name is taken."""
+    fs, place = _folder(spark, path)
+    hidden = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(hidden, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    # renaming onto a file that is there fails on the shared file systems; the local one would replace it
+    if fs.exists(place) or not fs.rename(hidden, place):
+        fs.delete(hidden, False)
+        return False
+    return True

@@ -20,13 +20,13 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def upsert(old: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column], policy: Mapping[str, str] | None = None) -> DataFrame:
     """Stored rows with the batch put over them; of equal keys in the batch the first in `order` counts.
 
-    policy says for a column: new (default), old (the stored value stays), fill (new unless null), or (either is true), max.
+    Null keys are keys like others: equal to each other and to nothing else. policy says for a column: new (default), old (the stored value stays), fill (new unless null), or (either is true), max.
     """
     policy = policy or {}
     new = best_per_key(batch, keys, order)
-    a, b = old.alias("a"), new.alias("b")
+    a, b = old.alias("a"), new.withColumn("__in_batch", F.lit(True)).alias("b")
     met = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full_outer")
-    in_batch = F.coalesce(*[F.col(f"b.{k}").isNotNull() for k in keys])
+    in_batch = F.col("b.__in_batch").isNotNull()
 
     def value(c: str) -> Column:
         x, y = F.col(f"a.{c}"), F.col(f"b.{c}")

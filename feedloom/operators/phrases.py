@@ -131,9 +131,15 @@ def _is_number(word: Column) -> Column:
     return (word >= "0") & (word < ":")
 
 
-def indexed(df: DataFrame, text: Column, *tables: tuple[Iterable[str], str]) -> DataFrame:
-    """Adds __low, the text in lower case, and __hits, its word hits, as columns that many flags can be read from."""
-    return df.withColumn("__low", F.lower(text)).withColumn("__hits", word_hits(F.col("__low"), *tables))
+def indexed(df: DataFrame, text: Column, *tables: tuple[Iterable[str], str], prefix: str = "_") -> DataFrame:
+    """Adds (prefix)_low, the text in lower case, and (prefix)_hits, its word hits, as columns that many flags can be read from.
+
+    Columns that stand there already, made from the same text and at least these tables, are taken as they are.
+    """
+    low, hits = f"{prefix}_low", f"{prefix}_hits"
+    if hits in df.columns:
+        return df
+    return df.withColumn(low, F.lower(text)).withColumn(hits, word_hits(F.col(low), *tables))
 
 
 def phrases_of(table: Mapping[str, Sequence[str]]) -> list[str]:

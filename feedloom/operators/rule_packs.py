@@ -126,6 +126,23 @@ CREATIVE_MICRO = {
     "accessibility_improvement": 12, "everyday_use": 6, "simple_mechanical_design": 12}
 # End of the fixed values.
 
+#: Tables that are looked up in title, description and category.
+OF_WHOLE = ((phrases_of(RISKS), "word"), (phrases_of(POSITIVE), "regex"), (COMPLEXITY, "regex"))
+
+
+def with_index(df: DataFrame, *tables) -> DataFrame:
+    """Records with the word hits of OF_WHOLE and further tables in title, description and category; several packs then share them."""
+    return indexed(df, text_of("title", "description", "category"), *OF_WHOLE, *tables)
+
+
+def without_index(df: DataFrame) -> DataFrame:
+    return df.drop("__low", "__hits")
+
+
+def _own(df: DataFrame) -> list[str]:
+    """The index columns that a pack added itself and takes away again."""
+    return [c for c in ("__low", "__hits") if c not in df.columns]
+
 
 def text_of(*names: str) -> Column:
     """The columns, nulls as empty, with a space between them."""
@@ -145,8 +162,8 @@ def opportunity(df: DataFrame, context: str | None = None) -> DataFrame:
     lists = {"physical": PHYSICAL, "software": SOFTWARE, "inspiration": INSPIRATION, "risk": PHYSICAL_RISK, "priority": PHYSICAL_PRIORITY, "mvp": SOFTWARE_MVP, "complex": SOFTWARE_COMPLEX}
     # columns of their own: fields of a struct would be put in place, and computed, wherever they are named
     phrases = list(dict.fromkeys(phrases_of(lists)))
-    m = indexed(df, text, (phrases, "word"))
-    m = m.withColumn("__found", flags_in(F.col("__low"), F.col("__hits"), {p: (p,) for p in phrases}))
+    m = indexed(df, text, (phrases, "word"), prefix="__o")
+    m = m.withColumn("__found", flags_in(F.col("__o_low"), F.col("__o_hits"), {p: (p,) for p in phrases}))
     m = m.withColumns({f"__m_{k}": F.array_intersect(F.array(*map(F.lit, v)), "__found") for k, v in lists.items()})
     n = {k: F.size(f"__m_{k}") for k in lists}
     kind = (
@@ -161,14 +178,13 @@ def opportunity(df: DataFrame, context: str | None = None) -> DataFrame:
         .otherwise("insufficient signals to classify as physical, software, or inspiration"))
     out = m.withColumn("opportunity_type", kind).withColumn("filter_score", score)
     status = F.when(k == "uncertain", "uncertain").when(k == "inspiration", "candidate").when((F.col("filter_score") < 50) | ((k == "physical") & (n["risk"] > 0)), "rejected").otherwise("candidate")
-    return out.withColumn("filter_status", status).withColumn("filter_reason", reason).drop("__low", "__hits", "__found", *[f"__m_{k}" for k in lists])
+    return out.withColumn("filter_status", status).withColumn("filter_reason", reason).drop("__o_low", "__o_hits", "__found", *[f"__m_{k}" for k in lists])
 
 
 def feasibility(df: DataFrame) -> DataFrame:
     """Adds feasibility_status (PASS, REVIEW, REJECT), feasibility_score, risk_flags and positive_signals."""
-    text = text_of("title", "description", "category")
     risks = F.col("__risks")
-    out = indexed(df, text, (phrases_of(RISKS), "word"), (phrases_of(POSITIVE), "regex"), (COMPLEXITY, "regex"))
+    out = with_index(df)
     low, hits = F.col("__low"), F.col("__hits")
     out = out.withColumns({"__risks": flags_in(low, hits, RISKS), "positive_signals": flags_in(low, hits, POSITIVE, "regex"), "__special": tested(low, hits, COMPLEXITY, "regex")})
     out = out.withColumn("risk_flags", F.when(has(risks, "wireless"), F.array_append(risks, "high_certification_risk")).otherwise(risks))
@@ -178,14 +194,14 @@ def feasibility(df: DataFrame) -> DataFrame:
     return out.withColumns({
         "feasibility_status": F.when(bad > 0, "REJECT").when(easy, "PASS").otherwise("REVIEW"),
         "feasibility_score": F.when(bad > 0, F.greatest(F.lit(0), 28 - 6 * bad)).when(easy, F.greatest(F.lit(70), score)).when(special, F.least(F.lit(69), F.greatest(F.lit(45), score))).when(n > 0, F.least(F.lit(69), score)).otherwise(score),
-    }).drop("__risks", "__special", "__low", "__hits")
+    }).drop("__risks", "__special", *_own(df))
 
 
 def commodity(df: DataFrame) -> DataFrame:
     """Adds commodity_status (PROMISING, REVIEW, COMMODITY), commodity_score and commodity_flags."""
     bulky, mature = F.col("__bulky"), F.col("__mature")
-    out = indexed(df, text_of("title", "description"))
-    low, hits = F.col("__low"), F.col("__hits")
+    out = indexed(df, text_of("title", "description"), prefix="__c")
+    low, hits = F.col("__c_low"), F.col("__c_hits")
     out = out.withColumns({"__bulky": tested(low, hits, BULKY, "part"), "__mature": flags_in(low, hits, MATURE, "part"), "__new": flags_in(low, hits, INNOVATION, "part")})
     out = out.withColumn("__old", F.when(F.size(mature) > 0, F.array_append(mature, "highly_mature_category")).otherwise(mature))
     n = F.size("__new")
@@ -197,17 +213,17 @@ def commodity(df: DataFrame) -> DataFrame:
         "commodity_status": F.when(bulky, "COMMODITY").when(best, "PROMISING").when((n == 0) & old, "COMMODITY").otherwise("REVIEW"),
         "commodity_score": F.when(bulky, 10).when(best, F.greatest(F.lit(70), score)).when(n > 0, F.greatest(F.lit(40), score)).when(old, 20).otherwise(35),
         "commodity_flags": F.when(bulky, F.array(F.lit("bulky_shipping"), F.lit("highly_mature_category"))).otherwise(F.array_union("__old", "__new")),
-    }).drop("__new", "__old", "__bulky", "__mature", "__low", "__hits")
+    }).drop("__new", "__old", "__bulky", "__mature", "__c_low", "__c_hits")
 
 
 def demand_signal(df: DataFrame) -> DataFrame:
     """Adds signal_status (HIGH, MEDIUM, LOW, NOT_DEMAND), signal_score and signal_type."""
     text = text_of("title", "description")
     points = {p: w for rules in SIGNALS.values() for p, w in rules}
-    seen = indexed(df, text, (points, "regex"))
-    seen = seen.withColumn("__hits", flags_in(F.col("__low"), F.col("__hits"), {p: [p] for p in points}, "regex"))
-    each = {kind: F.least(F.lit(100), weights(F.array_intersect("__hits", F.array(*[F.lit(p) for p, _ in rules])), dict(rules))) for kind, rules in SIGNALS.items()}
-    scored = seen.withColumn("__s", F.array(*[F.struct(each[k].alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(SIGNAL_PRIORITY)])).drop("__hits", "__low")
+    seen = indexed(df, text, (points, "regex"), prefix="__d")
+    seen = seen.withColumn("__found", flags_in(F.col("__d_low"), F.col("__d_hits"), {p: [p] for p in points}, "regex"))
+    each = {kind: F.least(F.lit(100), weights(F.array_intersect("__found", F.array(*[F.lit(p) for p, _ in rules])), dict(rules))) for kind, rules in SIGNALS.items()}
+    scored = seen.withColumn("__s", F.array(*[F.struct(each[k].alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(SIGNAL_PRIORITY)])).drop("__found", "__d_hits", "__d_low")
     found = F.filter("__s", lambda s: s["score"] > 0)
     best = F.array_max("__s")
     total = F.least(F.lit(100), best["score"] + 15 * (F.size(found) - 1))
@@ -220,8 +236,8 @@ def demand_signal(df: DataFrame) -> DataFrame:
 
 def specificity(df: DataFrame, signals: str = "signals") -> DataFrame:
     """Adds specificity_status (SPECIFIC, REVIEW, TOO_BROAD), specificity_score and specificity_flags; needs candidate_type and an array of signals."""
-    out = indexed(df, F.trim(F.regexp_replace(text_of("title", "description"), r"\s+", " ")))
-    text, hits = F.col("__low"), F.col("__hits")
+    out = indexed(df, F.trim(F.regexp_replace(text_of("title", "description"), r"\s+", " ")), prefix="__s")
+    text, hits = F.col("__s_low"), F.col("__s_hits")
     one = lambda condition, name: F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     renamed = F.create_map(*[F.lit(x) for item in DISPLAY_FLAG.items() for x in item])
     products, broad = flags_in(text, hits, PRODUCTS, "part"), flags_in(text, hits, BROAD, "part")
@@ -245,13 +261,13 @@ def specificity(df: DataFrame, signals: str = "signals") -> DataFrame:
         "specificity_status": F.when(~demand & product, "SPECIFIC").when(~demand, "REVIEW").when(vague, "TOO_BROAD").when(exact, "SPECIFIC").when(some | other, "REVIEW").otherwise("TOO_BROAD"),
         "specificity_score": F.when(~demand & product, F.greatest(F.lit(70), score)).when(~demand, F.greatest(F.lit(45), score)).when(vague, low).when(exact, F.greatest(F.lit(65), score))
         .when(some, clamp(score, 40, 64)).when(other, clamp(score, 40, 59)).otherwise(low),
-    }).drop("__broad", "__low", "__hits")
+    }).drop("__broad", "__s_low", "__s_hits")
 
 
 def creative(df: DataFrame) -> DataFrame:
     """Adds content_type, creative_signals, creative_risks, creative_feasibility, creative_micro and eligible."""
     title, category = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("category", F.lit("")))
-    out = indexed(df, F.concat(text_of("title", "description"), F.lit(" "), F.coalesce("category", F.lit(""))))
+    out = with_index(df)
     text, hits = F.col("__low"), F.col("__hits")
     words = {"__words": text, "__title_words": title, "__category_words": category}
     out = out.withColumns({k: spaced(c, PHYSICAL_TERMS, COMPLEX_TECH, LARGE_TERMS, ARCHITECTURE, VEHICLE) for k, c in words.items()})
@@ -270,4 +286,4 @@ def creative(df: DataFrame) -> DataFrame:
     out = out.withColumn("creative_signals", F.concat(head, flags_in(text, hits, CREATIVE_SIGNALS, "part"))).withColumn("creative_risks", risks)
     out = out.withColumn("creative_feasibility", clamp(42 + weights(F.col("creative_signals"), CREATIVE_FEASIBILITY) - 60 * F.size("creative_risks")))
     out = out.withColumn("creative_micro", F.least(F.lit(100), 24 + weights(F.col("creative_signals"), CREATIVE_MICRO)))
-    return out.withColumn("eligible", product & (F.size("creative_risks") == 0) & (F.size("creative_signals") >= 2) & (F.col("creative_feasibility") >= 60) & (F.col("creative_micro") >= 45)).drop("__low", "__hits", "__physical", "__tech", *words)
+    return out.withColumn("eligible", product & (F.size("creative_risks") == 0) & (F.size("creative_signals") >= 2) & (F.col("creative_feasibility") >= 60) & (F.col("creative_micro") >= 45)).drop("__physical", "__tech", *words, *_own(df))

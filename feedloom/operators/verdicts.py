@@ -40,11 +40,15 @@ DEMAND_FLAGS = {
 }
 # End of the fixed values.
 
+#: Tables that demand_fit() looks up.
+OF_DEMAND = tuple((phrases_of(t), "regex") for t in (DEMAND_FLAGS, NOT_FIT, TECHNICAL))
+
 
 def demand_fit(df: DataFrame, text: Column) -> DataFrame:
-    """Adds demand_status (PRODUCTIZABLE, REVIEW, NOT_FIT), demand_fit and demand_flags."""
+    """Adds demand_status (PRODUCTIZABLE, REVIEW, NOT_FIT), demand_fit and demand_flags. If df has the word hits of OF_DEMAND in the text, they are used."""
     tables = (DEMAND_FLAGS, NOT_FIT, TECHNICAL)
-    out = indexed(df, text, *[(phrases_of(t), "regex") for t in tables])
+    own = [c for c in ("__low", "__hits") if c not in df.columns]
+    out = indexed(df, text, *OF_DEMAND)
     found, hard, soft = (flags_in(F.col("__low"), F.col("__hits"), t, "regex") for t in tables)
     out = out.withColumns({"demand_flags": found, "__hard": F.size(hard), "__soft": F.size(soft)})
     f, n = F.col("demand_flags"), F.size("demand_flags")
@@ -53,7 +57,7 @@ def demand_fit(df: DataFrame, text: Column) -> DataFrame:
     return out.withColumns({
         "demand_status": F.when(F.col("__hard") > 0, "NOT_FIT").when(good, "PRODUCTIZABLE").otherwise("REVIEW"),
         "demand_fit": F.when(F.col("__hard") > 0, F.greatest(F.lit(0), 25 - 5 * F.col("__hard"))).when(good, F.greatest(F.lit(70), score)).otherwise(F.least(F.lit(69), score)),
-    }).drop("__hard", "__soft", "__low", "__hits")
+    }).drop("__hard", "__soft", *own)
 
 
 def unsupported_claims(text: Column) -> Column:

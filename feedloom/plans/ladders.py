@@ -222,7 +222,7 @@ def rul33(t, spark):
 SELECT o.p_partkey, opportunity_type, filter_score, CASE WHEN b.p_partkey IS NOT NULL THEN 'PASS' ELSE '' END AS feasibility_status, coalesce(b.p_size, 0) AS feasibility_score, coalesce(CASE WHEN b.p_size > 10 THEN 'small' END, '') AS flags FROM o LEFT JOIN b USING (p_partkey)""")
 def jn1(t, spark):
     rows = part_records(t)
-    verdicts = R.opportunity(rows).select("url", "opportunity_type", "filter_score")
+    verdicts = R.opportunity(rows.withColumn("context", L.context_text(rules.part_raw())), "context").select("url", "opportunity_type", "filter_score")
     some = rows.where("p_size % 2 = 0").select("url", F.lit("PASS").alias("feasibility_status"), F.col("p_size").alias("feasibility_score"), F.array_compact(F.array(F.when(F.col("p_size") > 10, F.lit("small")))).alias("flags"))
     none = rows.where("p_size < 0").select("url", F.lit(1).alias("demand_score"))
     out = M.attached(rows.select("url", "p_partkey"), "url", [(verdicts, {"opportunity_type": "uncertain", "filter_score": 0}), (some, {"feasibility_status": "", "feasibility_score": 0, "flags": []}), (none, {"demand_score": 0})])

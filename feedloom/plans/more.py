@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as X
-from feedloom.functions.storage import written
+from feedloom.functions.storage import new_path, written
 from feedloom.operators import identity as I
 from feedloom.operators import merges as M
 from feedloom.operators import picks as P
@@ -13,7 +13,10 @@ from feedloom.operators import rule_packs as R
 from feedloom.operators import scoring as S
 from feedloom.operators import titles as TT
 from feedloom.operators import verdicts as V
+from feedloom.operators.store import KeyedStore
+from feedloom.plans import scans
 from feedloom.plans.base import DOC_SQL, PART_SQL, doc_records, joined, part_records, query, sql_any, sql_flags
+from feedloom.streaming import stored as STORED
 
 _t = "concat_ws(' ', title, description, category)"
 
@@ -200,11 +203,12 @@ def snk13(t, spark):
 
 @query("str6_membership", "SELECT user_id, bool_or(event_type = 'signup') AS was_new, bool_or(event_type = 'click') AS was_updated FROM events GROUP BY 1")
 def str6(t, spark):
-    """Observations of halves of the month merged one after another, flags or-ed."""
+    """A stream of observations merged batch by batch into a stored table, flags or-ed."""
     flags = lambda df: df.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "signup").alias("was_new"), F.bool_or(F.col("event_type") == "click").alias("was_updated"))
-    middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    first, second = (written(flags(t("events").where(c)), "half") for c in (F.col("ts") < middle, F.col("ts") >= middle))
-    return M.upsert(first, second, ["user_id"], [F.col("user_id")], {"was_new": "or", "was_updated": "or"})
+    stream = scans._landed(t, spark, 2)
+    store = KeyedStore(spark, new_path(spark, "store"), flags(t("events")).schema, ["user_id"], 16)
+    STORED.merged(stream, store, flags, [F.col("user_id")], {"was_new": "or", "was_updated": "or"}, "observations")
+    return store.read()
 
 
 @query("str9_rebuild_day", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-09 04:00:00' AND ts < TIMESTAMP '2024-01-10 04:00:00' GROUP BY 1")

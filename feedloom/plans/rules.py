@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom.operators import ladders as L
 from feedloom.operators import rule_packs as R
 from feedloom.operators import scoring as S
 from feedloom.operators.phrases import any_of, first_label, has, matched, padded
@@ -49,9 +50,9 @@ def _listed(n, label):
 _lists = {"physical": R.PHYSICAL, "software": R.SOFTWARE, "inspiration": R.INSPIRATION, "risk": R.PHYSICAL_RISK, "prio": R.PHYSICAL_PRIORITY, "mvp": R.SOFTWARE_MVP, "cplx": R.SOFTWARE_COMPLEX}
 
 
-def opportunity_sql(rec: str, key: str) -> str:
+def opportunity_sql(rec: str, key: str, text: str = PART_TEXT) -> str:
     return f"""WITH {rec},
-m AS (SELECT *, {', '.join(f"{sql_flags(PART_TEXT, {p: [p] for p in v})} AS {k}" for k, v in _lists.items())} FROM rec),
+m AS (SELECT *, {', '.join(f"{sql_flags(text, {p: [p] for p in v})} AS {k}" for k, v in _lists.items())} FROM rec),
 k AS (SELECT *, CASE WHEN len(inspiration) > 0 AND lower(source) IN ('yanko_design', 'designboom') THEN 'inspiration' WHEN len(software) > 0 AND len(physical) < 2 THEN 'software'
   WHEN len(physical) >= 2 OR (len(risk) > 0 AND len(software) = 0) THEN 'physical' WHEN len(inspiration) >= 2 THEN 'inspiration' WHEN len(software) > 0 THEN 'software' ELSE 'uncertain' END AS opportunity_type FROM m),
 s AS (SELECT *, (CASE opportunity_type WHEN 'physical' THEN greatest(0, least(100, 50 + 8 * len(prio) - 30 * len(risk))) WHEN 'software' THEN greatest(0, least(100, 55 + 8 * len(mvp) - 30 * len(cplx)))
@@ -63,9 +64,24 @@ SELECT {key}, opportunity_type, filter_score, CASE WHEN opportunity_type = 'unce
   WHEN 'inspiration' THEN 'inspiration signals: ' || array_to_string(inspiration, ', ') ELSE 'insufficient signals to classify as physical, software, or inspiration' END AS filter_reason FROM s"""
 
 
-@query("rul1_opportunity", opportunity_sql(PART_SQL, "p_partkey"))
+#: DuckDB: a part's texts, and what the structure of its record holds beside them.
+PART_CONTEXT = """concat_ws(' ', title, description, category, concat_ws(' ', CASE WHEN p_partkey % 3 = 0 THEN 'A compact desk organizer' END, concat_ws(' ', category, CASE WHEN p_partkey % 5 = 0 THEN 'browser extension' END),
+  CASE WHEN p_partkey % 7 = 0 THEN 'Bluetooth router' END))"""
+
+
+def part_raw():
+    """JSON of a part's record: a tagline, topics and nested metadata."""
+    k = F.col("p_partkey")
+    return F.to_json(F.struct(
+        F.when(k % 3 == 0, "A compact desk organizer").alias("tagline"), F.array_compact(F.array("category", F.when(k % 5 == 0, "browser extension"))).alias("topics"),
+        F.struct(F.col("p_size").alias("size"), F.array(F.struct(F.when(k % 7 == 0, "Bluetooth router").alias("note"))).alias("inner")).alias("metadata")))
+
+
+@query("rul1_opportunity", opportunity_sql(PART_SQL, "p_partkey", PART_CONTEXT))
 def rul1(t, spark):
-    return R.opportunity(part_records(t)).select("p_partkey", "opportunity_type", "filter_score", "filter_status", "filter_reason")
+    """What the record's structure holds is matched beside its texts."""
+    rows = part_records(t).withColumn("context", L.context_text(part_raw()))
+    return R.opportunity(rows, "context").select("p_partkey", "opportunity_type", "filter_score", "filter_status", "filter_reason")
 
 
 @query("rul2_opportunity_documents", opportunity_sql(DOC_SQL, "doc_id"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.storage import new_path
 from feedloom.operators.merges import changes_only
+from feedloom.operators.store import KeyedStore
 from feedloom.plans.base import query
 from feedloom.sources import landing as L
 from feedloom.streaming import changes as ST
+from feedloom.streaming import stored as STORED
 
 
 @query("src1_csv", "SELECT p_partkey::VARCHAR AS id, p_name AS name, p_retailprice AS goal, p_size * 1000.0::DOUBLE AS pledged, p_size::DOUBLE AS backers FROM part")
@@ -128,12 +131,12 @@ def src19(t, spark):
     return t("documents").join(known, "doc_id", "left").select("doc_id", F.coalesce("k", F.lit(False)).alias("is_known"))
 
 
-def _landed(t, spark):
-    """The events as one landing folder, in order of time, and a stream over it."""
+def _landed(t, spark, files: int = 1000):
+    """The events as one landing folder, in order of time, and a stream over it of so many files a batch."""
     path = new_path(spark, "landing")
     rows = t("events").withColumn("at", F.col("ts").cast("timestamp"))
     rows.repartitionByRange("at").sortWithinPartitions("at").write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("str2_noon_stream", "WITH d AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01 04:00:00') AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
@@ -157,6 +160,19 @@ def str5(t, spark):
     return ST.finished(ST.once_per_key(_landed(t, spark), "user_id", "at").select("user_id"))
 
 
+@query("str5_once_ever", "SELECT user_id, event_id, CASE WHEN user_id % 2 = 0 THEN 'early' ELSE 'all' END AS run FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1")
+def str5_ever(t, spark):
+    """Two runs, the first over the even users only; a stored ledger keeps the second from handing anything out again."""
+    ledger = KeyedStore(spark, new_path(spark, "seen"), T.StructType.fromDDL("key bigint, run string, batch bigint"), ["key"], 16, bitmaps=1)
+    out = new_path(spark, "handed")
+    for run, rows in (("early", t("events").where("user_id % 2 = 0")), ("all", t("events"))):
+        path = new_path(spark, "landing")
+        rows.select("user_id", "event_id").write.parquet(path)
+        stream = spark.readStream.schema("user_id bigint, event_id bigint").parquet(path)
+        STORED.once_ever(stream, "user_id", [F.col("event_id")], ledger, lambda found, n, run=run: found.write.mode("overwrite").parquet(f"{out}/run={run}/batch={n}"), run)
+    return spark.read.schema("user_id bigint, event_id bigint, run string, batch bigint").parquet(out).select("user_id", "event_id", "run")
+
+
 @query("str7_session_stream", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(gap) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
 x AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS timed_out, count(*) AS events FROM s GROUP BY user_id, n) SELECT * FROM x WHERE timed_out <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def str7_stream(t, spark):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.storage import written
+from feedloom.functions.storage import new_path, written
 from feedloom.operators import merges as M
+from feedloom.operators.store import KeyedStore
 from feedloom.plans.base import query
 
 DAY2 = "SELECT p_partkey, p_name || ' v2' AS p_name, p_size + 1 AS p_size, '2024-02-01' AS first_seen FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + 1000000, p_name, p_size, '2024-02-01' FROM part WHERE p_partkey % 10 = 0"
@@ -27,7 +28,22 @@ def _day2(t):
 SELECT coalesce(b.p_partkey, o.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NOT NULL THEN b.p_name ELSE o.p_name END AS p_name, CASE WHEN b.p_partkey IS NOT NULL THEN b.p_size ELSE o.p_size END AS p_size,
   coalesce(o.first_seen, b.first_seen) AS first_seen FROM o FULL JOIN b ON o.p_partkey = b.p_partkey""")
 def snk1(t, spark):
-    return M.upsert(_day1(t), _day2(t), ["p_partkey"], [F.col("p_name")], {"first_seen": "old"})
+    """Two days merged into a store one after another; each reads and replaces its buckets only."""
+    first, second = _day1(t), _day2(t)
+    store = KeyedStore(spark, new_path(spark, "store"), first.schema, ["p_partkey"], 16)
+    for number, day in enumerate((first, second)):
+        store.merge(day, [F.col("p_name")], {"first_seen": "old"}, "days", number)
+    return store.read()
+
+
+@query("snk2_stored_changes", "SELECT p_partkey, CASE WHEN p_size > 40 THEN p_size + 1 ELSE p_size END AS p_size FROM part")
+def snk2_stored(t, spark):
+    """A second snapshot of which a part differs; buckets in which nothing changed keep their files."""
+    first = t("part").select("p_partkey", "p_size")
+    store = KeyedStore(spark, new_path(spark, "store"), first.schema, ["p_partkey"], 256)
+    store.merge(first, [F.col("p_size")])
+    store.merge(first.withColumn("p_size", F.when(F.col("p_size") > 40, F.col("p_size") + 1).otherwise(F.col("p_size"))), [F.col("p_size")], only_changes=True)
+    return store.read()
 
 
 @query("snk1_upsert_counts", f"WITH b AS ({DAY2}), f AS (SELECT count(DISTINCT p_partkey) AS saved FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM part)) SELECT saved, (SELECT count(*) FROM b) - saved AS duplicates FROM f")
@@ -66,7 +82,10 @@ def snk5(t, spark):
 def snk7(t, spark):
     old = t("labels").select("doc_id", F.lit(1).alias("version"), "quality")
     batch = old.withColumn("quality", F.lit(9)).unionByName(t("labels").where("toxic = 1").select("doc_id", F.lit(2).alias("version"), (1 - F.col("quality")).alias("quality")))
-    return M.upsert(old, batch, ["doc_id", "version"], [F.col("quality")], {"quality": "old"})
+    store = KeyedStore(spark, new_path(spark, "store"), old.schema, ["doc_id", "version"], 16)
+    store.merge(old, [F.col("quality")])
+    store.merge(batch, [F.col("quality")], {"quality": "old"})
+    return store.read()
 
 
 @query("snk8_projection", """WITH o AS (SELECT c_custkey, c_nationkey AS family, c_custkey % 4 = 0 AS pinned, c_custkey % 2 = 0 AS was_new FROM customer), n AS (SELECT c_custkey, (c_nationkey + 1) % 25 AS family, c_custkey % 3 = 0 AS was_new FROM customer WHERE c_custkey % 5 < 3)
