@@ -54,17 +54,33 @@ def family(df: DataFrame, name: str, kind: str) -> DataFrame:
     return rows.withColumns({"family_key": F.when(key.isNotNull(), F.concat(k, F.lit(":"), key)), "family_method": method, "family_score": score}).drop("__t")
 
 
-def similar_names(names: DataFrame, block: str, name: str, tokens: str, threshold: float) -> DataFrame:
-    """(block, left_name, right_name) of names of a block whose token sets have a Jaccard of `threshold` or more.
+#: Classes that share a token and are compared in one task at most.
+BLOCK = 2_000
 
-    Tokens are ordered rarest first within the block. Names that are so similar share one of the first size - ceil(threshold * size) + 1
-    tokens, so only those meet, and only names whose sizes allow it are compared.
+
+def name_classes(names: DataFrame, block: str, name: str, tokens: str) -> DataFrame:
+    """(block, class_name, name, w): the names of a block by their set of tokens; the class is called by the smallest of its names. Names without a token are no member of any."""
+    sets = names.select(block, name, F.array_sort(F.array_distinct(tokens)).alias("w")).where(F.size("w") > 0)
+    first = sets.groupBy(block, "w").agg(F.min(name).alias("class_name"))
+    return sets.join(first, [block, "w"]).select(block, "class_name", name, "w")
+
+
+def similar_classes(classes: DataFrame, block: str, threshold: float, most: int = BLOCK) -> DataFrame:
+    """(block, left_class, right_class) of classes of name_classes() whose token sets have a Jaccard of `threshold` or more.
+
+    Names of one class are alike by definition, and names of two classes if the classes are, so no pairs of members are made.
+    Tokens are ordered rarest first within the block. Sets that are so similar share one of the first size - ceil(threshold *
+    size) + 1 tokens, so only those meet, and only sets whose sizes allow it are compared. A token that more than `most` classes
+    share is dealt to several tasks: the left side by salt, the right one to all salts.
     """
-    each = names.select(block, name, F.explode(tokens).alias("token"))
+    sets = classes.select(block, "class_name", "w").distinct()
+    each = sets.select(block, "class_name", F.explode("w").alias("token"))
     counts = each.groupBy(block, "token").agg(F.count(F.lit(1)).alias("n"))
-    sets = each.join(counts, [block, "token"]).groupBy(block, name).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("w"))
+    ordered = each.join(counts, [block, "token"]).groupBy(block, "class_name").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("w"))
     size = F.size("w")
-    firsts = sets.select(block, name, "w", F.explode(F.slice("w", F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("token"))
-    a, b = (firsts.select(block, "token", F.col(name).alias(f"{s}_name"), F.col("w").alias(s)) for s in ("left", "right"))
-    met = a.join(b, [block, "token"]).where("left_name < right_name").where(F.least(F.size("left"), F.size("right")) >= threshold * F.greatest(F.size("left"), F.size("right")))
-    return met.where(jaccard(F.col("left"), F.col("right")) >= threshold).select(block, "left_name", "right_name").distinct()
+    firsts = ordered.select(block, "class_name", F.transform("w", lambda x: x["token"]).alias("w"), F.explode(F.slice("w", F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("t"))
+    salts = F.ceil(F.col("t.n") / most).cast("int")
+    side = lambda salt, s: firsts.select(block, F.col("t.token").alias("token"), salt.alias("salt"), F.col("class_name").alias(f"{s}_class"), F.col("w").alias(s))
+    a, b = side(F.pmod(F.xxhash64("class_name"), salts).cast("int"), "left"), side(F.explode(F.sequence(F.lit(0), salts - 1)), "right")
+    met = a.join(b, [block, "token", "salt"]).where("left_class < right_class").where(F.least(F.size("left"), F.size("right")) >= threshold * F.greatest(F.size("left"), F.size("right")))
+    return met.where(jaccard(F.col("left"), F.col("right")) >= threshold).select(block, "left_class", "right_class").distinct()

@@ -62,7 +62,7 @@ def discovery(facts: DataFrame, family: str, at: str, source: str, points: str,
     rows = rows if until is None else rows.where(F.col(at) < until)
     sums = rows.groupBy(family).agg(F.count_distinct(source).alias("sources"), F.max(at).alias("last_seen"), F.round(F.sum(points), 2).alias("points"))
     judged = sums.withColumn("strength", S.strength(F.col("points"), F.col("sources")))
-    return SEL.numbered(judged.withColumn("strength_rank", SEL.ranked(F.col("strength"), STRENGTHS)), "place", [F.desc("last_seen"), F.col(family)], ["strength"])
+    return SEL.numbered_apart(judged.withColumn("strength_rank", SEL.ranked(F.col("strength"), STRENGTHS)), "place", [F.desc("last_seen"), F.col(family)], ["strength"])
 
 
 def collected_voice(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:

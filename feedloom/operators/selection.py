@@ -18,6 +18,26 @@ def numbered(df: DataFrame, name: str, order: list[Column], by: list[str] | None
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
 
 
+def numbered_apart(df: DataFrame, name: str, order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """numbered() for groups too large for one task: `order` must tell the rows of a group apart, or equal ones are numbered in any order.
+
+    Rows are dealt into sorted ranges over group and order, also in the middle of a group; each piece numbers its own rows of a
+    group, and the sizes of the pieces before it, summed up, are added. Only those sums pass a task a group, a row a piece.
+    Nulls sort as `order` says, and null groups are groups.
+    """
+    by = by or []
+    # rows that are alike in all of `order` would be one piece however many they are
+    last = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    dealt = df.repartitionByRange(*[F.col(b) for b in by], *order, last).withColumn("__piece", F.spark_partition_id())
+    pieces = written(dealt, "pieces")
+    local = pieces.withColumn(name, F.row_number().over(Window.partitionBy("__piece", *by).orderBy(*order)))
+    sizes = pieces.groupBy("__piece", *by).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("__piece").alias("__p"), *[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.coalesce(earlier, F.lit(0)).alias("__start"))
+    same = [F.col("__piece") == F.col("__p"), *[F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]]
+    return local.join(starts, same).select(*df.columns, (F.col(name) + F.col("__start")).cast("int").alias(name))
+
+
 def ranked(value: Column, values: list[str]) -> Column:
     """Place of a value in a list, for sorting; what isn't in it comes last."""
     places = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])

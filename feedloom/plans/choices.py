@@ -59,7 +59,7 @@ def win5(t, spark):
 
 @query("win6_all_qualified", "SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_name, p_partkey) AS place FROM part WHERE p_size >= 20")
 def win6(t, spark):
-    return C.numbered(t("part").where("p_size >= 20"), "place", [F.desc("p_size"), F.col("p_name"), F.col("p_partkey")], ["p_type"]).select("p_partkey", "place")
+    return C.numbered_apart(t("part").where("p_size >= 20"), "place", [F.desc("p_size"), F.col("p_name"), F.col("p_partkey")], ["p_type"]).select("p_partkey", "place")
 
 
 @query("win7_round_robin", f"SELECT event_id, event_type, n AS turn FROM ({RANKED.format(by='event_type', order='value DESC, event_id', table='events')}) ORDER BY n, event_type LIMIT 12")
@@ -250,7 +250,7 @@ def er7(t, spark):
 @query("job4_discovery", """WITH m AS (SELECT l_partkey, l_suppkey, l_shipdate, l_extendedprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'), g AS (SELECT p_brand, count(DISTINCT l_suppkey) AS sources, max(l_shipdate) AS last_seen, round(sum(l_extendedprice), 2) AS points FROM m JOIN part ON p_partkey = l_partkey GROUP BY 1)
 SELECT *, row_number() OVER (ORDER BY sources DESC, points DESC, p_brand) AS display_order FROM g""")
 def job4(t, spark):
-    """Discovery: star join, roll-up by family, display order. The order is over families of one run, which aggregation has made few."""
+    """Discovery: star join, roll-up by family, display order over all families."""
     m = t("lineitem").join(t("orders").where("o_orderstatus <> 'P'"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
     g = m.groupBy("p_brand").agg(F.count_distinct("l_suppkey").alias("sources"), F.max("l_shipdate").alias("last_seen"), F.round(F.sum("l_extendedprice"), 2).alias("points"))
-    return g.withColumn("display_order", F.row_number().over(Window.orderBy(F.desc("sources"), F.desc("points"), "p_brand")))
+    return C.numbered_apart(g, "display_order", [F.desc("sources"), F.desc("points"), F.col("p_brand")])

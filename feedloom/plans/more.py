@@ -182,11 +182,10 @@ def valid(df):
 @query("snk6_published_snapshot", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS position, o_orderstatus AS run FROM orders")
 def snk6(t, spark):
     """A partition per run, overwritten alone when a run is published again."""
-    from feedloom.functions.storage import new_path
-    from feedloom.operators.selection import numbered
+    from feedloom.operators.selection import numbered_apart
 
     path = new_path(spark, "snapshots")
-    rows = numbered(t("orders"), "position", [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_orderstatus"]).select("o_orderkey", "position", F.col("o_orderstatus").alias("run"))
+    rows = numbered_apart(t("orders"), "position", [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_orderstatus"]).select("o_orderkey", "position", F.col("o_orderstatus").alias("run"))
     rows.write.partitionBy("run").parquet(path)
     rows.where("run = 'P'").write.partitionBy("run").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

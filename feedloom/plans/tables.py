@@ -201,15 +201,29 @@ def jn10(t, spark):
     return t("events").where((F.col("event_type") == "error") & (F.col("ts") >= ntz("2024-01-05")) & (F.col("ts") < ntz("2024-01-20"))).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("failures"))
 
 
-@query("jn11_similar_names", """WITH n AS (SELECT DISTINCT p_brand, p_name, list_distinct(string_split(p_name, ' ')) AS w FROM part)
-SELECT a.p_brand AS p_brand, a.p_name AS left_name, b.p_name AS right_name FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.2""")
-def jn11(t, spark):
-    """Pairs of a block that share one of their rarest tokens, then exact Jaccard."""
+_classes = "n AS (SELECT DISTINCT p_brand, p_name, list_sort(list_distinct(string_split(p_name, ' '))) AS w FROM part), c AS (SELECT p_brand, p_name, w, min(p_name) OVER (PARTITION BY p_brand, w) AS class_name FROM n)"
+
+
+def _name_classes(t):
     from feedloom.functions.text import tokens
-    from feedloom.operators.identity import similar_names
+    from feedloom.operators.identity import name_classes
+
+    return name_classes(t("part").select("p_brand", "p_name").distinct().withColumn("w", tokens(F.col("p_name"))), "p_brand", "p_name", "w")
+
+
+@query("jn11_name_classes", f"WITH {_classes} SELECT p_brand, class_name, p_name FROM c")
+def jn11_classes(t, spark):
+    """Which names of a block have the same tokens; together with the pairs of classes, all pairs of names."""
+    return _name_classes(t).select("p_brand", "class_name", "p_name")
+
+
+@query("jn11_similar_names", f"""WITH {_classes}, r AS (SELECT p_brand, p_name, w FROM c WHERE p_name = class_name)
+SELECT a.p_brand AS p_brand, a.p_name AS left_class, b.p_name AS right_class FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.2""")
+def jn11(t, spark):
+    """Pairs of classes of a block that share one of their rarest tokens, then exact Jaccard."""
+    from feedloom.operators.identity import similar_classes
 
-    names = t("part").select("p_brand", "p_name").distinct().withColumn("w", tokens(F.col("p_name")))
-    return similar_names(names, "p_brand", "p_name", "w", 0.2)
+    return similar_classes(_name_classes(t), "p_brand", 0.2)
 
 
 @query("jn12_cast_key", "SELECT doc_id::VARCHAR AS key, source FROM labels JOIN documents USING (doc_id) WHERE toxic = 1")

@@ -179,3 +179,43 @@ def test_first_words_hold_for_every_match():
                 assert re.match(r"\w+", m[0])[0] in words
     for regex in ("best", r"\d+ x", r"\bany.*x", r"\bopen", r".x\b", r"\b\w+ y\b"):
         assert phrases.first_words(regex) is None
+
+
+def test_numbering_in_pieces_is_row_number(spark):
+    import random
+
+    from feedloom.operators.selection import numbered, numbered_apart
+
+    random.seed(1)
+    rows = [(random.choice(["hot", "hot", "hot", "b", None]), random.choice([None, 1, 2, 3]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    for order, by in (([F.desc("v"), F.col("i")], ["g"]), ([F.col("v").asc_nulls_last(), F.desc("i")], []), ([F.col("v"), F.col("i")], ["g", "v"])):
+        made = numbered_apart(df, "n", order, by)
+        assert rows_of(made) == rows_of(numbered(df, "n", order, by))
+    # rows that are alike get different numbers, and no task has them all
+    alike = spark.range(400).selectExpr("'g' g", "1 v", "id")
+    made = numbered_apart(alike, "n", [F.col("v")], ["g"])
+    assert sorted(r["n"] for r in made.collect()) == list(range(1, 401))
+    assert numbered_apart(alike.limit(0), "n", [F.col("v")], ["g"]).count() == 0
+
+
+def test_similar_names_by_class(spark):
+    import random
+    from itertools import combinations
+
+    from feedloom.operators.identity import name_classes, similar_classes
+
+    random.seed(3)
+    names = [("b1", f"n{i}", ["same", "three", "words"]) for i in range(600)]
+    names += [("b2", f"m{i}", random.sample(["a", "b", "c", "d", "e", "hot"], random.randrange(1, 5)) + ["hot"]) for i in range(80)] + [("b2", "none", []), (None, "x", ["a"]), ("b2", None, ["a", "b"])]
+    df = spark.createDataFrame(names, "g string, name string, w array<string>")
+    classes = name_classes(df, "g", "name", "w")
+    of = {(r["g"], r["name"]): r["class_name"] for r in classes.where("g = 'b1' OR name LIKE 'm%'").collect()}
+    assert len({c for (g, _), c in of.items() if g == "b1"}) == 1
+    for most in (2, 2000):
+        pairs = {tuple(r) for r in similar_classes(classes, "g", 0.5, most).collect()}
+        assert all(g != "b1" for g, _, _ in pairs)
+        for (g, a, v), (h, b, w) in combinations([n for n in names if n[0] == "b2" and n[1] and n[2]], 2):
+            near = len(set(v) & set(w)) / len(set(v) | set(w)) >= 0.5
+            p, q = sorted((of[g, a], of[h, b]))
+            assert near == (p == q or (g, p, q) in pairs)
