@@ -6,8 +6,8 @@ it, and the exact binomial probability of at most k, were the true share ALPHA,
 all tests (Bonferroni). Of the proven cutoffs the lowest is taken; with none proven the rule rejects nothing there. So all
 chosen cutoffs together keep their promise with probability 1 - DELTA.
 
-Null texts count as empty and fail the base rules; repeated rows are judged each; a labelled id that stands on several rows
-counts with each; labels that contradict each other for an id count as good; ties with a cutoff are kept.
+Null texts count as empty and fail the base rules; repeated rows are judged each; a labelled id that stands on several rows of
+a stratum is one trial there, above a cutoff if any of its rows is; labels that contradict each other for an id count as good; ties with a cutoff are kept.
 """
 
 from __future__ import annotations
@@ -99,8 +99,10 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
         labels.where(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
     )
     tests = [(r, c) for r, (_, cs) in RULES.items() for c in cs]
-    above = [F.count_if(F.expr(f"{RULES[r][0]} > {c}D")).alias(f"k{i}") for i, (r, c) in enumerate(tests)]
-    counted = feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above)
+    above = [F.count_if(F.col(r) > float(c)).alias(f"k{i}") for i, (r, c) in enumerate(tests)]
+    # copies aren't independent of each other
+    trials = feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy("stratum", "doc_id").agg(*[F.max(F.expr(f)).alias(r) for r, (f, _) in RULES.items()])
+    counted = trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above)
     each = counted.select("stratum", "n", F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tests)
     ])).alias("t")).select("stratum", "n", "t.*")
@@ -142,9 +144,9 @@ f AS (SELECT w.row, doc_id, len(words)::BIGINT AS n_words, coalesce(length(array
       FROM w LEFT JOIN covered USING (row)),
 s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         CASE {" ".join(f"WHEN n_words >= {x} THEN {x}" for x in reversed(STRATA))} END AS stratum FROM f),
-good AS (SELECT s.* FROM s WHERE NOT base_failed AND doc_id IN (
-        SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) AND doc_id IN (SELECT doc_id FROM fold WHERE NOT held_out)),
-tests AS ({" UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {c} AS cutoff, count(*) AS n, count(*) FILTER ({f} > {c}) AS k FROM good GROUP BY stratum" for r, f, c in tests)}),
+good AS (SELECT stratum, doc_id, {", ".join(f"max({f}) AS {r}" for r, (f, _) in RULES.items())} FROM s WHERE NOT base_failed AND doc_id IN (
+        SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) AND doc_id IN (SELECT doc_id FROM fold WHERE NOT held_out) GROUP BY stratum, doc_id),
+tests AS ({" UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {c} AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM good GROUP BY stratum" for r, f, c in tests)}),
 proven AS (SELECT * FROM tests WHERE k < n * {ALPHA} AND list_sum(list_transform(range(k + 1), lambda i:
         exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) <= {DELTA} / {len(tests) * len(STRATA)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
