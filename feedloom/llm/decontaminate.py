@@ -7,11 +7,13 @@ bits differ by 2 bits or fewer in some block, so none within the radius is misse
 holds the item if it has, anywhere, at least 0.8 of the weighted share of the item's five-word shingles (short items: one
 shingle of all words); a word weighs its inverse document frequency among all different items of the benchmark.
 
-So much cannot be reached without one of the item's heaviest shingles that weigh more than 0.2 together. Documents without any of
-those (equal shingles have equal hashes, so none is lost) can't pass the check and get no fingerprints. Where a copy is
-interrupted, so that no window of the item's size lies within the radius, these shingles stand for it: it is
-verified in the same way, and by_window tells the two apart. Of the alignments of windows and shingles the one with most of the
-item's weight in place counts.
+So much cannot be reached without one of the item's heaviest shingles that weigh more than 0.2 together. These shingles are pieces
+of the item: each is fingerprinted by itself, at all its places, and the document's windows of that length are searched for them in
+the same blocks. So where a copy is interrupted and no window of the item's size lies within the radius, a piece that stayed whole
+has the same fingerprint and is met; by_window tells whether a window of the item's size was. Every row comes from a window
+within the radius. Documents in which none of the heavy shingles occurs (equal shingles have equal hashes, so none is lost)
+can't pass the check and get no fingerprints. Of the alignments that the windows give the one with most of the item's
+weight in place counts.
 
 Null and empty texts, and items without words, match nothing; repeated documents and items are reported each (same item_id: the
 best); an item that occurs several times in a document is one row with its best place, the earliest of equal ones. An empty
@@ -93,27 +95,30 @@ class Index:
             k = min(SHINGLE, len(w))
             self.shingles.append({s: sum(self.weights[x] for x in s) for s in (tuple(w[j : j + k]) for j in range(len(w) - k + 1))})
         self.hashes = _Hashes()
+        self.heavy = [self._heaviest(x) for x in self.shingles]
         self.filters = self._filters()
-        self.classes: dict[int, dict] = {}
-        for c in CLASSES:
-            own = [(k, w) for k, (_, w) in enumerate(self.items) if c == max(x for x in CLASSES if x == 1 or x <= 0.75 * len(w))]
-            if not own:
-                continue
-            prints, item, place = [], [], []
-            for k, w in own:
-                p = self.fingerprints(self.sums(self.ids(w)), np.arange(len(w) - c + 1), c)
-                prints.append(p)
-                item += [k] * len(p)
-                place += range(len(p))
-            prints = np.concatenate(prints)
-            blocks = []
-            for b in range(4):
-                value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-                near = (value[:, None] ^ _masks()[None, :]).ravel()
-                order = np.argsort(near, kind="stable")
-                start = np.searchsorted(near[order], np.arange((1 << 16) + 1))
-                blocks.append((start, (order // len(_masks())).astype(np.int32)))
-            self.classes[c] = {"prints": prints, "item": np.array(item), "place": np.array(place), "blocks": blocks}
+        items_of: dict[int, list[tuple[int, list[int]]]] = {}
+        pieces_of: dict[int, list[tuple[int, list[int]]]] = {}
+        for k, (_, w) in enumerate(self.items):
+            c = max(x for x in CLASSES if x == 1 or x <= 0.75 * len(w))
+            items_of.setdefault(c, []).append((k, list(range(len(w) - c + 1))))
+            n = min(SHINGLE, len(w))
+            pieces_of.setdefault(n, []).append((k, [j for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in self.heavy[k]]))
+        #: Fingerprints of the items' own windows by class, and of their heavy shingles by length.
+        self.classes = {c: self._blocks(c, own) for c, own in sorted(items_of.items())}
+        self.pieces = {c: self._blocks(c, own) for c, own in sorted(pieces_of.items())}
+
+    def _blocks(self, size: int, places: list[tuple[int, list[int]]]) -> dict:
+        """The fingerprints of windows of some items, (item, places), and the blocks that they are found by."""
+        prints = np.concatenate([self.fingerprints(self.sums(self.ids(self.items[k][1])), np.array(own), size) for k, own in places])
+        blocks = []
+        for b in range(4):
+            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            near = (value[:, None] ^ _masks()[None, :]).ravel()
+            order = np.argsort(near, kind="stable")
+            start = np.searchsorted(near[order], np.arange((1 << 16) + 1))
+            blocks.append((start, (order // len(_masks())).astype(np.int32)))
+        return {"prints": prints, "item": np.array([k for k, own in places for _ in own]), "place": np.array([j for _, own in places for j in own]), "blocks": blocks}
 
     def ids(self, own: list[str]) -> np.ndarray:
         """Rows of self.table for the words; unknown ones are added."""
@@ -142,9 +147,9 @@ class Index:
     def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         return np.packbits(sums[starts + size] > sums[starts], axis=1).view(">u8").ravel().astype(np.uint64)
 
-    def found(self, c: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, fingerprint of the class) within the radius."""
-        own = self.classes[c]
+    @staticmethod
+    def found(own: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, one of a group's fingerprints) within the radius."""
         windows, hits = [], []
         for b, (start, members) in enumerate(own["blocks"]):
             value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -157,47 +162,45 @@ class Index:
             hits.append(hit[near])
         return np.concatenate(windows), np.concatenate(hits)
 
-    def _filters(self) -> dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]]:
-        """By shingle length: the high bits taken, the sorted hashes, and the items of each; an item's shingles, heaviest first, until those left can't reach SIMILARITY."""
-        found: dict[int, dict[int, list[int]]] = {}
-        for item, needed in enumerate(self.shingles):
-            left = (1 - SIMILARITY) * sum(needed.values()) * (1 + 1e-9)
-            for s in sorted(needed, key=lambda s: (-needed[s], s)):
-                own = found.setdefault(len(s), {}).setdefault(int(rolled(self.hashes.of(list(s)), len(s))[0]), [])
-                if item not in own[-1:]:
-                    own.append(item)
-                left -= needed[s]
-                if left < 0:
-                    break
+    @staticmethod
+    def _heaviest(needed: dict[tuple, float]) -> set[tuple]:
+        """An item's shingles, heaviest first, until those left can't reach SIMILARITY."""
+        left, out = (1 - SIMILARITY) * sum(needed.values()) * (1 + 1e-9), set()
+        for s in sorted(needed, key=lambda s: (-needed[s], s)):
+            out.add(s)
+            left -= needed[s]
+            if left < 0:
+                break
+        return out
+
+    def _filters(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By shingle length: the high bits taken, and the sorted hashes, of all heavy shingles."""
         filters = {}
-        for k, own in found.items():
-            keys = np.array(sorted(own), np.uint64)
+        for k in {len(s) for own in self.heavy for s in own}:
+            keys = np.array(sorted({int(rolled(self.hashes.of(list(s)), k)[0]) for own in self.heavy for s in own if len(s) == k}), np.uint64)
             bits = np.zeros(1 << _BITS, bool)
             bits[keys >> np.uint64(64 - _BITS)] = True
-            filters[k] = (bits, keys, [own[x] for x in keys.tolist()])
+            filters[k] = (bits, keys)
         return filters
 
-    def possible(self, split: list[list[str]]) -> dict[int, dict[int, list[int]]]:
-        """By text the items of which it has a heavy shingle, and where those begin."""
+    def possible(self, split: list[list[str]]) -> list[int]:
+        """The texts that hold a heavy shingle of any item."""
         sizes = np.array([len(x) for x in split], np.int64)
         end = np.cumsum(sizes)
         hashes = self.hashes.of([x for own in split for x in own])
-        met: dict[int, dict[int, list[int]]] = {}
-        for k, (bits, keys, items) in self.filters.items():
+        met: set[int] = set()
+        for k, (bits, keys) in self.filters.items():
             own = rolled(hashes, k)
             at = np.flatnonzero(bits[own >> np.uint64(64 - _BITS)])
             text = np.searchsorted(end, at, "right")
             inside = at + k <= end[text]
             at, text = at[inside], text[inside]
             key = np.minimum(np.searchsorted(keys, own[at]), len(keys) - 1)
-            same = keys[key] == own[at]
-            for x, t, m in zip((at - end[text] + sizes[text])[same].tolist(), text[same].tolist(), key[same].tolist()):
-                for item in items[m]:
-                    met.setdefault(t, {}).setdefault(item, []).append(x)
-        return met
-
-    def windows(self, split: list[list[str]], some: list[int]) -> dict[tuple[int, int], set[int]]:
-        """For (text, item) the places at which the item would begin by the text's windows within the radius; of some of the texts."""
+            met.update(text[keys[key] == own[at]].tolist())
+        return sorted(met)
+
+    def windows(self, split: list[list[str]], some: list[int], groups: dict[int, dict]) -> dict[tuple[int, int], set[int]]:
+        """For (text, item) the places at which the item would begin by the text's windows within the radius of a group; of some of the texts."""
         near: dict[tuple[int, int], set[int]] = {}
         sizes = np.array([len(split[x]) for x in some], np.int64)
         flat = [x for text in some for x in split[text]]
@@ -208,37 +211,35 @@ class Index:
             # neighbouring spans share enough words that no window is lost between them
             sums = self.sums(self.ids(flat[base : base + SPAN + CLASSES[-1]]))
             here = np.arange(base, min(base + SPAN, len(flat)))
-            for c, group in self.classes.items():
+            for c, group in groups.items():
                 starts = here[here + c <= last[here]]
                 for k in range(0, len(starts), STARTS):
                     own = starts[k : k + STARTS]
-                    window, hit = self.found(c, self.fingerprints(sums, own - base, c))
+                    window, hit = self.found(group, self.fingerprints(sums, own - base, c))
                     texts_, places = which[own[window]], own[window] - first[own[window]] - group["place"][hit]
                     for text, item, at in set(zip(texts_.tolist(), group["item"][hit].tolist(), places.tolist())):
                         near.setdefault((text, item), set()).add(at)
         return near
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int, float, int, bool]]:
-        """(text's place, item's place in the list, similarity, first word, whether a window met it) of each item that one of the texts holds."""
+        """(text's place, item's place in the list, similarity, first word, whether a window of the item's size met it) of each item that one of the texts holds."""
         split = [words(t) for t in texts]
-        met = self.possible(split)
-        near = self.windows(split, sorted(met))
+        some = self.possible(split)
+        whole, parts = (self.windows(split, some, groups) for groups in (self.classes, self.pieces))
         out = []
-        for t in sorted(met):
-            own, have = split[t], {}
-            for item in sorted(met[t]):
-                w, needed = self.items[item][1], self.shingles[item]
-                k = min(SHINGLE, len(w))
-                if k not in have:
-                    have[k] = set(zip(*(own[j:] for j in range(k))))
-                s = sum(x for shingle, x in needed.items() if shingle in have[k]) / sum(needed.values())
-                if s < SIMILARITY:
-                    continue
-                places: dict[tuple, list[int]] = {}
-                for j in range(len(w) - k + 1):
-                    places.setdefault(tuple(w[j : j + k]), []).append(j)
-                ats = near.get((t, item), set()) | {x - j for x in met[t][item] for j in places.get(tuple(own[x : x + k]), ())}
-                out.append((t, item, s, max(0, min(ats, key=lambda at: (-self.aligned(item, own, at), at))), (t, item) in near))
+        shingles: dict[int, set[tuple]] = {}
+        at_text = None
+        for t, item in sorted(whole.keys() | parts.keys()):
+            if t != at_text:
+                at_text, shingles = t, {}
+            own, w, needed = split[t], self.items[item][1], self.shingles[item]
+            k = min(SHINGLE, len(w))
+            if k not in shingles:
+                shingles[k] = set(zip(*(own[j:] for j in range(k))))
+            s = sum(x for shingle, x in needed.items() if shingle in shingles[k]) / sum(needed.values())
+            if s >= SIMILARITY:
+                ats = whole.get((t, item), set()) | parts.get((t, item), set())
+                out.append((t, item, s, max(0, min(ats, key=lambda at: (-self.aligned(item, own, at), at))), (t, item) in whole))
         return out
 
     def aligned(self, item: int, own: list[str], at: int) -> float:
