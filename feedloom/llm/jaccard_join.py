@@ -308,23 +308,31 @@ def join(docs: DataFrame) -> DataFrame:
     known = reps.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", "copies", F.coalesce("root", "sid").alias("root"))
     ids = known.groupBy("root").agg(F.min("first").alias("class_id"))
     total = links.groupBy("sid").agg(F.sum("links").alias("links"))
-    result = written(known.join(ids, "root").join(total, "sid", "left").select("sid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    result = written(known.join(ids, "root").join(total, "sid", "left").select("sid", F.col("root").alias("class_sid"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     rows = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("string").cast("binary"))).alias("sid"))
     empty = F.coalesce(F.col("sid"), F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))))  # spread: nulls would meet in one task
-    return rows.withColumn("sid", empty).join(result, "sid", "left").select("doc_id", "sid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.withColumn("sid", empty).join(result, "sid", "left").select("doc_id", "sid", "class_sid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) with the smallest doc_id of their class; of repeated rows one. Rows without words all stay.
+    """The documents (all columns) of which one row of each class stays: the smallest doc_id (null only if the class has no other), of its texts the one with the smallest digest, of equal rows any one.
 
-    Rows are told apart by doc_id and text, so a doc_id that stands on two texts loses only the one that is a copy.
+    Rows without words, and rows without a link, all stay. Classes are classes of texts, so a doc_id that stands on several texts
+    loses only those that are copies.
     """
-    linked = join(docs).where("n_links > 0").groupBy("doc_id", F.col("sid").alias("__sid")).agg(F.min("class_id").alias("__class"))
-    keyed = docs.withColumn("__sid", F.unhex(F.md5(F.col("text").cast("string").cast("binary"))))
+    linked = written(join(docs).where("n_links > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "sid", "class_sid"), "linked")
+    best = linked.groupBy("class_sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sid")).alias("best"))
+    # a key that is never null, so that one exchange serves join and window
+    key = lambda c: F.coalesce(F.concat(F.lit("#"), c.cast("string")), F.lit(""))
+    # found by id and text, not by class: a class may hold a large part of all rows
+    winners = best.select(key(F.col("best.doc_id")).alias("__id"), F.col("best.sid").alias("__sid"), F.lit(True).alias("__best"))
+    members = linked.select(key(F.col("doc_id")).alias("__id"), F.col("sid").alias("__sid")).distinct()
+    marks = members.join(winners, ["__id", "__sid"], "left").select("__id", "__sid", F.col("__best").isNotNull().alias("__stays"))
+    keyed = docs.withColumns({"__id": key(docs["doc_id"].cast("long")), "__sid": F.unhex(F.md5(F.col("text").cast("string").cast("binary")))})
     # texts move once: join and window deal out by the same keys
-    kept = keyed.join(written(linked, "linked").hint("merge"), ["doc_id", "__sid"], "left").where("__class IS NULL OR doc_id <= __class")
-    place = F.row_number().over(Window.partitionBy("doc_id", "__sid").orderBy("__class"))
-    return kept.withColumn("__n", place).where("__class IS NULL OR __n = 1").select(*docs.columns)
+    met = keyed.join(written(marks, "marks").hint("merge"), ["__id", "__sid"], "left").where("__stays IS NULL OR __stays")
+    place = F.row_number().over(Window.partitionBy("__id", "__sid").orderBy("__stays"))
+    return met.withColumn("__n", place).where("__stays IS NULL OR __n = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,7 +250,7 @@ def test_hamming_blocks_miss_nothing_within_the_radius():
         at = rng.integers(len(group["prints"]))
         bits = rng.choice(64, rng.integers(0, decontaminate.RADIUS + 1), replace=False)
         changed = group["prints"][at] ^ np.bitwise_or.reduce(np.array([0, *(1 << int(b) for b in bits)], np.uint64))
-        assert at in index.found(c, np.array([changed], np.uint64))[1]
+        assert at in index.found(index.classes[c], np.array([changed], np.uint64))[1]
 
 
 def test_decontamination_against_brute_force(spark):
@@ -690,3 +690,38 @@ def test_pipeline(spark):
             assert decontaminate.find_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 0
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
     assert labels.shape[0]
+
+
+def test_every_leak_comes_from_a_window(monkeypatch):
+    item = " ".join(f"word{i} piece{i % 7}" for i in range(30))
+    words = item.split(" ")
+    texts = [f"before {item} after", " ".join([*words[:30], "cut", *words[30:]]), " ".join([*words[:20], *("x" * 3 for _ in range(25)), *words[20:]]), "nothing of it"]
+    index = decontaminate.Index([(1, item), (2, "three short words")])
+    found = index.leaks([*texts, "here are three short words"])
+    assert [(t, i) for t, i, *_ in found] == [(0, 0), (1, 0), (2, 0), (4, 1)]
+    assert found[0][4] and found[2][3] == 25
+    monkeypatch.setattr(decontaminate.Index, "windows", lambda *_: {})
+    assert index.leaks(texts) == []
+
+
+def test_one_row_of_each_class_stays_whatever_its_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:59], f"x{k}"]) for k in range(5)]
+    other = [" ".join(f"v{i}" for i in range(40)) for _ in range(3)]
+    rows = [(1, near[0]), (1, near[1]), (2, near[2]), (None, near[3]), (None, near[3]), (None, other[0]), (None, other[1]), (7, "alone here"), (7, "alone here too"), (None, None), (None, None), (None, ""), (3, "!!")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, score int").repartition(3)
+    kept = sorted(r["score"] for r in jaccard_join.one_of_each(docs).collect())
+    assert len([k for k in kept if k < 5]) == 1 and kept[0] in (0, 1)
+    assert len([k for k in kept if k in (5, 6)]) == 1
+    assert kept[2:] == [7, 8, 9, 10, 11, 12]
+
+
+def test_copies_of_a_labelled_id_are_one_trial(spark):
+    text = " ".join(f"good{i}" for i in range(60))
+    rows = [(i, f"{text} {i}") for i in range(900)]
+    labels = spark.createDataFrame([(i, 1) for i in range(900)], "doc_id long, quality int")
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    # 300 ids alone prove nothing, nor do they when each stands there three times
+    few = spark.createDataFrame([(i % 300, t) for i, t in rows], "doc_id long, text string")
+    assert quality_rules.cutoffs(quality_rules.features(one).persist(), labels, delta=0.9).count() > 0
+    assert quality_rules.cutoffs(quality_rules.features(few).persist(), labels, delta=0.9).count() == 0
