@@ -1,13 +1,14 @@
 """Operator 5 (native): licence phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line, or, as notices are wrapped, as many words on end as a template has, across lines: such a window begins at each
-word of the template and meets templates of that length only. Template and block are sets of words; they match if the block holds at least CONTAINMENT of the template's
+A block is as many words on end, across lines or within one, as a template takes up at the containment (a quarter more than it has),
+from each place of one of the template's words; it meets templates of that length only. So a text's blocks are the same however
+its lines are broken. Template and block are sets of words; they match if the block holds at least CONTAINMENT of the template's
 words. One global order, rarest first by the number of documents that hold a word, fixes for each template a prefix such that
 a block without any word of it cannot match. Blocks meet templates on prefix words only; of the first common word's places in
 both ordered sets follows how many words they can still share (positional filter), as from the sets' sizes (length filter).
 What is left is compared exactly. Words outside all templates stand before all others in the order and never matter.
 
-Null and empty texts have no words and no labels; repeated rows are judged each; a block that matches several templates gets
+Null and empty texts have no words and no labels; repeated rows are judged each; lines of any length are cut alike; a block that matches several templates gets
 all their labels.
 """
 
@@ -92,7 +93,7 @@ def global_order(docs: DataFrame) -> list[str]:
 
 
 def matches(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """(key, label, containment) of the templates that the blocks (key, words, span) match; span: length of the templates to compare with, null: all."""
+    """(key, label, containment) of the templates that the blocks (key, words, span) match; span: length of the templates to compare with."""
     spark = blocks.sparkSession
     rows = []
     for t, (template, label) in enumerate(TEMPLATES.items()):
@@ -102,7 +103,7 @@ def matches(blocks: DataFrame, order: list[str]) -> DataFrame:
     index = spark.createDataFrame(rows, "word string, template int, label string, place int, size int, needed int, own array<string>, length int")
     prefix = sorted({r[0] for r in rows})
     sets = blocks.select("key", "span", F.array_intersect(_array(order), F.col("words")).alias("held")).where(F.arrays_overlap("held", _array(prefix)))
-    met = sets.distinct().select("key", "span", "held", F.posexplode("held").alias("at", "word")).join(F.broadcast(index), "word").where("span IS NULL OR span = length")
+    met = sets.distinct().select("key", "span", "held", F.posexplode("held").alias("at", "word")).join(F.broadcast(index), "word").where("span = length")
     possible = met.where(
         (F.size("held") >= F.col("needed")) & (1 + F.least(F.col("size") - F.col("place") - 1, F.size("held") - F.col("at") - 1) >= F.col("needed"))
     )
@@ -110,6 +111,11 @@ def matches(blocks: DataFrame, order: list[str]) -> DataFrame:
     return possible.where(shared >= F.col("needed")).select("key", "label", (shared / F.col("size")).alias("containment"))
 
 
+def reach(n: int) -> int:
+    """Words of a block for templates of n words: so many that a template may be interrupted by words up to the containment."""
+    return math.floor(n / CONTAINMENT + 1e-9)
+
+
 def prefix_of(template: str, order: list[str]) -> list[str]:
     """The words of a template without any of which nothing can match it."""
     own = sorted(_words_of(template), key=order.index)
@@ -117,7 +123,7 @@ def prefix_of(template: str, order: list[str]) -> list[str]:
 
 
 def windows(w: Column, order: list[str]) -> Column:
-    """(words, span) of the windows as long as a template that begin at one of the words of such a template; none of a length of whose templates no prefix word occurs."""
+    """(words, span) of the blocks for each length of a template that begin at one of the words of such a template; none of a length of whose templates no prefix word occurs."""
     starts: dict[int, set[str]] = {}
     prefix: dict[int, set[str]] = {}
     for template in TEMPLATES:
@@ -125,7 +131,7 @@ def windows(w: Column, order: list[str]) -> Column:
         starts.setdefault(n, set()).update(_words_of(template))
         prefix.setdefault(n, set()).update(prefix_of(template, order))
     at = lambda own: F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(_array(sorted(own)), x), i + 1)), lambda i: i.isNotNull())
-    cut = lambda n: lambda i: F.struct(F.slice(w, i, n).alias("words"), F.lit(n).alias("span"))
+    cut = lambda n: lambda i: F.struct(F.slice(w, i, reach(n)).alias("words"), F.lit(n).alias("span"))
     none = F.array().cast("array<struct<words:array<string>,span:int>>")
     return F.concat(*[F.when(F.arrays_overlap(w, _array(sorted(prefix[n]))), F.transform(at(own), cut(n))).otherwise(none) for n, own in sorted(starts.items())])
 
@@ -169,9 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform(x, lambda s: s["label"]))).alias("own"))).alias("b"), "may.blocks")
     # equal texts have equal blocks: labels belong to the text's digest
     may = seen.where("may.blocks")
-    lines = may.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", words(F.col("line")).alias("words"), F.lit(None).cast("int").alias("span"))
-    # a text of one line is its own only block: it holds all windows
-    blocks = lines.unionByName(may.where(F.contains("text", F.lit("\n"))).select("key", F.inline(bind(words(F.col("text")), lambda w: windows(w, order)))))
+    blocks = may.select("key", F.inline(bind(words(F.col("text")), lambda w: windows(w, order))))
     labelled = matches(blocks, order).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     out = base.where("blocks").join(labelled, "key", "left").unionByName(
         base.where("NOT blocks").withColumns({"more": F.lit(None).cast("array<string>"), "containment": F.lit(None).cast("double")}))
@@ -190,17 +194,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     place = lambda p: " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(p.split(" ")))
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    templates = ", ".join(f"({quoted(ws := _words_of(t))}, '{label}', {len(ws)}, {needed(len(ws))})" for t, label in TEMPLATES.items())
+    templates = ", ".join(f"({quoted(ws := _words_of(t))}, '{label}', {len(ws)}, {needed(len(ws))}, {reach(len(_all_words_of(t)))})" for t, label in TEMPLATES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
 w AS (SELECT row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
 i AS (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM w),
 p AS ({" UNION ALL ".join(f"SELECT row, i - 1 AS pos, '{label}' AS label FROM i WHERE {place(p)}" for p, label in PHRASES.items())}),
 b AS (SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS own FROM p GROUP BY row),
-blocks AS (SELECT row, regexp_extract_all(unnest(string_split(text, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS held FROM d),
-t(own, label, size, needed) AS (VALUES {templates}),
-m AS (SELECT row, list(DISTINCT label) AS more, max(len(list_intersect(own, held)) / size) AS containment FROM blocks, t
-      WHERE len(list_intersect(own, held)) >= needed GROUP BY row)
+t(own, label, size, needed, reach) AS (VALUES {templates}),
+v AS (SELECT DISTINCT unnest(own) AS word FROM t),
+may AS (SELECT row, words FROM w WHERE len(list_intersect(words, (SELECT list(word) FROM v))) > 1),
+s AS (SELECT row, words, i FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM may) WHERE words[i] IN (SELECT word FROM v)),
+m AS (SELECT row, list(DISTINCT label) AS more, max(shared / size) AS containment
+      FROM (SELECT row, label, size, needed, len(list_intersect(own, words[i:i + reach - 1])) AS shared FROM s, t WHERE list_contains(own, words[i])) WHERE shared >= needed GROUP BY row)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(b.own), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.own, []), coalesce(more, [])))), ','), '') AS labels,

@@ -725,3 +725,14 @@ def test_copies_of_a_labelled_id_are_one_trial(spark):
     few = spark.createDataFrame([(i % 300, t) for i, t in rows], "doc_id long, text string")
     assert quality_rules.cutoffs(quality_rules.features(one).persist(), labels, delta=0.9).count() > 0
     assert quality_rules.cutoffs(quality_rules.features(few).persist(), labels, delta=0.9).count() == 0
+
+
+def test_license_blocks_do_not_depend_on_lines(spark):
+    far = "licensed under cc by 4 0".split(" ")
+    filler = [f"filler{i}" for i in range(1000)]
+    scattered = [x for w in far for x in (w, *filler)]
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split(" ")
+    texts = [" ".join(scattered), "\n".join(scattered), " ".join([*filler, *notice, *filler]), "\n".join([*filler, *notice, *filler]), " ".join([*notice[:9], "really", "indeed", *notice[9:]])]
+    made = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert made[0] == made[1] == ("", 0.0)
+    assert made[2] == made[3] == ("notice:mit", 1.0) and made[4][0] == "notice:mit"
