@@ -12,7 +12,7 @@ constants leave next to nothing, or of FEW pages less than half, they are kept.
 
 Null or empty pages have empty text; a text without tags is one block; unclosed and stray tags are borne, as are trees of any
 depth; repeated pages are each extracted; pages without a host share one group. A host with one distinct page has no template,
-only the element rules.
+only the element rules. Pages whose tags or quotes never close are read in linear time: what can't be a tag is text.
 """
 
 from __future__ import annotations
@@ -37,12 +37,17 @@ NEARLY = 0.9
 LEAST = 3
 #: Constants that leave less than this share of the text, or so many characters a page, are copies; of fewer than FEW pages, those that leave less than half.
 COPIES, COPY_CHARS, FEW = 0.05, 20, 5
-#: Depth of the elements that make a layout, and the share of a host's pages that one has at least.
-DEPTH, SHARE = 3, 1 / 64
+#: Depth of the elements that make a layout.
+DEPTH = 3
 
+#: Elements whose content is no text of the page.
+_RAW = set("script style noscript template svg iframe textarea select title".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(_RAW))})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|(?P<text>[^<]+|<)", re.S | re.I)
+_NAME = re.compile(r"</?[a-zA-Z]")
+_INSIDE = re.compile(r"(/?)([a-zA-Z][^\s/>]*)(.*)", re.S)
+_MARKS = re.compile(r"[>\"']")
 _DIGITS = re.compile(r"\d+")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,12 +70,61 @@ class Node:
         self.other, self.children, self.number = False, [], -1
 
 
+class _Ends:
+    """Where tags of a page end: at the first > outside quotes; a quote that never closes is a sign like others. Found from right to left, once a page."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in _MARKS.finditer(page)]
+        self.end = [-1] * (len(self.at) + 1)
+        after: dict[str, int] = {}
+        for i in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[i]]
+            self.end[i] = self.at[i] if c == ">" else self.end[after.get(c, i) + 1]
+            after[c] = i
+
+    def of(self, start: int) -> int:
+        """-1: a tag that begins here never ends."""
+        return self.end[bisect_left(self.at, start)]
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, str, str | None, str]]:
+    """(tag, / if it closes, text, attributes) of tags and texts in page order; comments, scripts and the like have neither tag nor text."""
+    at, ends, last = 0, None, page.rfind(">")
+    while at < len(page):
+        if at > last:
+            # nothing that follows can be a tag; a comment that never closes hides the rest
+            rest = page.find("<!--", at)
+            if text := page[at:] if rest < 0 else page[at:rest]:
+                yield None, "", text, ""
+            return
+        if ends is not None and _NAME.match(page, at):
+            end = ends.of(at)
+            if end < 0:
+                yield None, "", "<", ""
+                at += 1
+                continue
+            close, tag, attrs = _INSIDE.match(page, at + 1, end).groups()
+            at = end + 1
+            if not close and tag.lower() in _RAW:
+                hidden = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = hidden.end() if hidden else len(page)
+            else:
+                yield tag, close, None, attrs
+            continue
+        m = _TOKEN.match(page, at)
+        if m["text"] == "<" and ends is None and _NAME.match(page, at):
+            # a tag that isn't one: from here on it is looked up whether tags end
+            ends = _Ends(page)
+            continue
+        yield m["tag"], m["close"] or "", m["text"], m["attrs"] or ""
+        at = m.end()
+
+
 def parse(page: str) -> Node:
     """The page's tree; texts are its leaves, numbered in page order."""
     root = Node("html", "html")
     stack, count = [root], 0
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
+    for tag, close, text, attrs in tokens(page):
         if text is not None:
             if not text.isspace():
                 leaf = Node("#text", "#text", " ".join(entities.unescape(text).split()))
@@ -81,11 +135,10 @@ def parse(page: str) -> Node:
             elif stack[-1].children:
                 stack[-1].children.append(Node("br", "br"))
             continue
-        tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
-        if m["close"]:
+        if close:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -97,13 +150,13 @@ def parse(page: str) -> Node:
             _end(stack, {"p"}, _BLOCK - {"p"})
         if tag in _ENDS:
             _end(stack, _ENDS[tag], _SCOPES.get(tag, set()))
-        found = [(a.lower(), b or c or d) for a, b, c, d in _ATTR.findall(m["attrs"] or "")]
+        found = [(a.lower(), b or c or d) for a, b, c, d in _ATTR.findall(attrs)]
         node = Node(tag, tag + "".join(f" {a}={v}" for a, v in found if a == "class"))
         node.other = tag in _OTHER or any(not _OTHER_WORDS.isdisjoint(re.split(r"[\s_\-]+", v.lower())) for _, v in found)
         if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
             node.other = True
         stack[-1].children.append(node)
-        if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
+        if tag not in _VOID and not attrs.endswith("/"):
             stack.append(node)
     return root
 
@@ -289,24 +342,44 @@ def blocks(root: Node, dropped: set[int]) -> list[str]:
 
 
 class Extractor:
-    def text(self, page: str | None, references: dict[int, str], fixed: dict[int, set[int]]) -> str:
-        """The content without the constants of the host and of the page's layout; references and constants by layout, 0: the host's."""
+    def text(self, page: str | None, wrappers: list[tuple[str | None, set[int]]]) -> str:
+        """The content without constants; wrappers: of the host and of the page's layout, as far as there are, the reference and the constants."""
         if not page:
             return ""
         root = parse(page)
         dropped: set[int] = set()
-        if fixed:
+        if wrappers:
             own = Slots.of(root)
-            for which in {0, layout(root)} & set(fixed):
-                dropped |= {number for number, (slot, _) in texts_of(own, references.get(which)).items() if slot in fixed[which]}
+            for reference, fixed in wrappers:
+                dropped |= {number for number, (slot, _) in texts_of(own, reference).items() if slot in fixed}
         return "\n\n".join(blocks(root, dropped))
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "html"):
-            rows = [(_hash(page), layout(root := parse(page)), Slots.of(root).written()) for page in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["host", "h", "layout", "tree"])
+def laid_out(rows: DataFrame) -> DataFrame:
+    """The rows (page_id, url, html, host) with h, the page's hash, its layout, and its tree; empty pages have no tree. Written once, as all that follows reads them."""
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in (("h", "long"), ("layout", "long"), ("tree", "string")))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                made = [(_hash(page), layout(root := parse(page)), Slots.of(root).written()) if page else (None, None, None) for page in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([r[j] for r in made], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], names=schema.names)
+
+    return written(rows.select("page_id", "url", "html", "host").mapInArrow(run, schema), "pages")
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """(host, layout, tree): the reference tree of each host with two pages or more (layout 0), and of each of its layouts with LEAST."""
+    of_layout = written(pages.where("tree IS NOT NULL").groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "tree")).alias("first")), "layouts")
+    of_host = of_layout.groupBy("host").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1").withColumn("layout", F.lit(0).cast("long"))
+    return of_host.unionByName(of_layout.where(F.col("n") >= LEAST)).select("host", "layout", F.col("first.tree").alias("tree"))
+
+
+def with_wrappers(pages: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """Pages with what was found for their host, as the struct of_host, and for their layout, as of_layout; null where there is none. A page meets two rows at most, however many layouts its host has."""
+    one = lambda df, name, *keys: df.select(*keys, F.struct(*columns).alias(name))
+    met = pages.join(one(found.where("layout = 0"), "of_host", "host"), "host", "left")
+    return met.join(one(found.where("layout != 0"), "of_layout", "host", "layout"), ["host", "layout"], "left")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,36 +387,24 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
             rows = []
-            for host, page, trees in zip(*(part.column(i).to_pylist() for i in range(3))):
-                root, h = parse(page), _hash(page)
-                by_layout, page_slots = {r["layout"]: r["tree"] for r in trees}, Slots.of(root)
-                for which in {0, layout(root)} & set(by_layout):
-                    own: dict[int, int] = {}
-                    for slot, n in texts_of(page_slots, by_layout[which]).values():
-                        own[slot] = own.get(slot, 0) + n
-                    # slot 0 counts the page and all its characters
-                    own[0] = sum(own.values())
-                    rows.append((host, h, which, list(own), list(own.values())))
+            for host, page, h, own_layout, of_host, of_layout in zip(*(c.to_pylist() for c in part.columns)):
+                page_slots = Slots.of(parse(page))
+                for which, reference in ((0, of_host), (own_layout, of_layout)):
+                    if reference:
+                        own: dict[int, int] = {}
+                        for slot, n in texts_of(page_slots, reference["tree"]).values():
+                            own[slot] = own.get(slot, 0) + n
+                        # slot 0 counts the page and all its characters
+                        own[0] = sum(own.values())
+                        rows.append((host, h, which, list(own), list(own.values())))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds.values())], names=list(kinds))
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """(host, trees): the reference tree of each host (layout 0) and of each of its layouts with LEAST pages and a SHARE of the host's.
-
-    So a host has 1 / SHARE layouts at most, whatever its size.
-    """
-    own = pages.where(F.length("html") > 0).select("host", "html").mapInArrow(_trees, "host string, h long, layout long, tree string")
-    of_layout = written(own.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "tree")).alias("first")), "layouts")
-    of_host = of_layout.groupBy("host").agg(F.sum("n").alias("all"), F.min("first").alias("first"))
-    large = of_layout.join(of_host.select("host", "all"), "host").where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all"))).select("host", "layout", F.col("first.tree").alias("tree"))
-    every = of_host.where(F.col("all") > 1).select("host", F.lit(0).cast("long").alias("layout"), F.col("first.tree").alias("tree"))
-    return every.unionByName(large).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("layout", "tree"))).alias("trees"))
-
-
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, trees, constants) of each host with a template: its references, and by layout the texts that are constant."""
+    """(host, layout, tree, slots) of each host (layout 0) and layout with a template: its reference, and the texts that are constant."""
     trees = written(references(pages), "references")
-    own = pages.where(F.length("html") > 0).join(trees, "host").select("host", "html", "trees").mapInArrow(_texts, "host string, h long, layout long, slots array<long>, chars array<long>")
+    read = with_wrappers(pages.where("tree IS NOT NULL"), trees, "tree").where("of_host IS NOT NULL OR of_layout IS NOT NULL")
+    own = read.select("host", "html", "h", "layout", "of_host", "of_layout").mapInArrow(_texts, "host string, h long, layout long, slots array<long>, chars array<long>")
     # a page that stands there more than once counts once
     each = own.dropDuplicates(["host", "h", "layout"]).select("host", "layout", F.inline(F.arrays_zip(F.col("slots").alias("slot"), "chars")))
     counted = each.groupBy("host", "layout", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
@@ -354,25 +415,23 @@ def wrappers(pages: DataFrame) -> DataFrame:
     found = constant.groupBy("host", "layout", "pages", "total").agg(F.collect_set("slot").alias("slots"), F.sum("chars").alias("fixed"))
     left = F.col("total") - F.col("fixed")
     copies = (left < COPIES * F.col("total")) | (left < COPY_CHARS * F.col("pages")) | ((F.col("pages") < FEW) & (2 * left < F.col("total")))
-    kept = found.where(~copies)
-    return trees.join(kept.groupBy("host").agg(F.collect_list(F.struct("layout", "slots")).alias("constants")), "host")
+    return trees.join(found.where(~copies), ["host", "layout"]).select("host", "layout", "tree", "slots")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
+    rows = laid_out(pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host")))
     # written first, as then its size is known: where it is small, no page moves
-    joined = rows.join(written(wrappers(rows), "wrappers"), "host", "left").select("page_id", "url", "html", "trees", "constants")
+    found = written(wrappers(rows), "wrappers")
+    joined = with_wrappers(rows, found, "tree", "slots").select("page_id", "url", "html", "of_host", "of_layout")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Extractor()
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = []
-                for html, trees, constants in zip(*(part.column(i).to_pylist() for i in range(2, 5))):
-                    texts.append(own.text(html, {r["layout"]: r["tree"] for r in trees or ()}, {r["layout"]: set(r["slots"]) for r in constants or ()}))
+                texts = [own.text(html, [(w["tree"], set(w["slots"])) for w in both if w]) for html, *both in zip(*(part.column(i).to_pylist() for i in range(2, 5)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, schema)

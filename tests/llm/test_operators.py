@@ -319,7 +319,7 @@ def test_decontamination_of_odd_rows(spark):
 
 
 def test_html():
-    text = lambda page: html_text.Extractor().text(page, {}, {})
+    text = lambda page: html_text.Extractor().text(page, [])
     assert text(None) == text("") == text("<script>x</script>") == ""
     assert text("plain  text\n\nmore &amp; more") == "plain text more & more"
     page = "<body><header>x</header><nav><a>m</a></nav><p>Hello <b>wor</b>ld<br>z<p>two<aside>s</aside><div class='user-comments'>no</div><ul><li>a<li>b</ul><form>f</form>tail<footer>c</footer>"
@@ -583,7 +583,7 @@ def test_templates_against_loops(spark):
         layouts = defaultdict(list)
         for _, k, root in parsed:
             layouts[H.layout(root)].append((k, H.Slots.of(root).written()))
-        first = {w: min(v)[1] for w, v in layouts.items() if len(v) >= max(H.LEAST, H.SHARE * len(parsed))}
+        first = {w: min(v)[1] for w, v in layouts.items() if len(v) >= H.LEAST}
         if len(parsed) > 1:
             first[0] = min(x for v in layouts.values() for x in v)[1]
         fixed = {}
@@ -602,7 +602,8 @@ def test_templates_against_loops(spark):
             if constant and n >= (H.LEAST if w else 2) and not copies:
                 fixed[w] = constant
         for p, x in zip(own.page_id, own.html):
-            assert made[p] == H.Extractor().text(x, first, fixed)
+            own_layouts = {0, H.layout(H.parse(x))} if x else set()
+            assert made[p] == H.Extractor().text(x, [(first[w], fixed[w]) for w in own_layouts & set(fixed)])
 
 
 def test_empty_tables_everywhere(spark, odd):
@@ -736,3 +737,27 @@ def test_license_blocks_do_not_depend_on_lines(spark):
     made = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs_of(spark, texts)).collect()}
     assert made[0] == made[1] == ("", 0.0)
     assert made[2] == made[3] == ("notice:mit", 1.0) and made[4][0] == "notice:mit"
+
+
+def test_a_layout_has_its_template_however_large_its_host(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL("page_id long, url string, html string")
+    few = [(i, "https://h.example/a", f"<main><section><p>Stay a while</p><p>own words of page number {i} here</p></section></main>") for i in range(10)]
+    for n in (50, 1500):
+        many = [(100 + i, "https://h.example/b", f"<main><div><div><p>article {i} about many things, {i * 7} of them</p></div></div></main>") for i in range(n)]
+        made = html_text.extract(spark.createDataFrame(few + many, schema).repartition(4)).where("page_id < 10").collect()
+        assert [r["text"] for r in sorted(made)] == [f"own words of page number {i} here" for i in range(10)]
+
+
+def test_pages_with_tags_that_never_close_take_linear_time():
+    for bad in ('<a "', "<a ", "<", "<!", "<script ", '<a " > ', "<a '>\" ", "<b \"x' > ' "):
+        page = "<p>seen</p>" + bad * 20_000 + "<p>end</p>"
+        began = time.time()
+        assert "seen" in html_text.Extractor().text(page, [])
+        assert time.time() - began < 5
+    text = lambda page: html_text.Extractor().text(page, [])
+    assert text("<p>1 < 2 and <b>3</b> > 2</p><p>x <y") == "1 < 2 and 3 > 2\n\nx <y"
+    assert text('<p title="a > b">in</p><a "><p>out</p><script>no</script><i>yes</i>') == text('<p>in</p><a><p>out</p><script>no</script><i>yes</i>')
+    assert text("<p>one</p><!-- never closed <p>two</p>") == "one"
+    assert text('<p "x>one</p><script y>hidden</script><p>two</p>') == "one\n\ntwo"
