@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from functools import lru_cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BAR = chr(124)
-#: Entities that stand in feeds most.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: A character reference: by number, or by a name with or without semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 #: Hour at which a business day begins, in a zone eight hours ahead of UTC without summer time.
 ZONE, NOON_UTC_HOURS = "Asia/Shanghai", 4
 
@@ -23,12 +28,55 @@ def clip(text: Column, limit: int) -> Column:
     return F.when(F.length(own) > limit, F.concat(F.rtrim(F.left(own, F.lit(limit - 1))), F.lit("…"))).otherwise(own)
 
 
+@lru_cache(maxsize=1)
+def _numbers() -> dict[str, str]:
+    """What numbers stand for that are no code points of their own: those of a one-byte table, the carriage return, and nothing for what no text may hold."""
+    out = {0: "\ufffd", 13: "\r"}
+    for n in range(0x80, 0xA0):
+        out[n] = bytes([n]).decode("cp1252", "ignore") or chr(n)
+    nothing = [*range(1, 9), 11, *range(14, 32), 127, *range(0xFDD0, 0xFDF0), *(0x10000 * k + 0xFFFE + i for k in range(17) for i in (0, 1))]
+    return {str(n): c for n, c in ({n: "" for n in nothing} | out).items()}
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A map as one literal, of any size."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def unescape(text: Column) -> Column:
+    """The text with all character references of HTML replaced, once, from left to right.
+
+    A name without its semicolon counts where HTML knows it so; of a longer word the longest such beginning. What is no
+    reference stays as it is.
+    """
+    names = _table(html5)
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+    def named(word: Column) -> Column:
+        start = F.regexp_extract(word, "^(" + "|".join(map(re.escape, bare)) + ")", 1)
+        return F.coalesce(F.try_element_at(names, word), F.when(start != "", F.concat(F.try_element_at(names, start), F.substring(word, F.length(start) + 1, F.length(word)))), F.concat(F.lit("&"), word))
+
+    def numbered(word: Column) -> Column:
+        digits = F.regexp_extract(word, "^#[xX]?([0-9a-fA-F]+)", 1)
+        value = F.when(word.rlike("^#[xX]"), F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 8, F.conv(digits, 16, 10))).otherwise(digits).try_cast("bigint")
+        point = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
+        unknown = value.isNull() | (value > 0x10FFFF) | value.between(0xD800, 0xDFFF)
+        return F.coalesce(F.try_element_at(_table(_numbers()), value.cast("string")), F.when(unknown, "\ufffd").otherwise(point))
+
+    def decoded(found: Column) -> Column:
+        word = F.substring(found, F.lit(2), F.length(found))
+        return F.when(word.startswith("#"), numbered(word)).otherwise(named(word))
+
+    between = F.split(text, REFERENCE)
+    made = F.transform(F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), 1), decoded)
+    # one more text than references; most texts have none
+    joined = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(made, i), F.lit(""))))), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
+
+
 def strip_tags(html: Column) -> Column:
-    """Visible text: tags become spaces, the commonest entities characters."""
-    out = F.regexp_replace(html, "<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapse(out)
+    """Visible text: tags become spaces, character references what they stand for, white space of any kind one space."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]+>", " ")), r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def first_image(html: Column) -> Column:

@@ -152,7 +152,7 @@ def fn1(t, spark):
     return t("documents").select("doc_id", X.clip(F.col("text"), 60).alias("clipped"))
 
 
-@query("fn2_strip_tags", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS visible FROM pages")
+@query("fn2_strip_tags", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS visible FROM pages")
 def fn2(t, spark):
     return t("pages").select("page_id", X.strip_tags(F.col("html")).alias("visible"))
 

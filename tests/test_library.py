@@ -227,3 +227,17 @@ def test_packing_is_the_loop(spark):
                 chunk, filled = chunk + 1, 0
             filled += s
             assert got[i] == chunk
+
+
+def test_character_references_are_the_standard_librarys(spark):
+    import html
+    from html.entities import html5
+
+    from feedloom.functions.text import unescape
+
+    texts = ["", None, "no reference", "a & b", "&", "&&amp;&", "&;", "&#;", "&#x;", "&#xZ;", "&notit; &notin; &ampx &amp=1 &copyright", "&lt;b&gt;&amp;lt;", "x&nbsp;y", "&Aacute&aacute;", "&#0039;&#x0027;&#X27", "&#99999999999999999999;", "&#xffffffffff;", "&#x000000000000041;"]
+    texts += [f"<{n} &{n} &{n.lower()} &{n}x" for n in html5] + [f"&#{n};&#x{n:x} " for n in [*range(0, 400), *range(0xD7F0, 0xE010, 7), *range(0xFDC0, 0xFE00), 0xFFFE, 0xFFFF, 0x1FFFE, 0x1F600, 0x10FFFF, 0x110000]]
+    made = {r["t"]: r["u"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescape(F.col("t")).alias("u")).collect()}
+    wrong = [(t, made[t], html.unescape(t)) for t in texts if t is not None and made[t] != html.unescape(t)]
+    assert not wrong, wrong[:5]
+    assert made[None] is None
