@@ -97,11 +97,23 @@ u3 AS (SELECT *, string_split(CASE WHEN eligibility_status = 'INELIGIBLE' THEN '
 gated AS (SELECT *, c[1] AS concrete_status, c[2] AS concrete_reason FROM u3)"""
 _hand = "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else quoted(v) for v in row) + ")" for row in TITLES)
 _dash = "title || ' — ' || "
+#: Records without a tagline take their whole text as their own line.
+_line = "trim(regexp_replace(trim(regexp_replace(description, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '\\s*(?:Discussion\\s*\\|\\s*Link)\\s*$', '', 'i'))"
+_zh = "CASE n_need " + " ".join(f"WHEN {quoted(n)} THEN {quoted(zh)}" for n, zh in L.NEEDS_ZH.items()) + " END"
+_vague = ", ".join(map(quoted, L.VAGUE_TITLES))
 IDENTITY = f"""{CONCRETE}, hand(title, n_catalogue, n_craft, n_launch, n_need, n_design) AS ({_hand}),
-v1 AS (SELECT gated.*, coalesce(n_catalogue, CASE WHEN title = 'ACME electric portable power banks, Pack of 2' THEN 'ACME Power Bank' ELSE title END) AS n_catalogue, coalesce(n_craft, title) AS n_craft, coalesce(n_launch, title) AS n_launch, n_need, n_design,
-  CASE doc_id % 3 WHEN 0 THEN {_dash}'Developer Tool' WHEN 1 THEN {_dash}'A quiet line' ELSE CASE WHEN trim(description) <> '' THEN left({_dash}trim(regexp_replace(description, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 100) END END AS n_tagline FROM gated JOIN hand USING (title)),
-named AS (SELECT *, CASE WHEN eligibility_status = 'INELIGIBLE' OR concrete_status <> 'CONCRETE' OR title IN ('My', 'My EDC') THEN NULL WHEN source = 'product_hunt' THEN coalesce(n_tagline, title) WHEN source = 'amazon' THEN n_catalogue WHEN source = 'etsy' THEN n_craft WHEN source = 'hacker_news' THEN n_launch
-  WHEN contains(source, 'reddit') THEN n_need WHEN source IN ('yanko_design', 'design_milk') THEN coalesce(n_design, title) ELSE title END AS normalized_name FROM v1)"""
+v0 AS (SELECT gated.*, coalesce(n_catalogue, CASE WHEN title = 'ACME electric portable power banks, Pack of 2' THEN 'ACME Power Bank' ELSE title END) AS n_catalogue, coalesce(n_craft, title) AS n_craft, coalesce(n_launch, title) AS n_launch, n_need, n_design,
+  CASE doc_id % 3 WHEN 0 THEN 'Developer Tool' WHEN 2 THEN CASE WHEN source = 'product_hunt' THEN {name_of(f"lower({_line})", L.TAGLINES)} END END AS kind, CASE doc_id % 3 WHEN 1 THEN 'A quiet line' WHEN 2 THEN nullif({_line}, '') END AS own FROM gated JOIN hand USING (title)),
+v1 AS (SELECT *, CASE WHEN kind IS NOT NULL THEN {_dash}kind ELSE left({_dash}own, 100) END AS n_tagline FROM v0),
+v2 AS (SELECT *, CASE WHEN eligibility_status = 'INELIGIBLE' THEN 'ineligible' WHEN concrete_status = 'NON_CONCRETE' THEN 'non_concrete' WHEN concrete_status = 'AMBIGUOUS' THEN 'unresolved' WHEN lower(title) IN ({_vague}) THEN 'vague_source_title'
+  WHEN source = 'product_hunt' AND kind IS NOT NULL THEN 'product_hunt_product_type' WHEN source = 'product_hunt' AND n_tagline IS NOT NULL THEN 'product_hunt_title_tagline' WHEN source = 'amazon' THEN 'amazon_catalog_parser' WHEN source = 'etsy' THEN 'etsy_listing_title_parser'
+  WHEN source = 'hacker_news' THEN 'show_hn_title_parser' WHEN contains(source, 'reddit') THEN CASE WHEN n_need IS NOT NULL THEN 'reddit_product_noun' ELSE 'reddit_unresolved' END WHEN source IN ('yanko_design', 'design_milk') AND n_design IS NOT NULL THEN 'design_object_parser'
+  WHEN length(title) >= 3 AND NOT regexp_matches(lower(title), '^(my|this|help)\\b') THEN 'source_title' ELSE 'unresolved' END AS identity_method FROM v1),
+named AS (SELECT *, CASE WHEN identity_method LIKE 'product_hunt%' THEN n_tagline WHEN identity_method = 'amazon_catalog_parser' THEN n_catalogue WHEN identity_method = 'etsy_listing_title_parser' THEN n_craft WHEN identity_method = 'show_hn_title_parser' THEN n_launch
+    WHEN identity_method = 'reddit_product_noun' THEN n_need WHEN identity_method = 'design_object_parser' THEN n_design WHEN identity_method = 'source_title' THEN title END AS normalized_name,
+  CASE WHEN identity_method = 'reddit_product_noun' THEN {_zh} END AS name_zh,
+  CASE WHEN identity_method LIKE 'product_hunt%' OR identity_method IN ('reddit_product_noun', 'design_object_parser', 'show_hn_title_parser') THEN 'HIGH' WHEN identity_method = 'amazon_catalog_parser' THEN CASE WHEN n_catalogue <> title THEN 'HIGH' ELSE 'MEDIUM' END
+    WHEN identity_method = 'etsy_listing_title_parser' THEN CASE WHEN n_craft <> title THEN 'HIGH' ELSE 'MEDIUM' END WHEN identity_method = 'reddit_unresolved' THEN 'LOW' WHEN identity_method = 'source_title' THEN 'MEDIUM' ELSE 'UNRESOLVED' END AS identity_confidence FROM v2)"""
 
 
 @query("rul12_eligibility", f"WITH {ELIGIBILITY} SELECT doc_id, content_type, eligibility_status, eligibility_reason FROM eligible")
@@ -118,10 +130,9 @@ def named(t):
     return L.identity(L.concrete(L.eligibility(records(t))))
 
 
-#: Without a tagline the product's text stands for it; its rules read the whole text, which the twin leaves to those with a tagline.
-@query("er1_identity", f"WITH {IDENTITY} SELECT doc_id, normalized_name FROM named WHERE NOT (source = 'product_hunt' AND doc_id % 3 = 2)")
+@query("er1_identity", f"WITH {IDENTITY} SELECT doc_id, normalized_name, name_zh, identity_method, identity_confidence FROM named")
 def er1(t, spark):
-    return named(t).where("NOT (source = 'product_hunt' AND doc_id % 3 = 2)").select("doc_id", "normalized_name")
+    return named(t).select("doc_id", "normalized_name", "name_zh", "identity_method", "identity_confidence")
 
 
 @query("er3_discussion_names", f"WITH {CONCRETE} SELECT doc_id, need AS name FROM gated")
