@@ -12,6 +12,7 @@ from feedloom.operators import scoring as S
 from feedloom.operators import selection as SEL
 from feedloom.operators import titles as TT
 from feedloom.operators import verdicts as V
+from feedloom.operators.store import KeyedStore
 
 #: Order of the strengths of evidence.
 STRENGTHS = ["STRONG", "MODERATE", "WEAK"]
@@ -46,6 +47,28 @@ def ingest(records: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame,
     return rows, candidates(rows), ledger(rows, stored)
 
 
+def ingest_into(records: DataFrame, held: KeyedStore, pool: KeyedStore, context: str | None = None, writer: str | None = None, number: int = 0) -> DataFrame:
+    """The ledger of a batch of records whose verdicts go into the store of records (by url) and whose candidates go into the pool (by source_url).
+
+    What the ledger calls known is what was stored before the batch. One classified table serves all three outputs.
+    """
+    rows = classified(records, context)
+    made = written(ledger(rows, held.rows_like(rows.select("url"))), "ledger")
+    held.merge(rows, [F.desc("filter_score"), F.col("title")], None, writer, number)
+    pool.merge(candidates(rows), [F.desc("candidate_score"), F.col("candidate_type")], None, writer, number)
+    return made
+
+
+def as_of(facts: DataFrame, keys: list[str], version: str, at: int) -> DataFrame:
+    """Of each key the fact that was valid at a version: the newest that isn't newer."""
+    return M.best_per_key(facts.where(F.col(version) <= at), keys, [F.desc(version)])
+
+
+def publish_day(results: DataFrame, path: str, day: str) -> None:
+    """Puts the results of one day in the place of what was published for it; other days keep their files. `day` is the column of the day."""
+    results.write.partitionBy(day).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def rescored_slice(records: DataFrame, stored: DataFrame, source: str, kind: str = "consumer_trend") -> DataFrame:
     """Stored candidates (url, candidate_type, score) with those of one kind replaced by what the present rules make of one source."""
     own = R.commodity(TT.trend_item(records.where(F.col("source") == source))).where("trend_status = 'candidate' AND commodity_status != 'COMMODITY'")

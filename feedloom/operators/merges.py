@@ -20,7 +20,7 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def upsert(old: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column], policy: Mapping[str, str] | None = None) -> DataFrame:
     """Stored rows with the batch put over them; of equal keys in the batch the first in `order` counts.
 
-    Null keys are keys like others: equal to each other and to nothing else. policy says for a column: new (default), old (the stored value stays), fill (new unless null), or (either is true), max.
+    Null keys are keys like others: equal to each other and to nothing else. policy says for a column: new (default), old (the stored value stays), fill (new unless null), or (either is true), max, sum.
     """
     policy = policy or {}
     new = best_per_key(batch, keys, order)
@@ -39,6 +39,8 @@ def upsert(old: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequenc
             return F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False))
         if kind == "max":
             return F.greatest(x, y)
+        if kind == "sum":
+            return F.coalesce(x + y, x, y)
         return F.when(in_batch, y).otherwise(x)
 
     return met.select(*[value(c).alias(c) for c in old.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions import aggregates as AG
 from feedloom.functions.sql import register
@@ -16,6 +17,7 @@ from feedloom.operators import merges as M
 from feedloom.operators import picks as P
 from feedloom.operators import selection as SEL
 from feedloom.operators.packs import RulePack
+from feedloom.operators.store import KeyedStore
 from feedloom.plans import ladders as PL
 from feedloom.plans import rules  # noqa: F401
 from feedloom.plans import scans
@@ -30,11 +32,25 @@ _o = f"o AS ({ORACLE['rul2_opportunity_documents']})"
 @query("job1_ingest", f"""WITH {_o}, d AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels) AS old FROM documents) SELECT source, count(*) AS fetched, count(*) FILTER (NOT old) AS new_count, count(*) FILTER (old) AS updated_count,
 count(*) FILTER (filter_status = 'rejected') AS rejected, count(*) FILTER (filter_status = 'uncertain') AS uncertain FROM d JOIN o USING (doc_id) GROUP BY source""")
 def job1(t, spark):
-    """All documents as a batch against the labelled ones as stored: classified, candidates built, the ledger by source."""
+    """All documents as a batch against the labelled ones as stored: classified, stored with their candidates, the ledger by source."""
+    return _ingested(t, spark)[2]
+
+
+def _ingested(t, spark):
+    """(store of records, pool of candidates, ledger) after the batch."""
     records = doc_records(t)
-    _, pool, ledger = J.ingest(records, records.join(t("labels").select("doc_id").distinct(), "doc_id", "left_semi"))
-    written(pool, "candidates")
-    return ledger
+    schema = T.StructType.fromDDL("url string, doc_id bigint, title string, source string, opportunity_type string, filter_status string, filter_score int")
+    held = KeyedStore(spark, new_path(spark, "records"), schema, ["url"], 16, bitmaps=1)
+    pool = KeyedStore(spark, new_path(spark, "pool"), T.StructType.fromDDL("source_url string, candidate_type string, candidate_score int"), ["source_url"], 16)
+    seen = records.join(t("labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    held.merge(seen.select("url", "doc_id", "title", "source", *[F.lit(None).cast(d).alias(n) for n, d in (("opportunity_type", "string"), ("filter_status", "string"), ("filter_score", "int"))]), [F.col("doc_id")])
+    return held, pool, J.ingest_into(records, held, pool)
+
+
+@query("job1_stored_records", f"WITH {_o} SELECT doc_id, opportunity_type, filter_status, filter_score FROM o")
+def job1_records(t, spark):
+    """What the store of records holds after the batch."""
+    return _ingested(t, spark)[0].read().select("doc_id", "opportunity_type", "filter_status", "filter_score")
 
 
 _co = f"co AS ({ORACLE['rul8_commodity']})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import text as X
 from feedloom.functions.storage import new_path, written
 from feedloom.operators import identity as I
+from feedloom.operators import jobs as J
 from feedloom.operators import merges as M
 from feedloom.operators import picks as P
 from feedloom.operators import rule_packs as R
@@ -210,10 +211,23 @@ def str6(t, spark):
     return store.read()
 
 
-@query("str9_rebuild_day", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-09 04:00:00' AND ts < TIMESTAMP '2024-01-10 04:00:00' GROUP BY 1")
+@query("str9_rebuild_day", """WITH f AS (SELECT event_id, ts, event_type, 1 AS version FROM events UNION ALL SELECT event_id, ts, 'corrected', 2 FROM events WHERE event_id % 10 = 0),
+v AS (SELECT event_id, ts, max_by(event_type, version) FILTER (version <= 1) AS first, max_by(event_type, version) AS second FROM f GROUP BY event_id, ts)
+SELECT '2024-01-09' AS day, first AS event_type, count(*) AS n FROM v WHERE ts >= TIMESTAMP '2024-01-09 04:00:00' AND ts < TIMESTAMP '2024-01-10 04:00:00' GROUP BY 2
+UNION ALL SELECT '2024-01-10', second, count(*) FROM v WHERE ts >= TIMESTAMP '2024-01-10 04:00:00' AND ts < TIMESTAMP '2024-01-11 04:00:00' GROUP BY 2""")
 def str9(t, spark):
-    day = F.lit("2024-01-09 04:00:00").cast("timestamp_ntz")
-    return t("events").where(X.noon_window(F.col("ts")) == day).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Yesterday's result is published, today's run corrects facts and publishes today; then yesterday is rebuilt from the facts of its own version."""
+    e = t("events").select("event_id", "ts", "event_type")
+    facts = written(e.withColumn("version", F.lit(1)).unionByName(e.where("event_id % 10 = 0").withColumn("event_type", F.lit("corrected")).withColumn("version", F.lit(2))), "facts")
+    path = new_path(spark, "published")
+
+    def run(day: str, version: int) -> None:
+        own = J.as_of(facts, ["event_id"], "version", version).where(F.date_format(X.noon_window(F.col("ts")), "yyyy-MM-dd") == day)
+        J.publish_day(own.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.lit(day)), path, "day")
+
+    for day, version in (("2024-01-09", 1), ("2024-01-10", 2), ("2024-01-09", 1)):
+        run(day, version)
+    return spark.read.schema("event_type string, n bigint, day string").parquet(path)
 
 
 @query("qa8_immutability", "SELECT p_partkey, true AS unchanged FROM part")

@@ -145,6 +145,22 @@ def str2(t, spark):
     return ST.finished(ST.noon_counts(_landed(t, spark), "at")).select(F.col("day").cast("timestamp_ntz").alias("day"), "n")
 
 
+_side_day = "time_bucket(INTERVAL 1 DAY, coalesce(published, ts), TIMESTAMP '2000-01-01 04:00:00')"
+
+
+@query("str2_side_counts", f"""WITH e AS (SELECT ts, CASE event_id % 4 WHEN 0 THEN ts - INTERVAL 10 DAY WHEN 2 THEN ts WHEN 3 THEN ts + INTERVAL 1 HOUR END AS published FROM events)
+SELECT {_side_day} AS day, CASE WHEN published IS NULL THEN 'observation' WHEN published > ts THEN 'early' WHEN ts >= {_side_day} + INTERVAL 2 DAY THEN 'late' ELSE 'on_time' END AS side, count(*) AS n FROM e GROUP BY ALL""")
+def str2_sides(t, spark):
+    """Observations in no order, of which parts were published ten days before, at no known time, and after they were observed; in several batches."""
+    path, k = new_path(spark, "landing"), F.col("event_id") % 4
+    published = F.when(k == 0, F.col("ts") - F.expr("INTERVAL 10 DAYS")).when(k == 2, F.col("ts")).when(k == 3, F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    rows = t("events").select("ts", published.alias("published"))
+    rows.repartition(4, F.xxhash64("ts")).write.parquet(path)
+    store = KeyedStore(spark, new_path(spark, "sides"), T.StructType.fromDDL("day timestamp_ntz, side string, n bigint"), ["day", "side"], 4)
+    STORED.noon_sides(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path), "published", "ts", store, "sides")
+    return store.read()
+
+
 @query("str4_change_stream", "SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
 def str4(t, spark):
     return ST.finished(ST.emit_changes(_landed(t, spark), "user_id", "event_id", "event_type"))

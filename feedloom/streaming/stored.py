@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.storage import new_path
+from feedloom.functions.text import noon_window
 from feedloom.operators.merges import best_per_key
 from feedloom.operators.store import KeyedStore
 
@@ -42,3 +43,22 @@ def once_ever(stream: DataFrame, key: str, order: Sequence[Column], ledger: Keye
         hand_out(first.join(own, F.col(key).eqNullSafe(F.col("__key")), "left_semi"), number)
 
     _run(stream, batch, checkpoint)
+
+
+def noon_sides(stream: DataFrame, published: str, observed: str, store: KeyedStore, writer: str, grace: str = "1 day", checkpoint: str | None = None) -> None:
+    """Counts rows into a store (day, side, n) by the day from noon to noon of their effective time and by what they are to it.
+
+    observation: the source doesn't say when it published. early: published after it was observed. late: observed when its day had
+    been over for `grace`. on_time: all others. A row's side depends on the row alone, so late rows are counted whatever the
+    order of arrival, and no state grows but the counts; a batch that is repeated counts once.
+    """
+
+    def sides(rows: DataFrame) -> DataFrame:
+        day = noon_window(F.coalesce(published, observed))
+        over = day + F.expr("INTERVAL 1 DAY") + F.expr(f"INTERVAL {grace}")
+        side = (
+            F.when(F.col(published).isNull(), "observation").when(F.col(published) > F.col(observed), "early")
+            .when(F.col(observed) >= over, "late").otherwise("on_time"))
+        return rows.groupBy(day.alias("day"), side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+    merged(stream, store, sides, [F.col("n")], {"n": "sum"}, writer, checkpoint)

@@ -219,3 +219,45 @@ def test_similar_names_by_class(spark):
             near = len(set(v) & set(w)) / len(set(v) | set(w)) >= 0.5
             p, q = sorted((of[g, a], of[h, b]))
             assert near == (p == q or (g, p, q) in pairs)
+
+
+def test_sides_do_not_depend_on_the_order_of_arrival(spark):
+    import random
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    random.seed(8)
+    rows, want = [], Counter()
+    for _ in range(300):
+        observed = datetime(2024, 1, 10) + timedelta(hours=random.randrange(24 * 6))
+        published = random.choice([None, observed, observed - timedelta(days=random.randrange(9), hours=5), observed + timedelta(hours=3)])
+        at = published or observed
+        day = (at - timedelta(hours=4)).replace(hour=4)
+        side = "observation" if published is None else "early" if published > observed else "late" if observed >= day + timedelta(days=2) else "on_time"
+        rows.append((published, observed))
+        want[day, side] += 1
+    for batches in (1, 5):
+        random.shuffle(rows)
+        s = KeyedStore(spark, new_path(spark, "sides"), T.StructType.fromDDL("day timestamp_ntz, side string, n bigint"), ["day", "side"], 3)
+        landing, marks = new_path(spark, "landing"), new_path(spark, "offsets")
+        for k in range(batches):
+            spark.createDataFrame(rows[k::batches], "published timestamp_ntz, observed timestamp_ntz").coalesce(1).write.parquet(f"{landing}/{k}")
+            stream = spark.readStream.schema("published timestamp_ntz, observed timestamp_ntz").parquet(f"{landing}/*")
+            stored.noon_sides(stream, "published", "observed", s, "w", checkpoint=marks)
+        assert {(r["day"], r["side"]): r["n"] for r in s.read().collect()} == want
+
+
+def test_a_rebuilt_day_equals_the_day_as_it_was(spark):
+    from feedloom.operators import jobs
+
+    facts = spark.createDataFrame([(1, 1, "a", "d1"), (2, 1, "a", "d1"), (3, 1, "b", "d2"), (1, 2, "c", "d1"), (4, 3, "a", "d1")], "k int, version int, v string, day string")
+    path = new_path(spark, "days")
+    run = lambda day, version: jobs.publish_day(jobs.as_of(facts, ["k"], "version", version).where(F.col("day") == day).groupBy("day", "v").count(), path, "day")
+    held = lambda day: rows_of(spark.read.schema("v string, count bigint, day string").parquet(path).where(F.col("day") == day).select("v", "count"))
+    run("d1", 1)
+    before = held("d1")
+    run("d2", 3)
+    run("d1", 3)
+    assert held("d1") == [("a", 2), ("c", 1)] and held("d2") == [("b", 1)]
+    run("d1", 1)
+    assert held("d1") == before == [("a", 2)] and held("d2") == [("b", 1)]
