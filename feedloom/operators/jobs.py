@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.storage import written
 from feedloom.operators import merges as M
+from feedloom.operators import picks as P
 from feedloom.operators import rule_packs as R
 from feedloom.operators import scoring as S
 from feedloom.operators import selection as SEL
@@ -59,6 +60,20 @@ def ingest_into(records: DataFrame, held: KeyedStore, pool: KeyedStore, context:
     return made
 
 
+def budgeted(rows: DataFrame, known: DataFrame, key: str, order: list[Column], budget: int) -> DataFrame:
+    """The rows that a run's budget covers: those that aren't known yet first, then the others, each in order. Only `budget` rows reach the driver's side of the sort."""
+    met = rows.join(known.select(key).distinct().withColumn("__known", F.lit(True)), key, "left")
+    return met.orderBy(F.col("__known").isNotNull(), *order).limit(budget).drop("__known")
+
+
+def daily_choice(classified_rows: DataFrame, known: DataFrame, key: str, budget: int) -> DataFrame:
+    """What a daily run shows: of the candidates those within the budget, with chosen_rank, or why one was left out, by the quotas of themes (sources) and of software."""
+    ready = classified_rows.where("filter_status = 'candidate'").select(key, "source", "title", "opportunity_type", "filter_score")
+    order = [F.desc("filter_score"), F.col(key)]
+    within = budgeted(ready, known, key, order, budget).withColumns({"run": F.lit("day"), "theme": F.col("source")})
+    return SEL.quota_choice(within, "run", order, F.col("opportunity_type") == "software", F.col("filter_score")).drop("run", "theme")
+
+
 def as_of(facts: DataFrame, keys: list[str], version: str, at: int) -> DataFrame:
     """Of each key the fact that was valid at a version: the newest that isn't newer."""
     return M.best_per_key(facts.where(F.col(version) <= at), keys, [F.desc(version)])
@@ -91,3 +106,25 @@ def discovery(facts: DataFrame, family: str, at: str, source: str, points: str,
 def collected_voice(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """(saved, existing) of texts against the stored ones, by their identity key."""
     return M.upsert_counts(stored, rows, [key]).withColumnRenamed("duplicates", "existing")
+
+
+def directions(items: DataFrame, run: str, family: str) -> DataFrame:
+    """One row for each family of a run: its best item (smallest rank, then id) with all its columns, the name that all its items agree on, else the best item's, and how many items it has."""
+    rest = [c for c in items.columns if c not in (run, family, "rank", "id")]
+    agreed = F.when(F.min("name") == F.max("name"), F.min("name"))
+    best = items.groupBy(run, family).agg(F.min(F.struct("rank", "id", *rest)).alias("best"), agreed.alias("agreed"), F.count(F.lit(1)).alias("members"))
+    return best.select(run, family, "best.rank", "best.id", *[f"best.{c}" for c in rest if c != "name"], F.coalesce("agreed", "best.name").alias("name"), "members")
+
+
+def compose(items: DataFrame, run: str, family: str, voices: DataFrame, quotas: dict[str, int], caps: dict[str, int], other_cap: int, target: int, path: str) -> DataFrame:
+    """Picks of each run, (run, id, pick_order, name, members, voices), published as a snapshot with a partition for each run.
+
+    items (run, id, rank, name, family, basket, source, dup) become directions, one a family; of those the baskets are filled. voices
+    (id, voices) tells how many users' texts an item has. A run that is composed again replaces its own partition only.
+    """
+    choice = written(directions(items, run, family), "directions")
+    picks = P.basket_picks(choice, run, [F.col("rank"), F.col("id")], quotas, caps, other_cap, target)
+    out = picks.join(choice.select(run, "id", "name", "members"), [run, "id"]).join(voices, "id", "left").fillna(0, ["voices"])
+    published = out.select("id", "pick_order", "name", "members", "voices", run)
+    publish_day(published, path, run)
+    return items.sparkSession.read.schema(published.schema).parquet(path)

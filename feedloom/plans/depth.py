@@ -371,11 +371,16 @@ def qa9(t, spark):
 @query("fn22_source_voices", """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS x, 'https://v.example/' || conv_id AS url FROM conversations)
 SELECT conv_id, turn, 'feedback_texts' AS field, 'fine ' || turn AS text, url FROM c UNION ALL SELECT conv_id, turn, 'comments', 'so so', 'https://w.example/' FROM c WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'description', left(x, 1000), url FROM c WHERE conv_id % 3 = 0 AND x <> '' AND left(x, 1000) <> 'fine ' || turn""")
 def fn22(t, spark):
+    return voice_rows(t).select("conv_id", "turn", "field", "text", "url")
+
+
+def voice_rows(t):
+    """The texts that users wrote in records made of the conversations, with their identity."""
     k = F.col("turn")
     raw = F.concat(F.lit('{"reviews": "fine '), k.cast("string"), F.lit('", "comments": '), F.when(k % 2 == 0, '[{"text": " so  so ", "url": "https://w.example/", "author": "x"}, ""]').otherwise("[]"), F.lit(', "feedback_texts": ["fine '), k.cast("string"), F.lit('"]}'))
     url = F.concat(F.lit("https://v.example/"), F.col("conv_id").cast("string"))
     made = E.voices(F.when(F.col("conv_id") % 3 == 0, "reddit").otherwise("shop"), raw, url, F.col("text"))
-    return t("conversations").select("conv_id", "turn", F.inline(made)).select("conv_id", "turn", "field", "text", "url")
+    return t("conversations").select("conv_id", "turn", F.inline(made))
 
 
 _asked = sql_any("title || ' ' || description", [*[p for r in R.SIGNALS.values() for p, _ in r], "wish", "alternative"], "regex")

@@ -11,10 +11,10 @@ from feedloom.functions.storage import new_path, written
 from feedloom.functions.text import key_of
 from feedloom.operators import evidence as E
 from feedloom.operators import external as EX
+from feedloom.operators import identity as I
 from feedloom.operators import jobs as J
 from feedloom.operators import ladders as L
 from feedloom.operators import merges as M
-from feedloom.operators import picks as P
 from feedloom.operators import selection as SEL
 from feedloom.operators.packs import RulePack
 from feedloom.operators.store import KeyedStore
@@ -88,19 +88,29 @@ def job4_strict(t, spark):
     return J.discovery(t("events"), "user_id", "ts", "event_type", "value", at("2024-01-09 04:00:00"), at("2024-01-10 04:00:00"))
 
 
+#: What the baskets of a run are filled with, in their order, and how many picks a source may have.
+QUOTAS = {E.BASKETS[b]: n for b, n in (("proven", 5), ("other", 4), ("needs", 4), ("software", 4), ("design", 3))}
+CAPS = {"reddit": 4, "amazon": 4}
+
+
+def pick_items(t):
+    """Named records that can be picked, with their family; a run is the records of one language."""
+    rows = written(PL.named(t).where("normalized_name IS NOT NULL").select("doc_id", "category", "source", "content_type", "description", "normalized_name"), "named")
+    strength = F.when(F.col("doc_id") % 3 == 0, "STRONG").otherwise("WEAK")
+    good = rows.where(E.is_pick(F.col("normalized_name"), F.col("description"), F.col("source"), F.col("content_type"), F.lit(True)))
+    return I.family(good, "normalized_name", "content_type").select(
+        F.col("category").alias("run"), F.col("doc_id").alias("id"), SEL.ranked(strength, J.STRENGTHS).alias("rank"), F.col("normalized_name").alias("name"), "family_key",
+        E.basket(F.col("source"), F.col("content_type"), strength).alias("basket"), "source", F.coalesce(E.near_key(F.col("normalized_name")), F.col("normalized_name")).alias("dup"))
+
+
+def voice_counts(t):
+    return t("conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("voices"))
+
+
 @query("job5_compose")
 def job5(t, spark):
-    """Picks from the named records of each language: baskets, caps of a source, one of each near key; with how many voices each has."""
-    named = L.identity(L.concrete(L.eligibility(PL.records(t)))).where("normalized_name IS NOT NULL")
-    rows = written(named.select("doc_id", "category", "source", "content_type", "description", "normalized_name"), "named")
-    strength = F.when(F.col("doc_id") % 3 == 0, "STRONG").otherwise("WEAK")
-    items = rows.where(E.is_pick(F.col("normalized_name"), F.col("description"), F.col("source"), F.col("content_type"), F.lit(True))).select(
-        F.col("category").alias("run"), F.col("doc_id").alias("id"), E.basket(F.col("source"), F.col("content_type"), strength).alias("basket"), "source", F.coalesce(E.near_key(F.col("normalized_name")), F.col("normalized_name")).alias("dup"),
-        SEL.ranked(strength, J.STRENGTHS).alias("rank"))
-    order = [E.BASKETS[b] for b in ("proven", "other", "needs", "software", "design")]
-    picks = P.basket_picks(items, "run", [F.col("rank"), F.col("id")], dict(zip(order, (5, 4, 4, 4, 3))), {"reddit": 4, "amazon": 4}, 3, 20)
-    voices = t("conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("voices"))
-    return picks.join(voices, "id", "left").fillna(0, ["voices"])
+    """Discovery to picks: families of named records, the name each agrees on, baskets within the sources' caps, how many voices each pick has, published by run."""
+    return J.compose(written(pick_items(t), "items"), "run", "family_key", voice_counts(t), QUOTAS, CAPS, 3, 20, new_path(spark, "picks"))
 
 
 @query("job6_daily_run", f"""WITH {_o}, d AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels) AS old FROM documents), s AS (SELECT count(*) AS fetched, count(*) FILTER (NOT old) AS new_products, count(*) FILTER (filter_status = 'rejected') AS rejected FROM d JOIN o USING (doc_id)),
@@ -116,12 +126,34 @@ def job6(t, spark):
     return sums.join(F.broadcast(one(top, "ranked"))).join(F.broadcast(one(ready, "qualified")))
 
 
-@query("job7_collection", """WITH b AS (SELECT sha256(role || chr(124) || text) AS k, conv_id FROM conversations), o AS (SELECT DISTINCT k FROM b WHERE conv_id % 2 = 0) SELECT (SELECT count(*) FROM documents) AS fetched, count(DISTINCT k) FILTER (k NOT IN (SELECT k FROM o)) AS saved, count(*) - count(DISTINCT k) FILTER (k NOT IN (SELECT k FROM o)) AS existing FROM b""")
+BUDGET = 60
+
+
+@query("job6_daily_choice", f"""WITH {_o}, c AS (SELECT doc_id, source AS theme, (opportunity_type = 'software')::INT AS kind, filter_score AS score, doc_id IN (SELECT doc_id FROM labels) AS old FROM documents JOIN o USING (doc_id) WHERE filter_status = 'candidate' ORDER BY old, score DESC, doc_id LIMIT {BUDGET}),
+w AS (SELECT *, score >= 55 AS ok FROM c), x AS (SELECT *, ok AND row_number() OVER (PARTITION BY ok, theme ORDER BY kind, score DESC, doc_id) <= 3 AS a FROM w), y AS (SELECT *, a AND (kind = 0 OR row_number() OVER (PARTITION BY a, kind ORDER BY score DESC, doc_id) <= 2) AS b FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY kind, score DESC, doc_id) AS n FROM y), q AS (SELECT *, b AND n <= 10 AS c FROM z), p AS (SELECT *, coalesce(sum(c::INT) OVER (ORDER BY kind, score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT doc_id, CASE WHEN c THEN n END AS chosen_rank, CASE WHEN c THEN NULL WHEN NOT ok THEN 'quality_score' WHEN before >= 10 THEN CASE WHEN kind = 1 THEN 'software_quota' ELSE 'lower_final_score' END WHEN NOT a THEN 'theme_quota' ELSE 'software_quota' END AS exclusion FROM p""")
+def job6_choice(t, spark):
+    """New documents before labelled ones within the budget, then themes and software within their quotas."""
+    rows = J.classified(doc_records(t))
+    return J.daily_choice(rows, t("labels"), "doc_id", BUDGET).select("doc_id", "chosen_rank", "exclusion")
+
+
+def _collection_sql() -> str:
+    from feedloom.plans import depth  # noqa: F401
+
+    return f"""WITH v AS ({ORACLE['fn22_source_voices']}), b AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'reddit' ELSE 'shop' END || chr(124) || url || chr(124) || text AS k, conv_id FROM v), o AS (SELECT DISTINCT k FROM b WHERE conv_id % 2 = 0),
+s AS (SELECT count(DISTINCT k) FILTER (k NOT IN (SELECT k FROM o)) AS saved, count(*) AS n FROM b) SELECT (SELECT count(*) FROM documents) AS fetched, saved, n - saved AS existing FROM s"""
+
+
+@query("job7_collection", _collection_sql())
 def job7(t, spark):
-    """Records are classified and written, voices stored by their identity; nothing is composed."""
+    """Records are classified and written, the texts that users wrote in them extracted and stored by their identity; nothing is composed."""
+    from feedloom.plans.depth import voice_rows
+
     rows = J.classified(doc_records(t))
-    voice = t("conversations").select(key_of(F.col("role"), F.col("text")).alias("k"), "conv_id")
-    counts = J.collected_voice(voice, voice.where("conv_id % 2 = 0"), "k")
+    voice = written(voice_rows(t).select("identity", "conv_id"), "voices")
+    counts = J.collected_voice(voice, voice.where("conv_id % 2 = 0"), "identity")
     return rows.agg(F.count(F.lit(1)).alias("fetched")).join(F.broadcast(counts)).select("fetched", "saved", "existing")
 
 

@@ -261,3 +261,46 @@ def test_a_rebuilt_day_equals_the_day_as_it_was(spark):
     assert held("d1") == [("a", 2), ("c", 1)] and held("d2") == [("b", 1)]
     run("d1", 1)
     assert held("d1") == before == [("a", 2)] and held("d2") == [("b", 1)]
+
+
+def test_compose_is_the_loop(spark, sf):
+    from collections import defaultdict
+
+    from feedloom.plans import jobs as plan
+    from feedloom.plans.registry import QUERIES
+
+    t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    voices = {r["id"]: r["voices"] for r in plan.voice_counts(t).collect()}
+    families = defaultdict(list)
+    for r in plan.pick_items(t).collect():
+        families[r["run"], r["family_key"]].append(r)
+    runs = defaultdict(list)
+    for (run, _), own in families.items():
+        best = min(own, key=lambda r: (r["rank"], r["id"]))
+        names = {r["name"] for r in own}
+        runs[run].append((best, names.pop() if len(names) == 1 else best["name"], len(own)))
+    want = []
+    for run, choice in runs.items():
+        choice.sort(key=lambda c: (c[0]["rank"], c[0]["id"]))
+        chosen, full, seen = [], defaultdict(int), set()
+
+        def add(c):
+            r = c[0]
+            if c in chosen or full[r["source"]] >= plan.CAPS.get(r["source"], 3) or r["dup"] in seen:
+                return
+            chosen.append(c)
+            full[r["source"]] += 1
+            seen.add(r["dup"])
+
+        for basket, most in plan.QUOTAS.items():
+            for c in choice:
+                if c[0]["basket"] == basket:
+                    if sum(x[0]["basket"] == basket for x in chosen) >= most:
+                        break
+                    add(c)
+        for c in choice:
+            if len(chosen) >= 20:
+                break
+            add(c)
+        want += [(c[0]["id"], k, c[1], c[2], voices.get(c[0]["id"], 0), run) for k, c in enumerate(chosen, 1)]
+    assert rows_of(QUERIES["job5_compose"](spark, sf)) == sorted(want, key=repr) and len(want) > 5
