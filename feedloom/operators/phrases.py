@@ -158,20 +158,27 @@ def _alternatives(regex: str) -> list[str]:
 
 def leads(regex: str) -> list[str]:
     """Letters, in lower case, with one of which every match of the regular expression begins; none if that isn't plain to see."""
+    if len(_alternatives(regex)) > 1:
+        return []
+    group = re.match(r"\(\?:([^()]*)\)(?![?*{])", regex)
     found = []
-    for part in _alternatives(regex):
-        group = re.match(r"\(\?:([^()]*)\)(?![?*{])", part)
-        for start in group[1].split("|") if group else [part]:
-            own = re.match(r"[\w' \-]*", start, re.ASCII)[0]
-            # what a quantifier makes optional isn't sure to be there
-            found.append((own[:-1] if start[len(own) : len(own) + 1] in ("?", "*", "{") else own).lower())
+    for start in group[1].split("|") if group else [regex]:
+        own = re.match(r"[\w' \-]*", start, re.ASCII)[0]
+        # what a quantifier makes optional isn't sure to be there
+        found.append((own[:-1] if start[len(own) : len(own) + 1] in ("?", "*", "{") else own).lower())
     return found if all(found) else []
 
 
+def _leads_of_each(regex: str) -> list[str]:
+    """leads() of all alternatives; none if one of them has none."""
+    found = [leads(part) for part in _alternatives(regex)]
+    return [x for own in found for x in own] if all(found) else []
+
+
 def gated(low: Column, hits: Column | None, patterns: Sequence[str]) -> Column:
     """Whether one of the regular expressions is found in a lower-cased text. They are tried only if the text holds a key word or leading letters of one."""
     keys = {p: first_words(p) if hits is not None else None for p in patterns}
-    starts = {p: [] if keys[p] else leads(p) for p in patterns}
+    starts = {p: [] if keys[p] else _leads_of_each(p) for p in patterns}
     free = [p for p in patterns if not keys[p] and not starts[p]]
     behind = [p for p in patterns if p not in free]
     words, letters = {w for p in behind for w in keys[p] or ()}, list(dict.fromkeys(x for p in behind for x in starts[p]))
