@@ -12,6 +12,7 @@ from feedloom.operators.phrases import has
 STOP = ["a", "an", "and", "for", "the", "with", "without", "of", "to", "in", "on", "my", "new", "best", "review", "compact", "simple", "small", "lightweight", "portable", "everyday", "recycled"]
 MATERIALS = ["nylon", "leather", "polyester", "abs", "titanium", "wooden", "wood", "steel", "aluminum", "silicone", "plastic"]
 NOUNS = ["backpack", "pouch", "bag", "pillow", "bottle", "tumbler", "wallet", "lamp", "organizer", "opener", "board", "box", "holder", "sleeve", "software", "app", "extension", "dashboard", "agent", "editor"]
+PROTECTED = ["camera", "hydration", "tactical", "hiking"]
 # End of the fixed values.
 
 
@@ -31,11 +32,11 @@ def family(df: DataFrame, name: str, kind: str) -> DataFrame:
     size = F.regexp_extract(F.lower(name), r"([0-9]+)\s*[–-]\s*([0-9]+)l", 0)
     sized = F.regexp_replace(F.regexp_replace(size, r"\s", ""), "–", "-")
     use = F.when(has(t, "commuter"), "commuter").when(has(t, "travel"), "travel").otherwise("general")
-    special = [q for q in ("camera", "hydration", "tactical", "hiking")]
-    guarded = F.coalesce(*[F.when(has(t, q), F.lit(q)) for q in special])
+    guarded = F.coalesce(*[F.when(has(t, q), F.lit(q)) for q in PROTECTED])
     pack = has(t, "backpack")
     noun = F.get(F.filter(t, lambda x: x.isin(*NOUNS)), F.lit(0))
     rest = F.slice(F.filter(t, lambda x: x != noun), 1, 3)
+    # Keys, methods and scores of the rules, in their order.
     rules = [
         (pack & (F.lower(name).contains("non-tactical") | (has(t, "non") & has(t, "tactical"))), F.lit("work-backpack-non-tactical"), "protected_product_subtype", 0.95),
         (pack & (size != ""), F.concat(use, F.lit("-backpack-"), sized), "size_and_use_case", 0.96),
@@ -48,6 +49,7 @@ def family(df: DataFrame, name: str, kind: str) -> DataFrame:
         (noun.isNotNull(), F.concat_ws("-", noun, rest), "blocked_normalized_tokens", 0.9),
         (F.size(t) > 0, F.concat_ws("-", F.slice(t, 1, 4)), "normalized_identity_exact", 1.0),
     ]
+    # End of the fixed values.
     key, method, score = (F.lit(None).cast(c) for c in ("string", "string", "double"))
     for condition, k_, m, s in reversed(rules):
         key, method, score = F.when(condition, k_).otherwise(key), F.when(condition, m).otherwise(method), F.when(condition, s).otherwise(score)

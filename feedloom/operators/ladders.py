@@ -1,7 +1,8 @@
 """Ladders of ordered rules by source: whether a record is a product, whether it is one object, and what its name is.
 
 Texts are lower-cased once; what several rules ask for is computed once a row. All of it is row-local: no rule needs a shuffle.
-Records have title, description, category and source; nulls count as empty.
+Records have title, description, category and source; nulls count as empty. Reasons are free text for a reader: nothing
+compares them, and statuses and types alone decide.
 """
 
 from __future__ import annotations
