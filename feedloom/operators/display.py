@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import clip, collapse, strip_tags
-from feedloom.operators.phrases import bind
+from feedloom.functions.text import bind, clip, collapse, strip_tags
 
 # Titles that say nothing, limits, fields by source with their labels, labels of states.
 EMPTY_TITLES = ["my", "help", "question"]
@@ -44,24 +43,28 @@ def summary(raw: Column, *first: Column, last: Column) -> Column:
 
 def shown(value: Column) -> Column:
     """A JSON value as text: fractions with separators and two places at most, lists joined, anything else as it is."""
-    number = value.try_cast("double")
-    fraction = F.regexp_replace(F.format_number(number, 2), r"\.?0+$", "")
-    items = F.array_join(F.from_json(value, "array<string>"), ", ")
-    return F.when(value.rlike(r"^-?\d+\.\d+(?:[eE][+-]?\d+)?$"), fraction).when(value.rlike(r"^\[.*\]$"), items).otherwise(value)
+
+    def text(own: Column) -> Column:
+        fraction = F.regexp_replace(F.format_number(own.try_cast("double"), 2), r"\.?0+$", "")
+        items = F.array_join(F.from_json(own, "array<string>"), ", ")
+        return F.when(own.rlike(r"^-?\d+\.\d+(?:[eE][+-]?\d+)?$"), fraction).when(own.rlike(r"^\[.*\]$"), items).otherwise(own)
+
+    return bind(value, text)
 
 
 def source_metadata(source: Column, raw: Column) -> Column:
     """(label, value) of the fields that a source may show, in its order; fields without a value are left out."""
 
     def entry(label: str, keys: Sequence[str], suffix: str) -> Column:
-        value = F.coalesce(*[F.nullif(F.nullif(F.nullif(F.get_json_object(raw, f"$.{k}"), F.lit("")), F.lit("[]")), F.lit("{}")) for k in keys])
-        text = F.nullif(clip(strip_tags(F.concat(shown(value), F.lit(suffix))), FIELD_LIMIT), F.lit(""))
-        return F.when(text.isNotNull(), F.struct(F.lit(label).alias("label"), text.alias("value")))
+        full = [bind(F.get_json_object(raw, f"$.{k}"), lambda v: F.when(~v.isin("", "[]", "{}"), v)) for k in keys]
+        return F.struct(F.lit(label).alias("label"), F.concat(shown(F.coalesce(*full)), F.lit(suffix)).alias("value"))
 
     out = F.array().cast("array<struct<label:string,value:string>>")
     for name, fields in FIELDS.items():
-        out = F.when(source == name, F.array_compact(F.array(*[entry(*f) for f in fields]))).otherwise(out)
-    return out
+        out = F.when(source == name, F.array(*[entry(*f) for f in fields])).otherwise(out)
+    # one expression cleans the values of all fields, each once
+    clean = F.transform(out, lambda x: F.struct(x["label"].alias("label"), clip(strip_tags(x["value"]), FIELD_LIMIT).alias("value")))
+    return F.filter(clean, lambda x: x["value"] != "")
 
 
 def permalink(path: Column, url: Column) -> Column:
