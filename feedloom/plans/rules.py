@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom.functions.storage import written
 from feedloom.operators import ladders as L
 from feedloom.operators import rule_packs as R
 from feedloom.operators import scoring as S
@@ -189,7 +190,9 @@ def rul9(t, spark):
 @query("scr1_inspirations", f"""WITH {DOC_SQL}, {creative_sql('doc_id')} SELECT substr(sha256('inspiration_product|' || url), 1, 24) AS candidate_id, url AS source_url,
   greatest(0, least(100, round_even(0.45::DOUBLE * feas + 0.40::DOUBLE * micro + 0.15::DOUBLE * 60, 0)))::INT AS candidate_score, feas AS feasibility_score, micro AS micro_innovation_score FROM f WHERE eligible""")
 def scr1(t, spark):
-    return S.inspirations(R.creative(doc_records(t)).withColumn("clarity", F.lit(60))).select("candidate_id", "source_url", "candidate_score", "feasibility_score", "micro_innovation_score")
+    # written, as a filter on what the pack finds would be pushed below it and all of the pack computed twice
+    rows = written(R.creative(doc_records(t)).drop("description"), "creative")
+    return S.inspirations(rows.withColumn("clarity", F.lit(60))).select("candidate_id", "source_url", "candidate_score", "feasibility_score", "micro_innovation_score")
 
 
 @query("scr1_trends", f"""WITH {PART_SQL} SELECT substr(sha256('consumer_trend|' || url), 1, 24) AS candidate_id, round_even(0.40::DOUBLE * (p_size * 2 % 101) + 0.35::DOUBLE * (p_partkey % 101) + 0.25::DOUBLE * (p_size % 50), 0)::INT AS candidate_score FROM rec WHERE {sql_any('title', ['ring', 'bolt'])}""")
