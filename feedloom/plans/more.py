@@ -253,7 +253,7 @@ def _rebuild_sql() -> str:
 def job2(t, spark):
     """All rule packs over the stored records, all builders, one candidate per URL."""
     rows = part_records(t).unionByName(doc_records(t), allowMissingColumns=True)
-    seen = R.demand_signal(V.demand_fit(R.feasibility(R.creative(rows)), R.text_of("title", "description", "category")))
+    seen = R.without_index(R.demand_signal(V.demand_fit(R.feasibility(R.creative(R.with_index(rows, *V.OF_DEMAND))), R.text_of("title", "description", "category"))))
     ready = written(seen.withColumns({"clarity": F.lit(60), "backers": F.lit(None).cast("double"), "funded": F.lit(None).cast("double")}), "classified")
     pool = S.inspirations(ready).unionByName(S.demands(ready)).unionByName(S.validated(ready))
     best = M.best_per_key(pool, ["source_url"], [F.desc("candidate_score"), F.col("candidate_type")])
