@@ -149,16 +149,48 @@ def _chain(rules: Sequence[tuple[Column, Sequence]], i: int, otherwise) -> Colum
     return out
 
 
+#: What the ladders look up in title, description and category.
+OF_TEXTS = ([hinted(PHYSICAL_HINTS), hinted(SOFTWARE_HINTS), FILM, *NON_PRODUCT, *SERVICE, *LAUNCH_TALK, *LAUNCH_HARDWARE, *LAUNCH_SOFTWARE, *DESIGN_OTHER], "pattern")
+#: Columns of with_texts().
+TEXTS = ("__l_title", "__l_body", "__l_hits", "__l_line", "__l_need")
+
+
+def with_texts(df: DataFrame) -> DataFrame:
+    """Records with what several ladders ask of title and description, computed once for all of them: both in lower case, their word hits, and, of forum posts and vague titles, the description on one line; of forum posts the product they need.
+
+    Columns that stand there already are taken as they are.
+    """
+    if TEXTS[0] in df.columns:
+        return df
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    title, body, line = F.col("__l_title"), F.col("__l_body"), F.col("__l_line")
+    forum = low("source").contains("reddit")
+    rows = df.withColumns({"__l_title": low("title"), "__l_body": low("description")})
+    rows = rows.withColumns({"__l_hits": word_hits(F.concat_ws(" ", title, body), OF_TEXTS), "__l_line": F.when(forum | collapse(title).isin(*VAGUE_TITLES), collapse(body))})
+    return rows.withColumn("__l_need", F.when(forum, need_name(collapse(title), line)))
+
+
+def _own(df: DataFrame) -> list[str]:
+    """The columns of with_texts() that a ladder added itself and takes away again."""
+    return [c for c in TEXTS if c not in df.columns]
+
+
+def named(df: DataFrame) -> DataFrame:
+    """Records after all three ladders, which share their texts."""
+    return identity(concrete(eligibility(with_texts(df)))).drop(*TEXTS)
+
+
 def eligibility(df: DataFrame, is_digital: str = "is_digital", link: str = "external_url") -> DataFrame:
     """Adds content_type, eligibility_status (ELIGIBLE, INELIGIBLE, AMBIGUOUS) and eligibility_reason, by ordered rules of the source.
 
     `is_digital` (boolean) and `link` are columns of listings and launches; null counts as false and empty.
     """
-    whole = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "description", "category")]))
-    rows = df.withColumns({"__text": whole, "__title": F.lower(F.coalesce("title", F.lit(""))), "__source": F.lower(F.coalesce("source", F.lit("")))})
+    category = F.lower(F.coalesce("category", F.lit("")))
+    rows = with_texts(df)
+    rows = rows.withColumns({"__text": F.concat_ws(" ", "__l_title", "__l_body", category), "__title": F.col("__l_title"), "__source": F.lower(F.coalesce("source", F.lit("")))})
     text, title, source, hits = F.col("__text"), F.col("__title"), F.col("__source"), F.col("__hits")
     # columns of their own: fields of a struct would be put in place, and computed, wherever they are named
-    rows = rows.withColumn("__hits", word_hits(text, ([hinted(PHYSICAL_HINTS), hinted(SOFTWARE_HINTS), FILM, *NON_PRODUCT, *SERVICE, *LAUNCH_TALK, *LAUNCH_HARDWARE, *LAUNCH_SOFTWARE, *DESIGN_OTHER], "pattern")))
+    rows = rows.withColumn("__hits", F.concat("__l_hits", word_hits(category, OF_TEXTS)))
     rows = rows.withColumns({"__physical": found(text, [hinted(PHYSICAL_HINTS)], hits), "__software": found(text, [hinted(SOFTWARE_HINTS)], hits)})
     physical, software = F.col("__physical"), F.col("__software")
     named, of = physical | software, source.isin
@@ -190,7 +222,7 @@ def eligibility(df: DataFrame, is_digital: str = "is_digital", link: str = "exte
         ((source == "kickstarter") & F.lower("category").isin(*CAMPAIGN_CATEGORIES), ("PHYSICAL_PRODUCT", yes, "campaign category")),
     ]
     content, status, reason = decided(rules, (open_, open_, "nothing tells what it is"))
-    return rows.withColumns({"content_type": content, "eligibility_status": status, "eligibility_reason": reason}).drop("__text", "__title", "__source", "__hits", "__physical", "__software")
+    return rows.withColumns({"content_type": content, "eligibility_status": status, "eligibility_reason": reason}).drop("__text", "__title", "__source", "__hits", "__physical", "__software", *_own(df))
 
 
 def need_name(title: Column, description: Column) -> Column:
@@ -201,15 +233,12 @@ def need_name(title: Column, description: Column) -> Column:
 
 def concrete(df: DataFrame) -> DataFrame:
     """Adds concrete_status (CONCRETE, NON_CONCRETE, AMBIGUOUS) and concrete_reason to records with eligibility_status."""
-    low = lambda c: F.lower(collapse(F.coalesce(F.col(c), F.lit(""))))
-    rows = df.withColumns({"__title": low("title"), "__body": low("description"), "__source": F.lower(F.coalesce("source", F.lit("")))})
-    rows = rows.withColumn("__text", F.concat_ws(" ", "__title", "__body"))
-    title, body, text, source = (F.col(c) for c in ("__title", "__body", "__text", "__source"))
-    nouns = [hinted(PHYSICAL_HINTS), hinted(SOFTWARE_HINTS)]
-    rows = rows.withColumns({"__hits": word_hits(text, (nouns, "pattern")), "__title_hits": word_hits(title, (nouns[:1], "pattern"))})
-    hits = F.col("__hits")
+    rows = with_texts(df).withColumns({"__title": collapse(F.col("__l_title")), "__source": F.lower(F.coalesce("source", F.lit("")))})
+    title, body, source, hits = (F.col(c) for c in ("__title", "__l_line", "__source", "__l_hits"))
+    text = F.concat_ws(" ", title, collapse(F.col("__l_body")))
+    rows = rows.withColumn("__title_hits", word_hits(title, ([hinted(PHYSICAL_HINTS)], "pattern")))
     rows = rows.withColumns({
-        "__n_physical": n_hints(text, PHYSICAL_HINTS, hits), "__n_software": n_hints(text, SOFTWARE_HINTS, hits), "__n_title": n_hints(title, PHYSICAL_HINTS, F.col("__title_hits")), "__n_need": F.when(source.contains("reddit"), need_name(title, body)).isNotNull()})
+        "__n_physical": n_hints(text, PHYSICAL_HINTS, hits), "__n_software": n_hints(text, SOFTWARE_HINTS, hits), "__n_title": n_hints(title, PHYSICAL_HINTS, F.col("__title_hits")), "__n_need": F.col("__l_need").isNotNull()})
     physical, software, in_title, need = (F.col(f"__n_{c}") for c in ("physical", "software", "title", "need"))
     forum, status = source.contains("reddit"), F.col("eligibility_status")
     design, yes, no, open_ = source.isin("yanko_design", "design_milk"), "CONCRETE", "NON_CONCRETE", "AMBIGUOUS"
@@ -235,7 +264,7 @@ def concrete(df: DataFrame) -> DataFrame:
         (source.isin("kickstarter", "indiegogo"), (open_, "campaign without an object")),
     ]
     verdict, reason = decided(rules, (open_, "no rule for the source"))
-    return rows.withColumns({"concrete_status": verdict, "concrete_reason": reason}).drop("__title", "__body", "__text", "__source", "__n_physical", "__n_software", "__n_title", "__n_need", "__hits", "__title_hits")
+    return rows.withColumns({"concrete_status": verdict, "concrete_reason": reason}).drop("__title", "__source", "__n_physical", "__n_software", "__n_title", "__n_need", "__title_hits", *_own(df))
 
 
 def craft_name(title: Column) -> Column:
@@ -271,20 +300,20 @@ def identity(df: DataFrame, known: str = "known_name", tagline: str = "tagline")
     applies, it stays null.
     """
     space = lambda c: collapse(F.coalesce(F.col(c), F.lit("")))
-    rows = df.withColumns({"__title": space("title"), "__body": space("description"), "__source": F.lower(F.coalesce("source", F.lit("")))})
-    title, body, source, zh = F.col("__title"), F.col("__body"), F.col("__source"), F.col(known)
+    rows = with_texts(df).withColumns({"__title": space("title"), "__source": F.lower(F.coalesce("source", F.lit("")))})
+    title, source, zh, low_body = F.col("__title"), F.col("__source"), F.col(known), F.col("__l_line")
+    vague, forum = F.lower(title).isin(*VAGUE_TITLES), source.contains("reddit")
     # most texts don't have the word that every match ends with
-    cover = F.when(F.lower(body).contains("cover"), F.initcap(F.lower(F.nullif(F.regexp_extract(body, COVER, 1), F.lit("")))))
-    own_line = F.coalesce(F.nullif(F.col(tagline), F.lit("")), body)
+    cover = F.when(vague & low_body.contains("cover"), F.initcap(F.lower(F.nullif(F.regexp_extract(space("description"), COVER, 1), F.lit("")))))
+    rows = rows.withColumn("__own_line", F.when(source == "product_hunt", F.coalesce(F.nullif(F.col(tagline), F.lit("")), space("description"))))
+    own_line = F.col("__own_line")
     names = {
         "cover": cover, "tagline": F.when(source == "product_hunt", tagline_name(title, own_line, F.col("__name_kind"))), "catalogue": F.when(source == "amazon", catalogue_name(title)),
-        "craft": F.when(source == "etsy", craft_name(title)), "launch": F.when(source == "hacker_news", named_launch(title)), "need": F.when(source.contains("reddit"), need_name(F.lower(title), F.lower(body))),
+        "craft": F.when(source == "etsy", craft_name(title)), "launch": F.when(source == "hacker_news", named_launch(title)), "need": F.col("__l_need"),
         "design": F.when(source.isin("yanko_design", "design_milk"), design_name(title))}
     rows = rows.withColumn("__name_kind", F.when(source == "product_hunt", tagline_kind(own_line))).withColumns({f"__name_{c}": v for c, v in names.items()})
     n = {c: F.col(f"__name_{c}") for c in ("kind", *names)}
     none = F.lit(None).cast("string")
-    vague, low_body = F.lower(title).isin(*VAGUE_TITLES), F.lower(body)
-    forum = source.contains("reddit")
     zh_cover = F.coalesce(zh, F.when(F.lower(n["cover"]).contains("leather"), F.lit(COVER_ZH)))
     zh_need = F.coalesce(zh, F.create_map(*[F.lit(x) for item in NEEDS_ZH.items() for x in item])[n["need"]])
     sure = lambda name: F.when(name != title, "HIGH").otherwise("MEDIUM")
@@ -306,7 +335,7 @@ def identity(df: DataFrame, known: str = "known_name", tagline: str = "tagline")
         ((F.length(title) >= 3) & ~title.rlike(r"(?i)^(?:my|this|help)\b"), (title, zh, "source_title", "MEDIUM")),
     ]
     name, name_zh, method, confidence = decided(rules, (none, zh, "unresolved", "UNRESOLVED"))
-    return rows.withColumns({"normalized_name": name, "name_zh": name_zh, "identity_method": method, "identity_confidence": confidence}).drop("__title", "__body", "__source", *[f"__name_{c}" for c in n])
+    return rows.withColumns({"normalized_name": name, "name_zh": name_zh, "identity_method": method, "identity_confidence": confidence}).drop("__title", "__source", "__own_line", *[f"__name_{c}" for c in n], *_own(df))
 
 
 def context_text(raw: Column) -> Column:

@@ -123,11 +123,11 @@ def rul12(t, spark):
 
 @query("rul13_concrete", f"WITH {CONCRETE} SELECT doc_id, concrete_status, concrete_reason FROM gated")
 def rul13(t, spark):
-    return L.concrete(L.eligibility(records(t))).select("doc_id", "concrete_status", "concrete_reason")
+    return L.concrete(L.eligibility(L.with_texts(records(t)))).select("doc_id", "concrete_status", "concrete_reason")
 
 
 def named(t):
-    return L.identity(L.concrete(L.eligibility(records(t))))
+    return L.named(records(t))
 
 
 @query("er1_identity", f"WITH {IDENTITY} SELECT doc_id, normalized_name, name_zh, identity_method, identity_confidence FROM named")
@@ -264,7 +264,7 @@ def srt2(t, spark):
   count(*) FILTER (concrete_status = 'AMBIGUOUS') AS ambiguous, min(doc_id) FILTER (concrete_status = 'NON_CONCRETE') AS first_excluded FROM named GROUP BY source) SELECT * FROM s""")
 def qa5(t, spark):
     """The funnel of a run by source, with a sample of what was excluded."""
-    rows, is_ = L.concrete(L.eligibility(records(t))), lambda c, v: F.count_if(F.col(c) == v)
+    rows, is_ = L.concrete(L.eligibility(L.with_texts(records(t)))), lambda c, v: F.count_if(F.col(c) == v)
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("fetched"), is_("eligibility_status", "ELIGIBLE").alias("eligible"), is_("concrete_status", "CONCRETE").alias("concrete"), is_("concrete_status", "NON_CONCRETE").alias("non_concrete"),
         is_("concrete_status", "AMBIGUOUS").alias("ambiguous"), F.min(F.when(F.col("concrete_status") == "NON_CONCRETE", F.col("doc_id"))).alias("first_excluded"))
